@@ -1,7 +1,5 @@
 """Text, path and line expressions. All of them are native column expressions."""
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,10 +57,6 @@ def in_directory(path: Column, names: list[str]) -> Column:
     return F.arrays_overlap(dirs, F.array(*[F.lit(n) for n in names]))
 
 
-def contains_any(text: Column, needles: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(n)) for n in needles])
-
-
 def after_last(text: Column, mark: str) -> Column:
     """The part of the text behind the last occurrence of the mark (all of it if absent)."""
     return F.substring_index(text, mark, -1)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from auditlake import config
 from auditlake.functions.labels import fingerprint as fingerprint_of
 from auditlake.functions.text import split_lines, strip, suffix
-from auditlake.operators.corpus import display_path, exposure_mark
+from auditlake.operators.corpus import display_path, select_scan_sets, shows_exposure
 from auditlake.skew import lookup_join
 from auditlake.workspace import stored
 
@@ -63,10 +63,9 @@ def fingerprint(findings: DataFrame) -> DataFrame:
 
 def exposure(files: DataFrame) -> DataFrame:
     """Per repository: does any eligible file show network exposure. Reduced before the shuffle."""
-    return files.groupBy("repo").agg(
-        F.coalesce(F.bool_or(exposure_mark(F.col("path"), F.col("content"))), F.lit(False)).alias(
-            "internet_exposed"
-        )
+    mark = F.col("for_exposure") & shows_exposure(F.col("content"))
+    return select_scan_sets(files).groupBy("repo").agg(
+        F.coalesce(F.bool_or(mark), F.lit(False)).alias("internet_exposed")
     )
 
 

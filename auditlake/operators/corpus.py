@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake import config
-from auditlake.functions.text import base_name, contains_any, in_directory, split_lines, suffix
+from auditlake.functions.text import base_name, in_directory, split_lines, suffix
 
 
 def prune_ignored_dirs(files: DataFrame, ignored: list[str] = config.IGNORED_DIRS) -> DataFrame:
@@ -54,19 +54,22 @@ def select_scan_sets(files: DataFrame) -> DataFrame:
     Workflow files are exempt from directory pruning for the configuration scanner, because
     their directory is itself an ignored one.
     """
-    path, size = F.col("path"), F.col("size")
-    name = F.lower(base_name(path))
-    ext = suffix(path)
-    kept = ~in_directory(path, config.IGNORED_DIRS)
-    small = size <= config.MAX_FILE_BYTES
+    path, name, ext, kept = F.col("path"), F.col("_name"), F.col("_ext"), F.col("_kept")
+    small = F.col("size") <= config.MAX_FILE_BYTES
     source = ext.isin(config.SUPPORTED_EXTENSIONS)
-    workflow = F.contains(path, F.lit(".github/workflows"))
-    return files.withColumns(
+    named = files.withColumns(
+        {
+            "_name": F.lower(base_name(path)),
+            "_ext": suffix(path),
+            "_kept": ~in_directory(path, config.IGNORED_DIRS),
+        }
+    )
+    return named.withColumns(
         {
             "for_review": kept & source & small,
             "for_secrets": kept & (source | (name == ".env") | (ext == ".env")) & small,
             "for_dependencies": kept & name.isin(config.MANIFEST_NAMES),
-            "for_config": (kept | workflow)
+            "for_config": (kept | F.contains(path, F.lit(".github/workflows")))
             & (
                 name.isin("dockerfile", "jenkinsfile")
                 | ext.isin(".dockerfile", ".jenkinsfile", ".tf", ".yml", ".yaml")
@@ -74,7 +77,7 @@ def select_scan_sets(files: DataFrame) -> DataFrame:
             "for_exposure": ext.isin(config.EXPOSURE_EXTENSIONS) | (name == "dockerfile"),
             "for_reachability": ext.isin(config.REACHABILITY_EXTENSIONS),
         }
-    )
+    ).drop("_name", "_ext", "_kept")
 
 
 def stage_filter(files: DataFrame) -> DataFrame:
@@ -143,8 +146,6 @@ def display_path(repo: Column, path: Column) -> Column:
     return F.when(path == ".", repo).otherwise(F.concat_ws("/", repo, path))
 
 
-def exposure_mark(path: Column, content: Column) -> Column:
-    """True if this file shows that the repository listens to the network."""
-    name = F.lower(base_name(path))
-    eligible = suffix(path).isin(config.EXPOSURE_EXTENSIONS) | (name == "dockerfile")
-    return eligible & contains_any(F.lower(content), config.EXPOSURE_MARKERS)
+def shows_exposure(content: Column) -> Column:
+    """True if this text shows that its repository listens to the network."""
+    return F.lower(content).rlike("|".join(config.EXPOSURE_MARKERS))

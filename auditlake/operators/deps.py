@@ -1,8 +1,13 @@
 """Dependencies from manifest files.
 
-One extraction per kind of manifest over all files of that kind. Line formats are matched
-per line; formats with blocks keep only the few lines that matter and carry the block state
-along each file with window functions; JSON formats are read with a declared schema.
+Three jobs cover all kinds of manifest, whatever their number:
+
+* line formats: the dependency stands on one line and is matched where it is;
+* block formats: a line means something only together with earlier lines of its file. Each
+  format turns its few meaningful lines into the same kind of event, and one window over the
+  events of a file carries the state;
+* JSON formats: read with a declared schema.
+
 Output columns: repo, file, line, package, version, pos (order within a line).
 """
 
@@ -15,258 +20,312 @@ from auditlake.functions.text import after_last, base_name, strip, words
 from auditlake.operators.corpus import explode_lines, select_scan_sets
 
 NAME = "[a-zA-Z0-9_-]+"
+DOTTED = "[a-zA-Z0-9.-]+"
+
+# Line formats: pattern, group of the package, group of the version, and whether the line is stripped.
+LINE_PATTERNS = {
+    "requirements.txt": (rf"(?U)^({NAME})\s*(?:==|<=|>=|~=|<|>)\s*([a-zA-Z0-9.-]+)", 1, 2, True),
+    "gemfile.lock": (rf"(?U)^\s{{4}}({NAME})\s*\(([\d.]+)\)", 1, 2, False),
+    "pnpm-lock.yaml": (rf"(?U)^/({NAME})/([\d.]+)(?::)?$", 1, 2, True),
+    "build.gradle": (rf"['\"]({DOTTED}):({DOTTED}):({DOTTED})['\"]", 2, 3, False),
+}
 
 
-def _dependency(df: DataFrame, line: Column, package: Column, version: Column, pos: Column | None = None):
-    return df.select(
-        "repo",
-        "file",
-        line.cast("int").alias("line"),
-        F.lower(package).alias("package"),
-        version.alias("version"),
-        (F.lit(0) if pos is None else pos).cast("int").alias("pos"),
+def _by_manifest(choices: dict[str, Column]) -> Column:
+    """The value of the row's own format."""
+    if len(choices) == 1:
+        return next(iter(choices.values()))
+    chain = None
+    for manifest, value in choices.items():
+        test = F.col("manifest") == manifest
+        chain = F.when(test, value) if chain is None else chain.when(test, value)
+    return chain
+
+
+def line_deps(lines: DataFrame, manifests: list[str]) -> DataFrame:
+    """Dependencies of line formats from rows (repo, file, manifest, line_no, text)."""
+    text, bare = F.col("text"), strip(F.col("text"))
+    groups = {}
+    for name in manifests:
+        pattern, package, version, stripped = LINE_PATTERNS[name]
+        target = bare if stripped else text
+        groups[name] = F.when(
+            target.rlike(pattern),
+            F.struct(
+                F.regexp_extract(target, pattern, package).alias("package"),
+                F.regexp_extract(target, pattern, version).alias("version"),
+            ),
+        )
+    return (
+        lines.withColumn("d", _by_manifest(groups))
+        .filter("d IS NOT NULL")
+        .select(
+            "repo",
+            "file",
+            F.col("line_no").cast("int").alias("line"),
+            F.lower("d.package").alias("package"),
+            F.col("d.version").alias("version"),
+            F.lit(0).alias("pos"),
+        )
     )
 
 
-def _line_pattern(lines: DataFrame, text: Column, pattern: str, package: int, version: int) -> DataFrame:
-    """One dependency from each line that matches the pattern."""
-    name = F.regexp_extract(text, pattern, package)
-    return _dependency(
-        lines.filter(text.rlike(pattern)),
-        F.col("line_no"),
-        name,
-        F.regexp_extract(text, pattern, version),
+def _event(
+    opens: Column | None = None,
+    start: Column | None = None,
+    name: Column | None = None,
+    version: Column | None = None,
+    own_name: Column | None = None,
+    own_version: Column | None = None,
+    emits: Column | None = None,
+) -> Column:
+    """What one line means.
+
+    opens: the line begins (True) or ends (False) a block; start: it is the place a block is
+    reported at; name, version: it sets the current name or version ('' clears it);
+    own_name, own_version: what the line itself reports; emits: how it reports, one of
+    'alone' (always), 'inside' (within a block), 'named' (if a name is current) and 'end'
+    (if it ends a block with a name and a version).
+    """
+
+    def text(c: Column | None) -> Column:
+        return (F.lit(None) if c is None else c).cast("string")
+
+    return F.struct(
+        (F.lit(None) if opens is None else opens).cast("boolean").alias("opens"),
+        (F.lit(None) if start is None else start).cast("int").alias("start"),
+        text(name).alias("name"),
+        text(version).alias("version"),
+        text(own_name).alias("own_name"),
+        text(own_version).alias("own_version"),
+        text(emits).alias("emits"),
     )
 
 
-def requirements(lines: DataFrame) -> DataFrame:
-    """``name <op> version``; whatever the operator, the version counts as installed."""
-    pattern = rf"(?U)^({NAME})\s*(?:==|<=|>=|~=|<|>)\s*([a-zA-Z0-9.-]+)"
-    return _line_pattern(lines, strip(F.col("text")), pattern, 1, 2)
+def _pom_event(text: Column, line_no: Column) -> Column:
+    """Multi-line <dependency> blocks; the last artifact and version in the block count."""
+    artifact_tag, version_tag = r"<artifactId>(.*?)</artifactId>", r"<version>(.*?)</version>"
+    has_artifact, has_version = text.rlike(artifact_tag), text.rlike(version_tag)
+    return (
+        F.when(
+            F.contains(text, F.lit("<dependency>")),
+            _event(opens=F.lit(True), start=line_no, name=F.lit(""), version=F.lit("")),
+        )
+        .when(F.contains(text, F.lit("</dependency>")), _event(opens=F.lit(False), emits=F.lit("end")))
+        .when(
+            has_artifact | has_version,
+            _event(
+                name=F.when(has_artifact, F.regexp_extract(text, artifact_tag, 1)),
+                version=F.when(has_version, F.regexp_extract(text, version_tag, 1)),
+            ),
+        )
+    )
 
 
-def gemfile(lines: DataFrame) -> DataFrame:
-    return _line_pattern(lines, F.col("text"), rf"(?U)^\s{{4}}({NAME})\s*\(([\d.]+)\)", 1, 2)
+def _go_event(text: Column, line_no: Column) -> Column:
+    """``require`` blocks and single ``require`` lines; the module is the last path segment."""
+    word = words(text)
+
+    def module(i: int) -> Column:
+        return after_last(F.get(word, F.lit(i)), "/")
+
+    return (
+        F.when(F.startswith(text, F.lit("require (")), _event(opens=F.lit(True)))
+        .when(F.startswith(text, F.lit(")")), _event(opens=F.lit(False)))
+        .when(
+            F.startswith(text, F.lit("require ")),
+            F.when(
+                F.size(word) >= 3,
+                _event(own_name=module(1), own_version=F.get(word, F.lit(2)), emits=F.lit("alone")),
+            ),
+        )
+        .when(
+            F.size(word) >= 2,
+            _event(own_name=module(0), own_version=F.get(word, F.lit(1)), emits=F.lit("inside")),
+        )
+    )
 
 
-def pnpm(lines: DataFrame) -> DataFrame:
-    return _line_pattern(lines, strip(F.col("text")), rf"(?U)^/({NAME})/([\d.]+)(?::)?$", 1, 2)
+def _quoted_value(text: Column) -> Column:
+    return F.replace(strip(after_last(text, "=")), F.lit('"'), F.lit(""))
 
 
-def gradle(lines: DataFrame) -> DataFrame:
-    part = "[a-zA-Z0-9.-]+"
-    return _line_pattern(lines, F.col("text"), rf"['\"]({part}):({part}):({part})['\"]", 2, 3)
+def _package_event(text: Column, line_no: Column) -> Column:
+    """``[[package]]`` blocks with name and version lines."""
+    return (
+        F.when(text == "[[package]]", _event(start=line_no, name=F.lit("")))
+        .when(F.startswith(text, F.lit("name = ")), _event(name=_quoted_value(text)))
+        .when(
+            F.startswith(text, F.lit("version = ")),
+            _event(own_version=_quoted_value(text), emits=F.lit("named")),
+        )
+    )
 
 
-def _file_window():
-    return Window.partitionBy("repo", "file").orderBy("line_no")
+def _yarn_event(text: Column, line_no: Column) -> Column:
+    """A header line sets the name (empty for scoped names), a version line reports it."""
+    name = F.replace(F.substring_index(text, "@", 1), F.lit('"'), F.lit(""))
+    version = F.replace(strip(after_last(text, "version")), F.lit('"'), F.lit(""))
+    return F.when(~F.startswith(text, F.lit("#")) & (text != ""),
+        F.when(F.endswith(text, F.lit(":")), _event(name=after_last(name, "/"))).when(
+            F.startswith(text, F.lit("version ")), _event(start=line_no, own_version=version, emits=F.lit("named"))
+        ),
+    )
 
 
-def _last_set(value: Column) -> Column:
-    return F.last(value, ignorenulls=True).over(_file_window().rowsBetween(Window.unboundedPreceding, 0))
+BLOCK_EVENTS: dict[str, Callable[[Column, Column], Column]] = {
+    "pom.xml": _pom_event,
+    "go.mod": _go_event,
+    "cargo.lock": _package_event,
+    "poetry.lock": _package_event,
+    "yarn.lock": _yarn_event,
+}
 
 
-def pom(lines: DataFrame) -> DataFrame:
-    """Multi-line <dependency> blocks; the last artifact and version in the block count.
+def block_deps(lines: DataFrame, manifests: list[str]) -> DataFrame:
+    """Dependencies of block formats from rows (repo, file, manifest, line_no, text).
 
-    A tag that opens a block clears artifact and version ('' stands for none).
+    Lines without a meaning are dropped and texts are cut to names and versions before the
+    shuffle; the window sorts the events of one file at a time.
     """
-    text = F.col("text")
-    opens = F.contains(text, F.lit("<dependency>"))
-    closes = ~opens & F.contains(text, F.lit("</dependency>"))
-    artifact_tag, version_tag = r"<artifactId>(.*?)</artifactId>", r"<version>(.*?)</version>"
-    inner = ~opens & ~closes
-    events = lines.filter(
-        F.contains(text, F.lit("dependency>")) | text.rlike(artifact_tag) | text.rlike(version_tag)
-    ).select(
-        "repo",
-        "file",
-        "line_no",
-        opens.alias("opens"),
-        closes.alias("closes"),
-        F.when(opens, "").when(inner & text.rlike(artifact_tag), F.regexp_extract(text, artifact_tag, 1)).alias("a"),
-        F.when(opens, "").when(inner & text.rlike(version_tag), F.regexp_extract(text, version_tag, 1)).alias("v"),
+    stripped = lines.withColumn("text", strip(F.col("text")))
+    event = _by_manifest({m: BLOCK_EVENTS[m](F.col("text"), F.col("line_no")) for m in manifests})
+    events = (
+        stripped.withColumn("e", event).filter("e IS NOT NULL").select("repo", "file", "line_no", "e.*")
     )
-    before = _file_window().rowsBetween(Window.unboundedPreceding, -1)
+    in_file = Window.partitionBy("repo", "file").orderBy("line_no")
+    so_far = in_file.rowsBetween(Window.unboundedPreceding, 0)
+    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
     state = events.select(
-        "*",
-        F.last(F.when(F.col("opens"), True).when(F.col("closes"), False), ignorenulls=True)
-        .over(before)
-        .alias("inside"),
-        _last_set(F.when(F.col("opens"), F.col("line_no"))).alias("start"),
-        _last_set(F.col("a")).alias("artifact"),
-        _last_set(F.col("v")).alias("version"),
-    ).filter("closes AND inside AND artifact <> '' AND version <> ''")
-    return _dependency(state, F.col("start"), F.col("artifact"), F.col("version"))
-
-
-def go_mod(lines: DataFrame) -> DataFrame:
-    """``require`` blocks and single ``require`` lines; the module is the last path segment."""
-    text = strip(F.col("text"))
-    rows = lines.select("repo", "file", "line_no", text.alias("text")).withColumn(
-        "event",
-        F.when(F.startswith("text", F.lit("require (")), "open")
-        .when(F.startswith("text", F.lit(")")), "close")
-        .when(F.startswith("text", F.lit("require ")), "single"),
-    )
-    word = words(F.col("text"))
-    rows = rows.withColumn("word", word).filter((F.size("word") >= 2) | (F.col("event") == "close"))
-    inside = _last_set(
-        F.when(F.col("event") == "open", True).when(F.col("event") == "close", False)
-    )
-    at = F.when(F.col("event") == "single", 1).otherwise(0)
-    state = rows.withColumn("inside", inside).filter(
-        (F.col("event") == "single") & (F.size("word") >= 3)
-        | F.col("event").isNull() & F.col("inside")
-    )
-    module = after_last(F.get(F.col("word"), at), "/")
-    return _dependency(state, F.col("line_no"), module, F.get(F.col("word"), at + 1))
-
-
-def _quoted_value(text: Column) -> Column:
-    return F.replace(strip(after_last(text, "=")), F.lit('"'), F.lit(""))
-
-
-def package_blocks(lines: DataFrame) -> DataFrame:
-    """``[[package]]`` blocks with name and version lines (two lock formats share this form)."""
-    text = strip(F.col("text"))
-    rows = lines.select("repo", "file", "line_no", text.alias("text"))
-    header = F.col("text") == "[[package]]"
-    named = F.startswith("text", F.lit("name = "))
-    versioned = F.startswith("text", F.lit("version = "))
-    events = rows.filter(header | named | versioned).select(
         "repo",
         "file",
         "line_no",
-        F.when(header, F.col("line_no")).alias("header_line"),
-        F.when(header, "").when(named, _quoted_value(F.col("text"))).alias("name"),
-        F.when(versioned, _quoted_value(F.col("text"))).alias("version"),
+        "own_name",
+        "own_version",
+        "emits",
+        F.last("opens", ignorenulls=True).over(before).alias("inside"),
+        F.last("start", ignorenulls=True).over(so_far).alias("start"),
+        F.last("name", ignorenulls=True).over(so_far).alias("name"),
+        F.last("version", ignorenulls=True).over(so_far).alias("version"),
     )
-    state = events.select(
-        "repo",
-        "file",
-        "version",
-        F.coalesce(_last_set(F.col("header_line")), F.lit(1)).alias("start"),
-        _last_set(F.col("name")).alias("current"),
-        F.col("line_no").alias("at"),
-    ).filter("version IS NOT NULL AND current <> ''")
-    return _dependency(state, F.col("start"), F.col("current"), F.col("version"), F.col("at"))
-
-
-def yarn(lines: DataFrame) -> DataFrame:
-    """A header line sets the name, a version line reports it. Scoped names become empty."""
-    text = strip(F.col("text"))
-    rows = lines.select("repo", "file", "line_no", text.alias("text")).filter(
-        (F.col("text") != "") & ~F.startswith("text", F.lit("#"))
+    emits, named = F.col("emits"), F.coalesce(F.col("name"), F.lit("")) != ""
+    inside = F.coalesce(F.col("inside"), F.lit(False))
+    reported = (
+        (emits == "alone")
+        | ((emits == "inside") & inside)
+        | ((emits == "named") & named)
+        | ((emits == "end") & inside & named & (F.coalesce(F.col("version"), F.lit("")) != ""))
     )
-    header = F.endswith("text", F.lit(":"))
-    versioned = ~header & F.startswith("text", F.lit("version "))
-    name = F.replace(F.substring_index("text", "@", 1), F.lit('"'), F.lit(""))
-    events = rows.filter(header | versioned).select(
+    return state.filter(reported).select(
         "repo",
         "file",
-        "line_no",
-        F.when(header, after_last(name, "/")).alias("name"),
-        F.when(
-            versioned, F.replace(strip(after_last(F.col("text"), "version")), F.lit('"'), F.lit(""))
-        ).alias("version"),
-    )
-    state = events.withColumn("current", _last_set(F.col("name"))).filter(
-        "version IS NOT NULL AND current <> ''"
+        F.when(emits.isin("alone", "inside"), F.col("line_no"))
+        .otherwise(F.coalesce("start", F.lit(1)))
+        .cast("int")
+        .alias("line"),
+        F.lower(F.coalesce("own_name", "name")).alias("package"),
+        F.coalesce("own_version", "version").alias("version"),
+        F.col("line_no").cast("int").alias("pos"),
     )
-    return _dependency(state, F.col("line_no"), F.col("current"), F.col("version"))
 
 
 VERSIONED = "MAP<STRING,STRUCT<version:STRING>>"
+ENTRIES = "array<struct<name:string,version:string>>"
 
 
-def _complete(df: DataFrame) -> DataFrame:
-    return df.filter("name <> '' AND version <> ''")
+def _entries(versioned: Column) -> Column:
+    """(name, version) per member of a JSON object, in document order."""
+    pairs = F.transform(
+        F.map_entries(versioned),
+        lambda e: F.struct(e["key"].alias("name"), e["value"]["version"].alias("version")),
+    )
+    return F.coalesce(pairs, F.array().cast(ENTRIES))
 
 
-def package_lock(files: DataFrame) -> DataFrame:
-    """The ``packages`` map where it has entries, else the top-level ``dependencies`` map."""
-    data = F.from_json("content", f"packages {VERSIONED}, dependencies {VERSIONED}")
-    parsed = files.select("repo", F.col("path").alias("file"), data.alias("data"))
-    modern = F.size(F.col("data.packages")) > 0
-    entries = parsed.select(
-        "repo",
-        "file",
-        modern.alias("modern"),
-        F.posexplode(F.when(modern, F.col("data.packages")).otherwise(F.col("data.dependencies"))).alias(
-            "pos", "key", "value"
-        ),
+def _package_lock(content: Column) -> Column:
+    """The ``packages`` object where it has members, else the top-level ``dependencies``."""
+    data = F.from_json(content, f"packages {VERSIONED}, dependencies {VERSIONED}")
+    nested = F.transform(
+        _entries(data["packages"]),
+        lambda e: F.struct(after_last(e["name"], "node_modules/").alias("name"), e["version"].alias("version")),
     )
-    name = F.when(F.col("modern"), after_last(F.col("key"), "node_modules/")).otherwise(F.col("key"))
-    rows = entries.select("repo", "file", "pos", name.alias("name"), F.col("value.version").alias("version"))
-    return _dependency(_complete(rows), F.lit(1), F.col("name"), F.col("version"), F.col("pos"))
+    return F.when(F.size(data["packages"]) > 0, nested).otherwise(_entries(data["dependencies"]))
 
 
-def composer(files: DataFrame) -> DataFrame:
+def _composer(content: Column) -> Column:
     """``packages`` entries up to the first one without a name."""
-    data = F.from_json("content", "packages ARRAY<STRUCT<name:STRING,version:STRING>>")
-    packages = data["packages"]
-    nameless = F.array_position(F.transform(packages, lambda p: p["name"].isNull()), True)
-    usable = F.when(nameless > 0, F.slice(packages, 1, nameless.cast("int") - 1)).otherwise(packages)
-    rows = files.select(
-        "repo", F.col("path").alias("file"), F.posexplode(usable).alias("pos", "p")
-    ).select("repo", "file", "pos", after_last(F.col("p.name"), "/").alias("name"), "p.version")
-    return _dependency(_complete(rows), F.lit(1), F.col("name"), F.col("version"), F.col("pos"))
-
-
-def pipfile(files: DataFrame) -> DataFrame:
-    """``default`` entries, then ``develop`` entries, without the == of the version."""
-    data = F.from_json("content", f"`default` {VERSIONED}, develop {VERSIONED}")
-
-    def entries(section: str) -> Column:
-        return F.coalesce(
-            F.map_entries(data[section]),
-            F.array().cast("array<struct<key:string,value:struct<version:string>>>"),
-        )
+    packages = F.from_json(content, f"packages {ENTRIES}")["packages"]
+    nameless = F.array_position(F.transform(packages, lambda p: p["name"].isNull()), True).cast("int")
+    usable = F.when(nameless > 0, F.slice(packages, 1, nameless - 1)).otherwise(packages)
+    return F.transform(
+        usable, lambda p: F.struct(after_last(p["name"], "/").alias("name"), p["version"].alias("version"))
+    )
 
-    both = F.concat(entries("default"), entries("develop"))
-    rows = files.select(
-        "repo", F.col("path").alias("file"), F.posexplode(both).alias("pos", "entry")
-    ).select(
-        "repo",
-        "file",
-        "pos",
-        F.col("entry.key").alias("name"),
-        F.replace(F.col("entry.value.version"), F.lit("=="), F.lit("")).alias("version"),
+
+def _pipfile(content: Column) -> Column:
+    """``default`` members, then ``develop`` members, without the == of the version."""
+    data = F.from_json(content, f"`default` {VERSIONED}, develop {VERSIONED}")
+    both = F.concat(_entries(data["default"]), _entries(data["develop"]))
+    return F.transform(
+        both,
+        lambda e: F.struct(
+            e["name"].alias("name"), F.replace(e["version"], F.lit("=="), F.lit("")).alias("version")
+        ),
     )
-    return _dependency(_complete(rows), F.lit(1), F.col("name"), F.col("version"), F.col("pos"))
-
-
-LINE_FORMATS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "requirements.txt": requirements,
-    "pom.xml": pom,
-    "go.mod": go_mod,
-    "cargo.lock": package_blocks,
-    "poetry.lock": package_blocks,
-    "gemfile.lock": gemfile,
-    "yarn.lock": yarn,
-    "pnpm-lock.yaml": pnpm,
-    "build.gradle": gradle,
-}
-FILE_FORMATS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "package-lock.json": package_lock,
-    "composer.lock": composer,
-    "pipfile.lock": pipfile,
+
+
+JSON_ENTRIES: dict[str, Callable[[Column], Column]] = {
+    "package-lock.json": _package_lock,
+    "composer.lock": _composer,
+    "pipfile.lock": _pipfile,
 }
 
 
-def extract_from(files: DataFrame, manifest: str) -> DataFrame:
-    """Dependencies from all files of one manifest name (the name's case does not matter)."""
-    chosen = files.filter(F.lower(base_name(F.col("path"))) == manifest)
-    if manifest in FILE_FORMATS:
-        return FILE_FORMATS[manifest](chosen)
-    return LINE_FORMATS[manifest](explode_lines(chosen))
+def json_deps(files: DataFrame, manifests: list[str]) -> DataFrame:
+    """Dependencies of JSON formats from rows (repo, path, manifest, content)."""
+    entries = _by_manifest({m: JSON_ENTRIES[m](F.col("content")) for m in manifests})
+    return (
+        files.select("repo", F.col("path").alias("file"), F.posexplode(entries).alias("pos", "e"))
+        .filter("e.name <> '' AND e.version <> ''")
+        .select(
+            "repo",
+            "file",
+            F.lit(1).alias("line"),
+            F.lower("e.name").alias("package"),
+            F.col("e.version").alias("version"),
+            "pos",
+        )
+    )
+
+
+def _lines_of(files: DataFrame, manifests: list[str]) -> DataFrame:
+    """Lines with the manifest name their file goes by."""
+    chosen = files.filter(F.col("manifest").isin(manifests))
+    lines = explode_lines(chosen)
+    return lines.withColumn("manifest", F.lower(base_name(F.col("file"))))
+
 
+def extract_deps(files: DataFrame, manifests: list[str] | None = None) -> DataFrame:
+    """Dependencies from the manifests of a corpus (all kinds, or the given ones).
 
-def extract_deps(files: DataFrame) -> DataFrame:
-    """Dependencies from every manifest of the corpus."""
-    manifests = select_scan_sets(files).filter("for_dependencies").select("repo", "path", "content")
-    parts = [extract_from(manifests, name) for name in [*LINE_FORMATS, *FILE_FORMATS]]
+    The name of a manifest file counts in any case.
+    """
+    wanted = manifests or [*LINE_PATTERNS, *BLOCK_EVENTS, *JSON_ENTRIES]
+    chosen = (
+        select_scan_sets(files)
+        .filter("for_dependencies")
+        .select("repo", "path", "content", F.lower(base_name(F.col("path"))).alias("manifest"))
+    )
+    parts = []
+    for kinds, job, needs_lines in [
+        (LINE_PATTERNS, line_deps, True),
+        (BLOCK_EVENTS, block_deps, True),
+        (JSON_ENTRIES, json_deps, False),
+    ]:
+        names = [m for m in wanted if m in kinds]
+        if names:
+            source = _lines_of(chosen, names) if needs_lines else chosen.filter(F.col("manifest").isin(names))
+            parts.append(job(source, names))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

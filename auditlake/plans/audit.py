@@ -15,7 +15,7 @@ from auditlake import config
 from auditlake.functions.labels import SEVERITIES
 from auditlake.functions.text import split_lines, strip
 from auditlake.operators import context, deps, enrich, findings, iac, policy, sca, scoring, secrets
-from auditlake.operators.corpus import config_kind, exposure_mark, select_scan_sets
+from auditlake.operators.corpus import config_kind, select_scan_sets, shows_exposure
 from auditlake.rules.config_rules import CONFIG_RULES, ConfigRule
 from auditlake.rules.secret_rules import SECRET_RULES, SecretRule
 from auditlake.skew import lookup_join
@@ -55,7 +55,7 @@ def scan_pass(
         select_scan_sets(files)
         .withColumn("kind", F.when(F.col("for_config"), config_kind(path, content)))
         .withColumn("secret_file", F.col("for_secrets") & secrets.may_hold_secret(content, secret_rules))
-        .withColumn("exposed", exposure_mark(path, content))
+        .withColumn("exposed", F.col("for_exposure") & shows_exposure(content))
         .filter("kind IS NOT NULL OR secret_file OR exposed OR for_dependencies")
     )
     split = F.when(F.col("kind").isNotNull() | F.col("secret_file"), split_lines(content)).otherwise(
@@ -85,8 +85,6 @@ def scan_pass(
         ),
         F.posexplode(F.concat(F.array(F.lit("")), F.col("lines"))).alias("line_no", "text"),
     )
-    at_file = F.col("line_no") == 0
-    stripped = strip(F.col("text"))
     of_file = F.array_compact(
         F.array(
             F.when(F.col("exposed"), _evidence("exposure", none, none, none, none, none)),
@@ -97,27 +95,29 @@ def scan_pass(
             ),
         )
     )
-    line = F.col("line_no")
+    is_line = F.col("line_no") > 0
+    found = rows.withColumn("stripped", strip(F.col("text"))).withColumns(
+        {
+            "secret_hits": F.when(
+                is_line & F.col("secret_file") & secrets.may_hold_secret(F.col("text"), secret_rules),
+                secrets.secret_hits(F.col("text"), secret_rules),
+            ),
+            "config_hits": F.when(
+                is_line & F.col("kind").isNotNull(),
+                iac.config_hits(F.col("kind"), F.col("stripped"), config_rules),
+            ),
+        }
+    )
+    line, text = F.col("line_no"), F.col("stripped")
     empty = F.array().cast(f"array<{EVIDENCE}>")
-    secret_part = F.when(
-        F.col("secret_file") & secrets.may_hold_secret(F.col("text"), secret_rules),
-        F.transform(
-            secrets.secret_hits(F.col("text"), secret_rules),
-            lambda h: _evidence("secret", line, stripped, h["rule"], h["value"], none),
-        ),
-    ).otherwise(empty)
-    config_part = F.when(
-        F.col("kind").isNotNull(),
+    of_line = F.concat(
         F.coalesce(
-            F.transform(
-                iac.config_hits(F.col("kind"), stripped, config_rules),
-                lambda i: _evidence("config", line, stripped, i, none, none),
-            ),
-            empty,
+            F.transform("secret_hits", lambda h: _evidence("secret", line, text, h["rule"], h["value"], none)), empty
         ),
-    ).otherwise(empty)
-    evidence = F.when(at_file, of_file).otherwise(F.concat(secret_part, config_part))
-    return rows.select("repo", "file", F.explode(evidence).alias("e")).select("repo", "file", "e.*")
+        F.coalesce(F.transform("config_hits", lambda i: _evidence("config", line, text, i, none, none)), empty),
+    )
+    evidence = F.when(is_line, of_line).otherwise(of_file)
+    return found.select("repo", "file", F.explode(evidence).alias("e")).select("repo", "file", "e.*")
 
 
 def line_findings(

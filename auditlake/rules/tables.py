@@ -12,4 +12,6 @@ from pyspark.sql.types import StructType
 
 def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A small table from rows written in this package (known size, kept as a local relation)."""
-    return spark.createDataFrame(pa.Table.from_pylist(rows), schema=StructType.fromDDL(schema))
+    fields = StructType.fromDDL(schema)
+    ordered = [{name: row[name] for name in fields.names} for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(ordered), schema=fields)

@@ -309,7 +309,7 @@ def _dep_columns(df: DataFrame) -> DataFrame:
 
 
 def _requirement_deps(spark, sf_dir) -> DataFrame:
-    return deps.requirements(load(spark, sf_dir, "requirement_lines"))
+    return deps.line_deps(load(spark, sf_dir, "requirement_lines"), ["requirements.txt"])
 
 
 @query
@@ -319,7 +319,7 @@ def deps_requirements(spark, sf_dir):
 
 def _manifest_query(key: str, corpus_name: str, manifest: str) -> None:
     def run(spark, sf_dir):
-        return _dep_columns(deps.extract_from(load(spark, sf_dir, corpus_name), manifest))
+        return _dep_columns(deps.extract_deps(load(spark, sf_dir, corpus_name), [manifest]))
 
     QUERIES[key] = run
 

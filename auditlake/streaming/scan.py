@@ -5,20 +5,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from auditlake.operators.findings import dedup_findings
-from auditlake.operators.scoring import gate, severity_counts
+from auditlake.operators.scoring import add_exposure, gate, risk_score, severity_counts
 from auditlake.plans.audit import line_findings, scan_pass
 
 
-def stream_scan(files: DataFrame) -> DataFrame:
-    """Findings of the line scanners for a stream of files. Stateless: every row stands alone."""
-    place = ["repo", "file", "line_no", "text"]
-    evidence = scan_pass(files).filter("stage IN ('secret', 'config', 'root')")
-    return evidence.select(*place, "stage", "rule", "value")
+STAGES = ["secret", "config", "root", "exposure"]
 
 
-def evidence_findings(evidence: DataFrame) -> DataFrame:
-    """Findings from the stored output of ``stream_scan``."""
-    return line_findings(evidence)
+def stream_scan(files: DataFrame) -> DataFrame:
+    """Evidence of the line scanners for a stream of files. Stateless: every file stands alone."""
+    return scan_pass(files).filter(F.col("stage").isin(STAGES)).drop("content")
 
 
 def start_stream_scan(files: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -34,23 +30,36 @@ def start_stream_scan(files: DataFrame, out: str, checkpoint: str) -> StreamingQ
     )
 
 
+def score_evidence(evidence: DataFrame) -> DataFrame:
+    """Scored findings of the line scanners (their weaknesses always count as reachable)."""
+    unique = dedup_findings(line_findings(evidence)).withColumn("reachable", F.lit("YES"))
+    exposed = (
+        evidence.filter("stage = 'exposure'").select("repo").distinct().withColumn("internet_exposed", F.lit(True))
+    )
+    return risk_score(add_exposure(unique, exposed))
+
+
 def start_stream_gate(files: DataFrame, policies: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Findings per batch, and new verdicts for the repositories a batch touched.
+    """Evidence per batch, and new verdicts for the repositories a batch touched.
 
     Every batch writes its own folder and overwrites it when it is repeated, so a restart
-    leaves each batch in the tables once. Counts use all findings stored so far of the
+    leaves each batch in the tables once. Verdicts use all evidence stored so far of the
     touched repositories.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        found = f"{out}/findings"
-        rows = evidence_findings(stream_scan(batch))
-        rows.write.mode("overwrite").parquet(f"{found}/batch={batch_id}")
-        touched = batch.select("repo").distinct()
-        stored = spark.read.parquet(found).filter(F.col("batch") <= batch_id).drop("batch")
-        mine = stored.join(touched, "repo", "left_semi")
-        counts = touched.join(severity_counts(dedup_findings(mine)), "repo", "left").na.fill(0)
+        evidence = stream_scan(batch)
+        evidence.write.mode("overwrite").parquet(f"{out}/evidence/batch={batch_id}")
+        batch.select("repo").distinct().write.mode("overwrite").parquet(f"{out}/touched/batch={batch_id}")
+        touched = spark.read.parquet(f"{out}/touched/batch={batch_id}")
+        so_far = (
+            spark.read.schema(evidence.schema.add("batch", "long"))
+            .parquet(f"{out}/evidence")
+            .filter(F.col("batch") <= batch_id)
+            .join(touched, "repo", "left_semi")
+        )
+        counts = touched.join(severity_counts(score_evidence(so_far)), "repo", "left").na.fill(0)
         verdicts = gate(counts, policies.join(touched, "repo", "left_semi"))
         verdicts.write.mode("overwrite").parquet(f"{out}/verdicts/batch={batch_id}")
 

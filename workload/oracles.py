@@ -82,7 +82,7 @@ ORACLES["scan_stats"] = f"""{ctes('mixed_files', 'bandit_reports', 'tool_status'
    count(*) filter (where {KEPT} and {SOURCE} and not {SMALL}) as skipped_files from mixed_files group by repo),
  b as (select replace(repo, 'repo', 'src') as repo, count(*) as n from bandit_reports group by 1),
  c as (select distinct replace(repo, 'repo', 'src') as repo from tool_status where tool = 'codeql' and status = 'database-created')
-select p.repo, scanned_files, skipped_files, coalesce(b.n, 0) as bandit, case when c.repo is null then 0 else 1 end as codeql
+select p.repo, scanned_files, skipped_files, coalesce(b.n, 0) as bandit, cast(case when c.repo is null then 0 else 1 end as bigint) as codeql
 from per_repo p left join b on b.repo = p.repo left join c on c.repo = p.repo"""
 ORACLES["display_path"] = f"{ctes('findings')} select ord, concat(repo, '/', file) as file from findings"
 
@@ -198,8 +198,9 @@ def secret_sql(lines: str) -> str:
     structs = ", ".join(
         f"{{'provider': '{p}', 'value': regexp_extract(text, {q(rx)}, {g})}}" for p, rx, g in SECRET_PATTERNS
     )
-    entropy = """(select round(sum(-(n / total) * log2(n / total)), 9) from (select count(*) as n, any_value(length(value)) as total
-   from (select unnest(string_split(value, '')) as ch) where ch <> '' group by ch))"""
+    share = "((length(value) - length(replace(value, c, ''))) / length(value))"
+    entropy = f"""round(list_sum(list_transform(list_distinct(string_split(value, '')),
+   lambda c: case when c = '' then 0.0 else -{share} * log2({share}) end)), 9)"""
     return f"""found as (select repo, file, line_no, text, unnest([{structs}]) as h from ({lines}) l),
  hits as (select repo, file, line_no as line, text, h.provider as provider, h.value as value from found where h.value <> ''),
  secrets as (select * from hits where provider <> 'generic' or {entropy} > 3.0)"""
@@ -246,20 +247,6 @@ DEPS_SQL["deps_gradle"] = ("gradle_files", pattern_deps(
     "gradle_files", r"""['"]([a-zA-Z0-9.-]+):([a-zA-Z0-9.-]+):([a-zA-Z0-9.-]+)['"]""", 2, 3, "text"))
 
 # Block formats: per closing or version line, look back with correlated window expressions.
-DEPS_SQL["deps_pom"] = ("pom_files", f"""select repo, file, start as line, lower(artifact) as package, version from (
-  select repo, file, closes, start, last_close,
-   last_value(a ignore nulls) over w as artifact, last_value(v ignore nulls) over w as version
-  from (select *, last_value(case when opens then line_no end ignore nulls) over u as start,
-     max(case when closes then line_no end) over (partition by repo, file order by line_no rows between unbounded preceding and 1 preceding) as last_close,
-     sum(case when opens then 1 else 0 end) over u as block
-    from (select repo, file, line_no, contains(text, '<dependency>') as opens,
-       not contains(text, '<dependency>') and contains(text, '</dependency>') as closes,
-       case when contains(text, 'dependency>') then null else nullif(regexp_extract(text, '<artifactId>(.*?)</artifactId>', 1), '') end as a,
-       case when contains(text, 'dependency>') then null else nullif(regexp_extract(text, '<version>(.*?)</version>', 1), '') end as v
-      from ({LINES.format(files='pom_files')}) l)
-    window u as (partition by repo, file order by line_no))
-  window w as (partition by repo, file, block order by line_no rows between unbounded preceding and current row), dummy as (order by line_no))
- where closes and start is not null and start > coalesce(last_close, 0) and artifact is not null and version is not null""")
 DEPS_SQL["deps_pom"] = ("pom_files", f"""select repo, file, start as line, lower(artifact) as package, version from (
   select repo, file, line_no, closes, start, last_close, last_value(a ignore nulls) over w as artifact, last_value(v ignore nulls) over w as version
   from (select *, last_value(case when opens then line_no end ignore nulls) over u as start,
@@ -307,8 +294,8 @@ DEPS_SQL["deps_yarn"] = ("yarn_files", f"""select repo, file, line_no as line, l
 
 
 def members(json: str) -> str:
-    """Lateral list of (key, version) of a JSON object."""
-    return f"list_transform(json_keys({json}), lambda k: {{'k': k, 'v': json_extract_string(json_extract({json}, concat('$.\"', k, '\"')), '$.version')}})"
+    """List of (k, v) with the version of each member of a JSON object."""
+    return f"list_transform(map_entries(cast({json} as map(varchar, json))), lambda e: {{'k': e.key, 'v': json_extract_string(e.value, '$.version')}})"
 
 
 DEPS_SQL["deps_package_lock"] = ("package_lock_files", f"""select repo, file, cast(1 as bigint) as line, lower(name) as package, version from (
@@ -660,3 +647,48 @@ ORACLES["pr_annotations"] = f"""{SCANNED} select repo, pr_number, concat(repo, '
  concat(cwe, ': ', rule) as title, concat(description, chr(10), chr(10), 'Suggested remediation:', chr(10), {FIX}) as message from scanned"""
 ORACLES["pr_comments"] = f"""{SCANNED} select repo, pr_number, concat(repo, '/', file) as file, cast(coalesce(line, 1) as bigint) as line,
  concat('### ⚠️ ', cwe, chr(10), chr(10), description, chr(10), chr(10), '**Suggested remediation:**', chr(10), {FIX}) as body from scanned"""
+
+# --- Whole audit ----------------------------------------------------------------------------
+
+_AUDIT_PARTS = ["import_files", "token_files", "docker_files", "pom_files", "pipfile_files"]
+AUDIT = f"""{ctes(*_AUDIT_PARTS, 'bandit_reports', 'policy_files')},
+ files as ({" union all ".join(f"select repo, path, size, content from {n}" for n in _AUDIT_PARTS)}),
+ policy_repos as (select distinct repo from files), {RESOLVED},
+ all_lines as ({LINES.format(files='files')}),
+ secret_files as (select * from files where {KEPT} and ({SOURCE} or {NAME} = '.env' or {EXT} = '.env') and {SMALL}),
+ {secret_sql(LINES.format(files='secret_files'))}, {DOCKER},
+ deps as ({DEPS_SQL['deps_pom'][1]} union all {DEPS_SQL['deps_pipfile'][1]}), {SCA},
+ bandit as ({ORACLES['ingest_bandit'].split(ctes('bandit_reports') + ',', 1)[1].replace(' r as (', 'with r as (', 1)}),
+ every as (
+  select repo, file, line, 'CWE-798' as cwe, case when provider = 'generic' then 'generic-secret-entropy' else concat(provider, '-secret-key') end as rule,
+   'critical' as severity, 'SECRET' as kind, 3 as o1, list_position([{", ".join(q(p[0]) for p in SECRET_PATTERNS)}], provider) as o2,
+   case when provider = 'generic' then 'Detected high-entropy credential assignment in .env file or configuration.'
+    else concat('Detected hardcoded ', upper(provider), ' access key/secret.') end as description, null as package, null as cve from secrets
+  union all select repo, file, line, cwe, rule, severity, 'IAC', 5, 0, description, null, null from docker_found
+  union all select repo, file, line, 'CWE-1104', concat('sca-', package), severity, 'SCA', 4, 0,
+   concat('Vulnerable dependency ', package, ' (', installed, ') matched constraint ', affected, '. CVE: ', cve, '.'), package, cve from sca
+  union all select repo, file, line, cwe, rule, severity, null, 1, 0, description, null, null from bandit),
+ raw as (select e.* from every e left join resolved r on r.repo = e.repo
+  where case e.o1 when 3 then coalesce(r.scan_secrets, true) when 1 then coalesce(r.scan_sast, true) else true end),
+ {dedup_sql('raw', 'kind', 'o1, o2')},
+ seen as (select distinct w.repo, w.package from (select distinct repo, package from raw where package is not null) w join files i on i.repo = w.repo
+  where {EXT} in {ql(config.REACHABILITY_EXTENSIONS)} and contains(lower(i.content), w.package)),
+ exposed as (select distinct repo from files where ({EXT} in {ql(config.EXPOSURE_EXTENSIONS)} or {NAME} = 'dockerfile') and ({EXPOSED})),
+ flagged as (select d.*, coalesce(l.sink, '') as sink,
+   case when d.cwe = 'CWE-1104' and d.package is not null and n.package is null then 'NO' else 'YES' end as reachable,
+   case when x.repo is null then 'NO' else 'YES' end as internet_exposed
+  from deduped d left join (select repo, file, line_no, {TRIM} as sink from all_lines) l on l.repo = d.repo and l.file = d.file and l.line_no = d.line
+  left join seen n on n.repo = d.repo and n.package = d.package left join exposed x on x.repo = d.repo),
+ {score_sql('flagged')}"""
+ORACLES["audit_findings"] = f"""{AUDIT} select repo, file, line, cwe, rule, detected_by, confidence, reachable, internet_exposed,
+ cast(risk_score as double) as risk_score, severity, sink, fingerprint, coalesce(cve, 'N/A') as cve from {print_sql('scored')}"""
+ORACLES["audit_verdicts"] = f"""{AUDIT}, {COUNTS}, {gate_sql()} select * from verdicts"""
+
+ORACLES["stream_gate"] = f"""{ctes('code_files')}, {secret_sql(LINES.format(files='code_files'))},
+ raw as (select repo, file, line, 'CWE-798' as cwe, 'generic-secret-entropy' as rule, 'critical' as severity, 'SECRET' as kind, '' as description, 1 as ord from secrets),
+ {dedup_sql('raw', 'kind')},
+ exposed as (select distinct repo from code_files where {EXPOSED}),
+ flagged as (select d.*, 'YES' as reachable, case when x.repo is null then 'NO' else 'YES' end as internet_exposed from deduped d left join exposed x on x.repo = d.repo),
+ {score_sql('flagged')}, {COUNTS},
+ resolved as (select distinct repo, 'critical,high' as fail_on, 0 as high_limit, cast(null as int) as medium_limit, cast(null as int) as low_limit from code_files),
+ {gate_sql()} select * from verdicts"""

@@ -793,7 +793,7 @@ def stream_scan(spark, sf_dir):
     out, checkpoint = fresh_path(spark, "stream-scan"), fresh_path(spark, "checkpoint")
     stream_scan_job.start_stream_scan(files, out, checkpoint).awaitTermination()
     schema = stream_scan_job.stream_scan(file_sources.documents_as_files(table(spark, sf_dir, "documents"))).schema
-    return _secret_columns(stream_scan_job.evidence_findings(spark.read.schema(schema).parquet(out)))
+    return _secret_columns(audit.line_findings(spark.read.schema(schema).parquet(out)))
 
 
 @query

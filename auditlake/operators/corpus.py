@@ -4,7 +4,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake import config
-from auditlake.functions.text import base_name, in_directory, split_lines, suffix
+from auditlake.functions.text import (
+    base_name,
+    contains_any,
+    in_directory,
+    once,
+    split_lines,
+    suffix,
+)
 
 
 def prune_ignored_dirs(files: DataFrame, ignored: list[str] = config.IGNORED_DIRS) -> DataFrame:
@@ -148,4 +155,4 @@ def display_path(repo: Column, path: Column) -> Column:
 
 def shows_exposure(content: Column) -> Column:
     """True if this text shows that its repository listens to the network."""
-    return F.lower(content).rlike("|".join(config.EXPOSURE_MARKERS))
+    return once(F.lower(content), lambda low: contains_any(low, config.EXPOSURE_MARKERS))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake import config
-from auditlake.functions.text import after_last, split_lines, strip
+from auditlake.functions.text import after_last, contains_any, split_lines, strip
 from auditlake.operators.corpus import classify_config, select_scan_sets
 from auditlake.rules import config_rules as rules_data
 from auditlake.rules.config_rules import CONFIG_RULES, ConfigRule
@@ -22,6 +22,11 @@ def _matches(rule: ConfigRule, text: Column) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
+def may_hit_config(text: Column, rules: list[ConfigRule] = CONFIG_RULES) -> Column:
+    """Cheap test that is true for every line some rule could match."""
+    return contains_any(text, dict.fromkeys(r.anchor_text for r in rules))
+
+
 def config_hits(kind: Column, text: Column, rules: list[ConfigRule] = CONFIG_RULES) -> Column:
     """Array of rule numbers that match this (stripped) line of a file of this kind."""
     by_kind = None
@@ -59,8 +64,8 @@ def config_findings(hits: DataFrame, rules: list[ConfigRule] = CONFIG_RULES) ->
 
 def iac_lines(lines: DataFrame, rules: list[ConfigRule] = CONFIG_RULES) -> DataFrame:
     """Line rules on rows (repo, file, kind, line_no, text)."""
-    stripped = lines.withColumn("text", strip(F.col("text")))
-    hits = stripped.withColumn("hit", F.explode(config_hits(F.col("kind"), F.col("text"), rules)))
+    likely = lines.filter(may_hit_config(F.col("text"), rules)).withColumn("text", strip(F.col("text")))
+    hits = likely.withColumn("hit", F.explode(config_hits(F.col("kind"), F.col("text"), rules)))
     return config_findings(hits, rules)
 
 
@@ -70,12 +75,18 @@ def root_user(lines: Column) -> Column:
     Worked out inside the file's own row, so no lines are shuffled.
     """
     numbered = F.transform(lines, lambda text, i: F.struct((i + 1).alias("line"), strip(text).alias("text")))
-    users = F.filter(numbered, lambda x: F.startswith(x["text"], F.lit("USER ")))
-    last = F.try_element_at(users, F.lit(-1))
-    name = strip(after_last(last["text"], "USER"))
-    return F.when(
-        F.size(users) == 0, F.struct(F.lit(1).alias("line"), F.lit(0).alias("case"))
-    ).when((F.lower(name) == "root") | (name == "0"), F.struct(last["line"].alias("line"), F.lit(1).alias("case")))
+    none = F.lit(None).cast("struct<line:int,text:string>")
+
+    def later_user(last: Column, at: Column) -> Column:
+        return F.when(F.startswith(at["text"], F.lit("USER ")), at).otherwise(last)
+
+    def verdict(last: Column) -> Column:
+        name = F.lower(strip(after_last(last["text"], "USER")))
+        return F.when(last.isNull(), F.struct(F.lit(1).alias("line"), F.lit(0).alias("case"))).when(
+            name.isin("root", "0"), F.struct(last["line"].alias("line"), F.lit(1).alias("case"))
+        )
+
+    return F.aggregate(numbered, none, later_user, verdict)
 
 
 def root_findings(rows: DataFrame) -> DataFrame:

@@ -1,19 +1,41 @@
 """Secret scanner: every rule on every line, at most one hit per rule and line."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake import config
 from auditlake.functions.secrets import entropy, mask_secret
-from auditlake.functions.text import strip
+from auditlake.functions.text import contains_any, once, strip
 from auditlake.operators.corpus import explode_lines, select_scan_sets
 from auditlake.rules.secret_rules import SECRET_CWE, SECRET_RULES, SECRET_SEVERITY, SecretRule
 from auditlake.schemas import conform_findings, finding_order
 
+LONG_S = "\u017f"
+
 
 def may_hold_secret(text: Column, rules: list[SecretRule] = SECRET_RULES) -> Column:
     """Cheap test that is true for every text in which some rule could match."""
-    return text.rlike("|".join(rule.anchor_regex for rule in rules))
+
+    def likely(rule: SecretRule, where: Column) -> Column:
+        found = contains_any(where, rule.anchors)
+        return found if rule.needs is None else F.contains(where, F.lit(rule.needs)) & found
+
+    exact = [likely(r, text) for r in rules if not r.ignore_case]
+    folded = [r for r in rules if r.ignore_case]
+    tests = list(exact)
+    if folded:
+        # The long s equals s when case is ignored, but lower() keeps it.
+        tests.append(
+            once(
+                F.lower(text),
+                lambda low: reduce(
+                    lambda a, b: a | b, [likely(r, low) for r in folded] + [F.contains(low, F.lit(LONG_S))]
+                ),
+            )
+        )
+    return reduce(lambda a, b: a | b, tests)
 
 
 def secret_hits(text: Column, rules: list[SecretRule] = SECRET_RULES) -> Column:

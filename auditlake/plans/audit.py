@@ -56,7 +56,6 @@ def scan_pass(
         .withColumn("kind", F.when(F.col("for_config"), config_kind(path, content)))
         .withColumn("secret_file", F.col("for_secrets") & secrets.may_hold_secret(content, secret_rules))
         .withColumn("exposed", F.col("for_exposure") & shows_exposure(content))
-        .filter("kind IS NOT NULL OR secret_file OR exposed OR for_dependencies")
     )
     split = F.when(F.col("kind").isNotNull() | F.col("secret_file"), split_lines(content)).otherwise(
         F.array().cast("array<string>")
@@ -84,6 +83,10 @@ def scan_pass(
             "root_text"
         ),
         F.posexplode(F.concat(F.array(F.lit("")), F.col("lines"))).alias("line_no", "text"),
+    ).filter(
+        (F.col("line_no") == 0)
+        | (F.col("secret_file") & secrets.may_hold_secret(F.col("text"), secret_rules))
+        | (F.col("kind").isNotNull() & iac.may_hit_config(F.col("text"), config_rules))
     )
     of_file = F.array_compact(
         F.array(

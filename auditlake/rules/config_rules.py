@@ -5,7 +5,11 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class ConfigRule:
-    """A line rule: all of ``contains`` and at least one of ``any_regex`` (where given)."""
+    """A line rule: all of ``contains`` and at least one of ``any_regex`` (where given).
+
+    ``anchor`` is a text that occurs in every line the rule can match; lines without any
+    rule's anchor are skipped early. It defaults to the first text of ``contains``.
+    """
 
     kind: str
     rule: str
@@ -16,6 +20,11 @@ class ConfigRule:
     contains: list[str] = field(default_factory=list)
     any_regex: list[str] = field(default_factory=list)
     skip_comments: bool = False
+    anchor: str | None = None
+
+    @property
+    def anchor_text(self) -> str:
+        return self.anchor or (self.contains[0] if self.contains else "")
 
 
 SOCKET = "/var/run/docker.sock"
@@ -33,7 +42,7 @@ CONFIG_RULES = [
         "compose", "compose-privileged-mode", "CWE-250", "high",
         "Container configured with privileged: true in Docker Compose configuration.",
         "Remove privileged: true to run the container with restricted host namespace scopes.",
-        any_regex=[PRIVILEGED],
+        any_regex=[PRIVILEGED], anchor="privileged:",
     ),
     ConfigRule(
         "compose", "compose-exposed-socket", "CWE-284", "critical",
@@ -45,7 +54,7 @@ CONFIG_RULES = [
         "compose", "compose-runs-as-root", "CWE-250", "medium",
         "Container explicitly configured to run as root/0 user.",
         "Map service execution to a non-root UID (e.g. user: 1000:1000).",
-        any_regex=[r"(?U)user:\s*[\"']?(root|0)[\"']?"],
+        any_regex=[r"(?U)user:\s*[\"']?(root|0)[\"']?"], anchor="user:",
     ),
     ConfigRule(
         "terraform", "tf-open-security-group", "CWE-284", "high",
@@ -69,7 +78,7 @@ CONFIG_RULES = [
         "kubernetes", "k8s-privileged-pod", "CWE-250", "high",
         "Kubernetes container securityContext permits privileged mode.",
         "Disable privileged mode (remove 'privileged: true') to restrict pod permissions.",
-        any_regex=[PRIVILEGED],
+        any_regex=[PRIVILEGED], anchor="privileged:",
     ),
     ConfigRule(
         "kubernetes", "k8s-exposed-socket", "CWE-284", "critical",
@@ -81,7 +90,7 @@ CONFIG_RULES = [
         "kubernetes", "k8s-run-as-root", "CWE-250", "medium",
         "Kubernetes pod securityContext allows root execution.",
         "Define runAsNonRoot: true and runAsUser with a non-zero UID.",
-        any_regex=[r"(?U)runAsUser:\s*0", r"(?U)runAsNonRoot:\s*false"],
+        any_regex=[r"(?U)runAsUser:\s*0", r"(?U)runAsNonRoot:\s*false"], anchor="runAs",
     ),
     ConfigRule(
         "cloudformation", "cfn-open-security-group", "CWE-284", "high",

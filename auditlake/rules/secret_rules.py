@@ -7,13 +7,15 @@ from dataclasses import dataclass
 class SecretRule:
     """A pattern for one provider.
 
-    ``anchor`` is a cheap pattern that must occur wherever ``pattern`` can match; it is used
-    to skip files and lines. ``min_entropy`` keeps a value only if it is above the bound.
+    ``anchors`` are literals one of which occurs wherever ``pattern`` can match (in lower case
+    if the case is ignored); files and lines without one are skipped early. ``needs`` is one
+    more literal such a place must have. ``min_entropy`` keeps a value only above the bound.
     """
 
     provider: str
     pattern: str
-    anchor: str
+    anchors: tuple[str, ...]
+    needs: str | None = None
     group: int = 0
     ignore_case: bool = False
     min_entropy: float | None = None
@@ -32,32 +34,30 @@ class SecretRule:
     def regex(self) -> str:
         return ("(?iuU)" if self.ignore_case else "(?U)") + self.pattern
 
-    @property
-    def anchor_regex(self) -> str:
-        return ("(?iuU:" if self.ignore_case else "(?:") + self.anchor + ")"
-
 
 # The patterns and the entropy bound.
 SECRET_RULES = [
-    SecretRule("aws", r"\b(AKIA|ASIA|AGPA|AIDA|AROA|ASCA)[A-Z0-9]{16}\b", r"A(?:KI|SI|GP|ID|RO|SC)A"),
-    SecretRule("github", r"\bghp_[A-Za-z0-9_]{36,255}\b", r"ghp_"),
-    SecretRule("openai", r"\bsk-(?:proj-)?[a-zA-Z0-9]{32,}\b", r"sk-"),
-    SecretRule("anthropic", r"\bsk-ant-sid01-[a-zA-Z0-9-_]{93}\b", r"sk-ant-sid01-"),
-    SecretRule("google", r"\bAIza[0-9A-Za-z-_]{35}\b", r"AIza"),
-    SecretRule("slack", r"\bxox[baprs]-[0-9]{10,12}-[a-zA-Z0-9]{24,48}\b", r"xox[baprs]-"),
-    SecretRule("jwt", r"\beyJ[A-Za-z0-9-_=]+\.eyJ[A-Za-z0-9-_=]+\.[A-Za-z0-9-_=]+\b", r"\.eyJ"),
-    SecretRule("ssh_key", r"-----BEGIN[A-Z0-9\s_]+PRIVATE\s+KEY-----", r"-----BEGIN"),
+    SecretRule("aws", r"\b(AKIA|ASIA|AGPA|AIDA|AROA|ASCA)[A-Z0-9]{16}\b", ("AKIA", "ASIA", "AGPA", "AIDA", "AROA", "ASCA")),
+    SecretRule("github", r"\bghp_[A-Za-z0-9_]{36,255}\b", ("ghp_",)),
+    SecretRule("openai", r"\bsk-(?:proj-)?[a-zA-Z0-9]{32,}\b", ("sk-",)),
+    SecretRule("anthropic", r"\bsk-ant-sid01-[a-zA-Z0-9-_]{93}\b", ("sk-ant-sid01-",)),
+    SecretRule("google", r"\bAIza[0-9A-Za-z-_]{35}\b", ("AIza",)),
+    SecretRule("slack", r"\bxox[baprs]-[0-9]{10,12}-[a-zA-Z0-9]{24,48}\b", ("xox",), needs="-"),
+    SecretRule("jwt", r"\beyJ[A-Za-z0-9-_=]+\.eyJ[A-Za-z0-9-_=]+\.[A-Za-z0-9-_=]+\b", (".eyJ",)),
+    SecretRule("ssh_key", r"-----BEGIN[A-Z0-9\s_]+PRIVATE\s+KEY-----", ("-----BEGIN",)),
     SecretRule(
         "db_url",
         r"\b(?:mongodb|postgres|postgresql|mysql|mssql|redis|sqlite|oracle):\/\/"
         r"[A-Za-z0-9-_~%]+:[A-Za-z0-9-_~%]+@[A-Za-z0-9.-]+:[0-9]+\b",
-        r"(?:mongodb|postgres|postgresql|mysql|mssql|redis|sqlite|oracle):\/\/",
+        ("://",),
+        needs="@",
     ),
     SecretRule(
         "generic",
         r"\b(?:API_KEY|SECRET|PASSWORD|PASS|TOKEN|CREDENTIALS|PWD)\s*=\s*"
         r"['\"]?([A-Za-z0-9-_~!@#$%^&*()_+]{16,})['\"]?",
-        r"(?:API_KEY|SECRET|PASSWORD|PASS|TOKEN|CREDENTIALS|PWD)\s*=",
+        ("api_key", "secret", "pass", "token", "credentials", "pwd"),
+        needs="=",
         group=1,
         ignore_case=True,
         min_entropy=3.0,

@@ -165,10 +165,9 @@ def allowed(found: DataFrame, plan: DataFrame) -> DataFrame:
     )
 
 
-def score(raw: DataFrame, files: DataFrame, exposed: DataFrame) -> DataFrame:
-    """Deduplicate, add context and compute the risk of each place."""
-    unique = findings.finding_defaults(findings.dedup_findings(raw))
-    with_line = context.sink_lookup(unique, files)
+def score(unique: DataFrame, files: DataFrame, exposed: DataFrame) -> DataFrame:
+    """Add context to deduplicated findings and compute the risk of each place."""
+    with_line = context.sink_lookup(findings.finding_defaults(unique), files)
     reachable = context.reachability(with_line, files)
     return scoring.risk_score(scoring.add_exposure(context.fingerprint(reachable), exposed))
 
@@ -223,7 +222,8 @@ def run_audit(
         resolved = keep(policy.policy_merge(repos, policies), "policies")
         every = allowed(every, policy.scanner_plan(resolved, profile))
     raw = keep(enrich.cwe_enrich(every, cwe_dim), "findings_raw")
-    scored = keep(enrich.remediation_join(score(raw, files, exposed), guidance), "findings_scored")
+    unique = keep(findings.dedup_findings(raw), "findings_unique")
+    scored = keep(enrich.remediation_join(score(unique, files, exposed), guidance), "findings_scored")
 
     counts = repos.join(scoring.severity_counts(scored), "repo", "left").na.fill(0, SEVERITIES)
     if resolved is None:

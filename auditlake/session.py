@@ -10,9 +10,9 @@ def session(master: str | None = None, partitions: int | None = None, memory: st
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        # HotSpot never compiles methods above this size; Spark then plans smaller ones instead.
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
+        # Large expressions are built here; recording a Python call site for each part is slow.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)

@@ -348,7 +348,7 @@ def _all_manifests(spark, sf_dir) -> DataFrame:
     every = load(spark, sf_dir, names[0])
     for name in names[1:]:
         every = every.unionByName(load(spark, sf_dir, name))
-    return every
+    return stored(every.repartition(32), "manifests")
 
 
 @query
@@ -738,14 +738,15 @@ def pr_comments(spark, sf_dir):
 
 
 def _audit_files(spark, sf_dir) -> DataFrame:
-    """Sources, tokens, Dockerfiles and manifests as one corpus of twenty repositories."""
+    """Sources, tokens, Dockerfiles and manifests as one stored table of twenty repositories."""
     code = load(spark, sf_dir, "import_files")
-    return (
+    every = (
         code.unionByName(load(spark, sf_dir, "token_files"))
         .unionByName(load(spark, sf_dir, "docker_files"))
         .unionByName(load(spark, sf_dir, "pom_files"))
         .unionByName(load(spark, sf_dir, "pipfile_files"))
     )
+    return stored(every.repartition(32), "files")
 
 
 def _audit(spark, sf_dir) -> audit.Audit:

@@ -1,7 +1,7 @@
 """JSON documents as ordered lines.
 
 A document may be larger than one row or one task should hold, so it is never put together
-in memory: it is a table of lines (repo, part, ord, line). Written in that order, the lines
+in memory: it is a table of lines (repo, part, ord, tie, line). Written in that order, the lines
 of a repository are its JSON document.
 """
 
@@ -9,39 +9,58 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+ORDER = ["repo", "part", "ord", "tie"]
+
+
 def fixed_line(repos: DataFrame, part: int, text: Column, ord_type: str) -> DataFrame:
     """One line per repository, such as the opening or closing of a document."""
     return repos.select(
-        "repo", F.lit(part).alias("part"), F.lit(None).cast(ord_type).alias("ord"), text.alias("line")
+        "repo",
+        F.lit(part).alias("part"),
+        F.lit(None).cast(ord_type).alias("ord"),
+        F.lit(None).cast("bigint").alias("tie"),
+        text.alias("line"),
     )
 
 
 def element_lines(rows: DataFrame, part: int, element: Column) -> DataFrame:
     """One array element per row, with a comma before all but the first of its repository.
 
-    The first rows come from an aggregate and are joined on (repo, ord), which is one row
-    per key, so a repository with very many elements stays spread.
+    Elements are ordered by ord and, where that ties, by a hash of their text; equal elements
+    are counted and repeated, so exactly one is the first. The first ones come from an
+    aggregate and are joined on the whole order, which is one row per key: a repository with
+    very many elements stays spread.
     """
-    elements = rows.select("repo", "ord", F.to_json(element).alias("json"))
-    first = rows.groupBy("repo").agg(F.min("ord").alias("ord")).withColumn("first", F.lit(True))
-    return elements.join(first, ["repo", "ord"], "left").select(
-        "repo",
-        F.lit(part).alias("part"),
-        "ord",
-        F.concat(F.when(F.col("first"), "").otherwise(","), F.col("json")).alias("line"),
+    json = rows.select("repo", "ord", F.to_json(element).alias("json"))
+    counted = (
+        json.withColumn("tie", F.xxhash64("json"))
+        .groupBy("repo", "ord", "tie", "json")
+        .agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    )
+    first = (
+        counted.groupBy("repo")
+        .agg(F.min(F.struct("ord", "tie")).alias("f"))
+        .select("repo", "f.ord", "f.tie", F.lit(True).alias("first"))
+    )
+    copies = counted.join(first, ["repo", "ord", "tie"], "left").withColumn(
+        "copy", F.explode(F.sequence(F.lit(1), F.col("copies")))
     )
+    opens = F.coalesce(F.col("first"), F.lit(False)) & (F.col("copy") == 1)
+    line = F.concat(F.when(opens, "").otherwise(","), F.col("json"))
+    # The opening copy carries the smaller tie-break among equal elements.
+    return copies.select(
+        "repo", F.lit(part).alias("part"), "ord", "tie", line.alias("line"), opens.alias("opens")
+    ).select("repo", "part", "ord", F.when(F.col("opens"), F.lit(-(2**63))).otherwise(F.col("tie")).alias("tie"), "line")
 
 
 def write_documents(lines: DataFrame, path: str) -> None:
     """Write each repository's lines to its own folder; files in name order are the document.
 
-    Rows are split by ranges of (repo, part, ord), so one large document is written by
-    several tasks.
+    Rows are split by ranges of their order, so one large document is written by several tasks.
     """
-    order = ["repo", "part", "ord"]
     (
-        lines.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        lines.repartitionByRange(*ORDER)
+        .sortWithinPartitions(*ORDER)
         .select("repo", "line")
         .write.mode("overwrite")
         .partitionBy("repo")

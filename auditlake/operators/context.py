@@ -13,19 +13,23 @@ from auditlake.workspace import stored
 # Package names looked for in one pass over a file; more names become more groups.
 PACKAGES_PER_GROUP = 500
 
+# Line numbers looked up in one pass over a file; a file with more is passed over again.
+LINES_PER_GROUP = 5000
+
 
 def source_lines(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """Stripped text of the wanted lines: rows (repo, file, line, text).
 
-    ``wanted`` is reduced to one row per file with its distinct line numbers, so a file is read
-    once however many findings it has, and only the wanted lines leave the join. The reduced
+    ``wanted`` is reduced to distinct line numbers per file, in groups of bounded size, so a file
+    is read once however many findings it has, and only the wanted lines leave the join. The reduced
     table is written first: Spark then knows its size and shuffles file text only if the table
     is too large to broadcast.
     """
     per_file = stored(
         wanted.filter("line IS NOT NULL")
-        .groupBy("repo", "file")
-        .agg(F.collect_set("line").alias("wanted_lines")),
+        .groupBy("repo", "file", F.floor(F.col("line") / LINES_PER_GROUP).alias("line_group"))
+        .agg(F.collect_set("line").alias("wanted_lines"))
+        .drop("line_group"),
         "wanted-lines",
     )
     lines = split_lines(F.col("content"))

@@ -1,9 +1,14 @@
 """Applying code patches to a table of files. The result is new rows; nothing is changed in place."""
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import split_lines, strip
+from auditlake.workspace import stored
+
+PATCHES_PER_ROUND = 1000
 
 
 def _apply_one(state: Column, patch: Column) -> Column:
@@ -39,40 +44,18 @@ def _apply_one(state: Column, patch: Column) -> Column:
     )
 
 
-def _fold(files: DataFrame, patches: DataFrame) -> DataFrame:
-    """One row per patched file: its patches in order, its new content, a status per patch.
-
-    Patches of one file depend on each other (each sees the text left by the one before), so
-    they are folded inside the file's row; files are independent. Only patched files leave
-    the join.
-    """
+def _fold(current: DataFrame, patches: DataFrame) -> DataFrame:
+    """Apply one round: rows (repo, file, content, patches, state) of the files it touches."""
     ordered = patches.groupBy("repo", "file").agg(
         F.array_sort(F.collect_list(F.struct("ord", "line", "original_code", "new_code"))).alias("patches")
     )
-    joined = ordered.join(
-        files.select("repo", F.col("path").alias("file"), "content"), ["repo", "file"], "left"
-    )
+    joined = ordered.join(current, ["repo", "file"], "left")
     start = F.struct(F.col("content").alias("content"), F.array().cast("array<string>").alias("statuses"))
     return joined.withColumn("state", F.aggregate("patches", start, _apply_one))
 
 
-def patch_apply(files: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Apply patches (repo, file, ord, line, original_code, new_code) to files.
-
-    Returns the new rows of the changed files (repo, path, size, content) and one status row
-    per patch: 'line' (the line was replaced), 'text' (all occurrences were replaced) or
-    'failed' (nothing matched, or there is no such file).
-    """
-    folded = _fold(files, patches)
-    changed = folded.filter(
-        F.col("content").isNotNull() & F.exists("state.statuses", lambda s: s != "failed")
-    ).select(
-        "repo",
-        F.col("file").alias("path"),
-        F.octet_length("state.content").cast("bigint").alias("size"),
-        F.col("state.content").alias("content"),
-    )
-    statuses = folded.select(
+def _statuses(folded: DataFrame) -> DataFrame:
+    return folded.select(
         "repo",
         "file",
         F.explode(F.arrays_zip("patches", F.col("state.statuses").alias("statuses"))).alias("r"),
@@ -83,4 +66,53 @@ def patch_apply(files: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFr
         F.col("r.patches.ord").alias("ord"),
         F.when(F.col("missing"), "failed").otherwise(F.col("r.statuses")).alias("status"),
     )
-    return changed, statuses
+
+
+def _next_content(folded: DataFrame) -> DataFrame:
+    return folded.filter("content IS NOT NULL").select("repo", "file", F.col("state.content").alias("content"))
+
+
+def _file_rows(contents: DataFrame) -> DataFrame:
+    return contents.select(
+        "repo",
+        F.col("file").alias("path"),
+        F.octet_length("content").cast("bigint").alias("size"),
+        "content",
+    )
+
+
+def patch_apply(
+    files: DataFrame, patches: DataFrame, patches_per_round: int = PATCHES_PER_ROUND
+) -> tuple[DataFrame, DataFrame]:
+    """Apply patches (repo, file, ord, line, original_code, new_code) to files.
+
+    Returns the new rows of the changed files (repo, path, size, content) and one status row
+    per patch: 'line' (the line was replaced), 'text' (all occurrences were replaced) or
+    'failed' (nothing matched, or there is no such file).
+
+    Patches of one file depend on each other (each sees the text left by the one before), so
+    they are folded in order inside the file's row; files are independent and only patched
+    files leave the join. A file with more patches than one round takes is finished in
+    further rounds, each starting from the stored texts of the round before.
+    """
+    in_file = Window.partitionBy("repo", "file").orderBy("ord")
+    numbered = patches.withColumn("round", F.floor((F.row_number().over(in_file) - 1) / patches_per_round))
+    last = numbered.agg(F.max("round")).first()[0] or 0
+    original = files.select("repo", F.col("path").alias("file"), "content")
+    if last == 0:
+        folded = _fold(original, patches)
+        some = F.exists("state.statuses", lambda status: status != "failed")
+        return _file_rows(_next_content(folded.filter(some))), _statuses(folded)
+
+    numbered = stored(numbered, "patches")
+    touched = numbered.select("repo", "file").distinct()
+    current = stored(original.join(touched, ["repo", "file"], "left_semi"), "patched-0")
+    parts = []
+    for i in range(last + 1):
+        folded = stored(_fold(current, numbered.filter(F.col("round") == i).drop("round")), f"patch-round-{i}")
+        parts.append(_statuses(folded))
+        rest = current.join(folded.select("repo", "file"), ["repo", "file"], "left_anti")
+        current = stored(_next_content(folded).unionByName(rest), f"patched-{i + 1}")
+    statuses = reduce(lambda a, b: a.unionByName(b), parts)
+    applied = statuses.filter("status <> 'failed'").select("repo", "file").distinct()
+    return _file_rows(current.join(applied, ["repo", "file"], "left_semi")), statuses

@@ -74,20 +74,25 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, schema=CONTENT)
 
 
-def corpus_load(roots: DataFrame, max_bytes: int | None = None) -> DataFrame:
+def corpus_load(roots: DataFrame, max_bytes: int | None = None, tasks: int | None = None) -> DataFrame:
     """Files below the given roots: rows (repo, root) to rows (repo, path, size, content).
 
     ``root`` is a folder every executor can read (a shared mount). Tasks list their
-    repositories, then the listing (names and sizes only) is spread evenly by a hash of the
-    path, so the files of one large repository are read by many tasks. Unreadable files are
-    left out. Nothing is listed or read on the driver.
+    repositories, then the listing (names and sizes only) is spread by a hash of the path
+    over ``tasks`` partitions, so the files of one large repository are read by many tasks.
+    The number is explicit because the listing is tiny and would otherwise be merged into a
+    few partitions that each read a large part of the corpus; choose about one per 256 MB.
+    Unreadable files are left out. Nothing is listed or read on the driver.
     """
-    listing = roots.select("repo", "root").mapInArrow(
-        _walk, "repo STRING, full STRING, path STRING, size BIGINT"
+    n = tasks or 8 * roots.sparkSession.sparkContext.defaultParallelism
+    listing = (
+        roots.select("repo", "root")
+        .repartition(n, "repo")
+        .mapInArrow(_walk, "repo STRING, full STRING, path STRING, size BIGINT")
     )
     if max_bytes is not None:
         listing = listing.filter(F.col("size") <= max_bytes)
-    spread = listing.repartition(F.xxhash64("repo", "path"))
+    spread = listing.repartition(n, F.xxhash64("repo", "path"))
     files = spread.mapInArrow(_read, "repo STRING, path STRING, size BIGINT, content BINARY")
     return files.withColumn("content", decode_lossy(F.col("content")))
 

@@ -73,6 +73,15 @@ def test_sarif(spark, tmp_path):
     assert [r["locations"][0]["physicalLocation"]["region"]["startLine"] for r in run["results"][1:3]] == [1, 1]
 
 
+def test_equal_and_tied_elements_keep_the_document_valid(spark, tmp_path):
+    rows = findings(spark, 40).withColumn("ord", F.lit(5))
+    rows = rows.unionByName(rows).unionByName(findings(spark))
+    rows = rows.unionByName(findings(spark))
+    write_documents(sarif.sarif_export(rows, repos(spark)), str(tmp_path / "t"))
+    results = read_documents(tmp_path / "t")["r"]["runs"][0]["results"]
+    assert len(results) == 82 and [r["ruleId"] for r in results[:2]] == ["ast-sql", "ast-sql"]
+
+
 def test_report(spark, tmp_path):
     summary = spark.createDataFrame([("r", 2, "high")], "repo string, finding_count int, risk_level string")
     report.report_export(findings(spark, 2), summary, str(tmp_path / "j"))

@@ -145,10 +145,11 @@ def test_patches_of_one_file_follow_each_other(spark):
         ("r", "a", 4, 3, "", "last\nline"), ("r", "b", 1, 1, "other", "q"), ("r", "nofile", 1, 1, "", "q"),
     ]
     patches = spark.createDataFrame(rows, "repo string, file string, ord int, line int, original_code string, new_code string")
-    changed, status = patch.patch_apply(files, patches)
-    assert [(r.path, r.content) for r in changed.collect()] == [("a", "z\ny = 3\nlast\nline\n")]
-    got = {(r.file, r.ord): r.status for r in status.collect()}
-    assert got == {("a", 1): "line", ("a", 2): "text", ("a", 3): "failed", ("a", 4): "line", ("b", 1): "failed", ("nofile", 1): "failed"}
+    for per_round in (1000, 2, 1):
+        changed, status = patch.patch_apply(files, patches, per_round)
+        assert [(r.path, r.content) for r in changed.collect()] == [("a", "z\ny = 3\nlast\nline\n")]
+        got = {(r.file, r.ord): r.status for r in status.collect()}
+        assert got == {("a", 1): "line", ("a", 2): "text", ("a", 3): "failed", ("a", 4): "line", ("b", 1): "failed", ("nofile", 1): "failed"}
 
 
 def test_overview_and_ranking(spark):

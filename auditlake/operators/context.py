@@ -7,12 +7,16 @@ from auditlake import config
 from auditlake.functions.labels import fingerprint as fingerprint_of
 from auditlake.functions.text import split_lines, strip, suffix
 from auditlake.operators.corpus import display_path, select_scan_sets, shows_exposure
-from auditlake.skew import lookup_join
+from auditlake.skew import counted_join, lookup_join
 from auditlake.workspace import stored
 
 # Package names looked for in one pass over a file; more names become more groups.
 PACKAGES_PER_GROUP = 500
 
+# Name groups that are sent to every executor (some 50 MB); more are joined by a salted shuffle.
+BROADCAST_GROUPS = 4000
+FILE_SALTS = 256
+
 # Line numbers looked up in one pass over a file; a file with more is passed over again.
 LINES_PER_GROUP = 5000
 
@@ -73,15 +77,17 @@ def exposure(files: DataFrame) -> DataFrame:
     )
 
 
-def package_mentions(wanted: DataFrame, files: DataFrame) -> DataFrame:
+def package_mentions(
+    wanted: DataFrame, files: DataFrame, broadcast_groups: int = BROADCAST_GROUPS
+) -> DataFrame:
     """Distinct (repo, package) of ``wanted`` whose name occurs in some code file of the repository.
 
     A substring test has no join key, so the names come to the files: each repository's
     distinct names are packed into groups of bounded size, and a file row tests the names of
-    a group in place and emits only those it contains. The groups are written first, so Spark
-    knows their size before it plans the pass over the files: below its broadcast limit no
-    file text is shuffled; above it the shuffle is salted by the file, so a repository with a
-    large share of all files is spread.
+    a group in place and emits only those it contains. The groups are written and counted
+    before the pass over the files is planned: up to a fixed number no file text is shuffled;
+    beyond, the shuffle is salted by the file, so a repository with a large share of all files
+    is spread.
     """
     names = wanted.select("repo", F.lower("package").alias("package")).distinct()
     counts = names.groupBy("repo").agg(F.ceil(F.count(F.lit(1)) / PACKAGES_PER_GROUP).alias("groups"))
@@ -95,7 +101,7 @@ def package_mentions(wanted: DataFrame, files: DataFrame) -> DataFrame:
     code = files.filter(suffix(F.col("path")).isin(config.REACHABILITY_EXTENSIONS)).select(
         "repo", "path", F.lower("content").alias("content")
     )
-    matched = lookup_join(code, groups, ["repo"], ["path"], "inner").select(
+    matched = counted_join(code, groups, ["repo"], ["path"], broadcast_groups, FILE_SALTS).select(
         "repo",
         F.explode(F.filter("names", lambda n: F.contains(F.col("content"), n))).alias("package"),
     )

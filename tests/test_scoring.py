@@ -135,7 +135,8 @@ def test_many_names_are_looked_for_in_groups(spark):
     rows = spark.createDataFrame([("r", n) for n in names], "repo string, package string")
     files = spark.createDataFrame([("r", f"f{i}.py", 1, " ".join(names[i::7][::2])) for i in range(7)], FILES)
     want = {n for i in range(7) for n in names[i::7][::2]}
-    assert {r.package for r in context.package_mentions(rows, files).collect()} == want
+    for limit in (context.BROADCAST_GROUPS, 0):
+        assert {r.package for r in context.package_mentions(rows, files, limit).collect()} == want
 
 
 def test_patches_of_one_file_follow_each_other(spark):

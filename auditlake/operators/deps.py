@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.functions.text import after_last, base_name, strip, words
+from auditlake.functions.text import after_last, base_name, once, strip, words
 from auditlake.operators.corpus import explode_lines, select_scan_sets
 
 NAME = "[a-zA-Z0-9_-]+"
@@ -42,6 +42,11 @@ def _by_manifest(choices: dict[str, Column]) -> Column:
     return chain
 
 
+def _if_any(value: Column) -> Column:
+    """Rows only where the value is not NULL (a filter would be pushed down and compute it twice)."""
+    return F.explode(F.array_compact(F.array(value)))
+
+
 def line_deps(lines: DataFrame, manifests: list[str]) -> DataFrame:
     """Dependencies of line formats from rows (repo, file, manifest, line_no, text)."""
     text, bare = F.col("text"), strip(F.col("text"))
@@ -57,8 +62,7 @@ def line_deps(lines: DataFrame, manifests: list[str]) -> DataFrame:
             ),
         )
     return (
-        lines.withColumn("d", _by_manifest(groups))
-        .filter("d IS NOT NULL")
+        lines.withColumn("d", _if_any(_by_manifest(groups)))
         .select(
             "repo",
             "file",
@@ -190,9 +194,7 @@ def block_deps(lines: DataFrame, manifests: list[str]) -> DataFrame:
     """
     stripped = lines.withColumn("text", strip(F.col("text")))
     event = _by_manifest({m: BLOCK_EVENTS[m](F.col("text"), F.col("line_no")) for m in manifests})
-    events = (
-        stripped.withColumn("e", event).filter("e IS NOT NULL").select("repo", "file", "line_no", "e.*")
-    )
+    events = stripped.withColumn("e", _if_any(event)).select("repo", "file", "line_no", "e.*")
     in_file = Window.partitionBy("repo", "file").orderBy("line_no")
     so_far = in_file.rowsBetween(Window.unboundedPreceding, 0)
     before = in_file.rowsBetween(Window.unboundedPreceding, -1)
@@ -244,34 +246,43 @@ def _entries(versioned: Column) -> Column:
 
 def _package_lock(content: Column) -> Column:
     """The ``packages`` object where it has members, else the top-level ``dependencies``."""
-    data = F.from_json(content, f"packages {VERSIONED}, dependencies {VERSIONED}")
-    nested = F.transform(
-        _entries(data["packages"]),
-        lambda e: F.struct(after_last(e["name"], "node_modules/").alias("name"), e["version"].alias("version")),
-    )
-    return F.when(F.size(data["packages"]) > 0, nested).otherwise(_entries(data["dependencies"]))
+
+    def entries(data: Column) -> Column:
+        nested = F.transform(
+            _entries(data["packages"]),
+            lambda e: F.struct(after_last(e["name"], "node_modules/").alias("name"), e["version"].alias("version")),
+        )
+        return F.when(F.size(data["packages"]) > 0, nested).otherwise(_entries(data["dependencies"]))
+
+    return once(F.from_json(content, f"packages {VERSIONED}, dependencies {VERSIONED}"), entries)
 
 
 def _composer(content: Column) -> Column:
     """``packages`` entries up to the first one without a name."""
-    packages = F.from_json(content, f"packages {ENTRIES}")["packages"]
-    nameless = F.array_position(F.transform(packages, lambda p: p["name"].isNull()), True).cast("int")
-    usable = F.when(nameless > 0, F.slice(packages, 1, nameless - 1)).otherwise(packages)
-    return F.transform(
-        usable, lambda p: F.struct(after_last(p["name"], "/").alias("name"), p["version"].alias("version"))
-    )
+
+    def entries(data: Column) -> Column:
+        packages = data["packages"]
+        nameless = F.array_position(F.transform(packages, lambda p: p["name"].isNull()), True).cast("int")
+        usable = F.when(nameless > 0, F.slice(packages, 1, nameless - 1)).otherwise(packages)
+        return F.transform(
+            usable, lambda p: F.struct(after_last(p["name"], "/").alias("name"), p["version"].alias("version"))
+        )
+
+    return once(F.from_json(content, f"packages {ENTRIES}"), entries)
 
 
 def _pipfile(content: Column) -> Column:
     """``default`` members, then ``develop`` members, without the == of the version."""
-    data = F.from_json(content, f"`default` {VERSIONED}, develop {VERSIONED}")
-    both = F.concat(_entries(data["default"]), _entries(data["develop"]))
-    return F.transform(
-        both,
-        lambda e: F.struct(
-            e["name"].alias("name"), F.replace(e["version"], F.lit("=="), F.lit("")).alias("version")
-        ),
-    )
+
+    def entries(data: Column) -> Column:
+        return F.transform(
+            F.concat(_entries(data["default"]), _entries(data["develop"])),
+            lambda e: F.struct(
+                e["name"].alias("name"), F.replace(e["version"], F.lit("=="), F.lit("")).alias("version")
+            ),
+        )
+
+    return once(F.from_json(content, f"`default` {VERSIONED}, develop {VERSIONED}"), entries)
 
 
 JSON_ENTRIES: dict[str, Callable[[Column], Column]] = {

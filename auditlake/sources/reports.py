@@ -212,25 +212,26 @@ def parse_pr_events(bodies: DataFrame) -> DataFrame:
 
     Bodies that are not JSON objects are dropped.
     """
-    schema = "number BIGINT, repository STRUCT<full_name:STRING>, pull_request STRING"
-    event = F.from_json("body", schema)
-    request = F.from_json(F.col("e.pull_request"), "head STRUCT<sha:STRING,ref:STRING>")
-    has_request = F.coalesce(
-        F.size(F.from_json(F.col("e.pull_request"), "MAP<STRING,STRING>")) > 0, F.lit(False)
+    schema = (
+        "number BIGINT, repository STRUCT<full_name:STRING>, pull_request MAP<STRING,STRING>, broken STRING"
     )
+    event = F.from_json("body", schema, {"columnNameOfCorruptRecord": "broken"})
+    request = F.from_json(F.try_element_at("e.pull_request", F.lit("head")), "sha STRING, ref STRING")
+    has_request = F.coalesce(F.size("e.pull_request") > 0, F.lit(False))
     return (
-        bodies.filter(F.from_json("body", "MAP<STRING,STRING>").isNotNull())
-        .withColumn("e", event)
+        bodies.withColumn("e", event)
+        .withColumn("head", request)
+        .filter("e.broken IS NULL")
         .withColumns(
             {
                 "status": F.when(has_request, "processed").otherwise("ignored"),
                 "pr_number": F.coalesce("e.number", F.lit(1)),
                 "repo": F.coalesce("e.repository.full_name", F.lit("unknown/repo")),
-                "commit_sha": F.coalesce(request["head"]["sha"], F.lit("unknown-sha")),
-                "branch": F.coalesce(request["head"]["ref"], F.lit("main")),
+                "commit_sha": F.coalesce("head.sha", F.lit("unknown-sha")),
+                "branch": F.coalesce("head.ref", F.lit("main")),
             }
         )
-        .drop("e", "body")
+        .drop("e", "head", "body")
     )
 
 

@@ -60,6 +60,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(CORPORA[name])
 
 
+def corpus_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived corpus laid out as a stored table of files, as a real corpus is."""
+    return stored(load(spark, sf_dir, name).repartition(32), name)
+
+
 def joined(name: str, sep: str = ",") -> Column:
     return F.array_join(name, sep).alias(name)
 
@@ -301,7 +306,7 @@ def secret_scan(spark, sf_dir):
 @query
 def secret_providers(spark, sf_dir):
     """The same scan on files with tokens of every provider."""
-    return _secret_columns(secrets.secret_scan(load(spark, sf_dir, "token_files")))
+    return _secret_columns(secrets.secret_scan(corpus_table(spark, sf_dir, "token_files")))
 
 
 def _dep_columns(df: DataFrame) -> DataFrame:
@@ -383,7 +388,7 @@ def _config_columns(df: DataFrame) -> DataFrame:
 
 @query
 def iac_dockerfile(spark, sf_dir):
-    return _config_columns(iac.iac_scan(load(spark, sf_dir, "docker_files")))
+    return _config_columns(iac.iac_scan(corpus_table(spark, sf_dir, "docker_files")))
 
 
 def _config_query(key: str, kind: str) -> None:

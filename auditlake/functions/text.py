@@ -38,6 +38,11 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def if_any(value: Column) -> Column:
+    """Keeps the rows whose value is not NULL; a filter would be pushed down and compute it twice."""
+    return F.explode(F.array_compact(F.array(value)))
+
+
 def contains_any(text: Column, needles: Iterable[str]) -> Column:
     """True if the text holds one of the literals. Much cheaper than a pattern with alternatives."""
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(n)) for n in needles])

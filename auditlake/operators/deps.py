@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.functions.text import after_last, base_name, once, strip, words
+from auditlake.functions.text import after_last, base_name, if_any, once, strip, words
 from auditlake.operators.corpus import explode_lines, select_scan_sets
 
 NAME = "[a-zA-Z0-9_-]+"
@@ -42,11 +42,6 @@ def _by_manifest(choices: dict[str, Column]) -> Column:
     return chain
 
 
-def _if_any(value: Column) -> Column:
-    """Rows only where the value is not NULL (a filter would be pushed down and compute it twice)."""
-    return F.explode(F.array_compact(F.array(value)))
-
-
 def line_deps(lines: DataFrame, manifests: list[str]) -> DataFrame:
     """Dependencies of line formats from rows (repo, file, manifest, line_no, text)."""
     text, bare = F.col("text"), strip(F.col("text"))
@@ -62,7 +57,7 @@ def line_deps(lines: DataFrame, manifests: list[str]) -> DataFrame:
             ),
         )
     return (
-        lines.withColumn("d", _if_any(_by_manifest(groups)))
+        lines.withColumn("d", if_any(_by_manifest(groups)))
         .select(
             "repo",
             "file",
@@ -194,7 +189,7 @@ def block_deps(lines: DataFrame, manifests: list[str]) -> DataFrame:
     """
     stripped = lines.withColumn("text", strip(F.col("text")))
     event = _by_manifest({m: BLOCK_EVENTS[m](F.col("text"), F.col("line_no")) for m in manifests})
-    events = stripped.withColumn("e", _if_any(event)).select("repo", "file", "line_no", "e.*")
+    events = stripped.withColumn("e", if_any(event)).select("repo", "file", "line_no", "e.*")
     in_file = Window.partitionBy("repo", "file").orderBy("line_no")
     so_far = in_file.rowsBetween(Window.unboundedPreceding, 0)
     before = in_file.rowsBetween(Window.unboundedPreceding, -1)

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake import config
-from auditlake.functions.text import after_last, contains_any, split_lines, strip
-from auditlake.operators.corpus import classify_config, select_scan_sets
+from auditlake.functions.text import after_last, contains_any, if_any, split_lines, strip
+from auditlake.operators.corpus import config_kind, select_scan_sets
 from auditlake.rules import config_rules as rules_data
 from auditlake.rules.config_rules import CONFIG_RULES, ConfigRule
 from auditlake.schemas import conform_findings, finding_order
@@ -113,10 +113,12 @@ def root_findings(rows: DataFrame) -> DataFrame:
 
 
 def iac_scan(files: DataFrame, rules: list[ConfigRule] = CONFIG_RULES) -> DataFrame:
-    """Scan all configuration files: one pass over the files, one UNION ALL, no shuffle."""
+    """Scan all configuration files without a shuffle (lines and Dockerfile users are two branches;
+    ``plans.audit.scan_pass`` does both, and the other scanners, in one pass)."""
     targets = (
-        classify_config(select_scan_sets(files).filter("for_config"))
-        .filter("kind IS NOT NULL")
+        select_scan_sets(files)
+        .filter("for_config")
+        .withColumn("kind", if_any(config_kind(F.col("path"), F.col("content"))))
         .select("repo", F.col("path").alias("file"), "kind", split_lines(F.col("content")).alias("lines"))
     )
     numbered = targets.select(

@@ -159,7 +159,7 @@ def allowed(found: DataFrame, plan: DataFrame) -> DataFrame:
         name = name.when(F.col("ord.scanner") == rank, PLAN_NAME[scanner])
     runs = plan.groupBy("repo").agg(F.collect_set("scanner").alias("_runs"))
     return (
-        lookup_join(found, runs, ["repo"], ["file", "line"])
+        lookup_join(found, runs, ["repo"], ["file", "line", "rule", "ord"])
         .filter(F.coalesce(F.array_contains("_runs", name), F.lit(True)))
         .drop("_runs")
     )

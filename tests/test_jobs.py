@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from auditlake.exports.report import report_export
 from auditlake.operators import context, corpus, findings, iac, secrets
 from auditlake.plans import audit
 from auditlake.rules.vuln_db import vuln_db
@@ -10,6 +11,7 @@ from auditlake.schemas import FILES
 from auditlake.skew import SALTS, lookup_join
 from auditlake.sources.files import corpus_load, documents_as_files
 from auditlake.streaming import latest, scan
+from tests.test_exports import read_documents
 from workload import queries as Q
 
 KEY = "sk-abcdef1234567890abcdef1234567890abcd"
@@ -55,6 +57,12 @@ def test_audit_of_a_small_repository(spark, tmp_path):
     summary = {x.repo: x for x in result.summary.collect()}
     assert summary["r"].finding_count == 4 and summary["s"].risk_level == "low"
 
+    report_export(result.scored, result.summary, str(tmp_path / "reports"), result.dependencies)
+    docs = read_documents(tmp_path / "reports")
+    assert len(docs["r"]["findings"]) == 4 and docs["s"]["findings"] == [] == docs["s"]["dependencies"]
+    assert docs["r"]["dependencies"][0] == {"package": "requests", "version": "2.0", "file": "r/requirements.txt"}
+    assert docs["r"]["summary"]["gate_status"] == "SECURITY GATE FAILED"
+
 
 def test_scan_pass_equals_the_single_scanners(spark, small):
     files = Q.load(spark, small, "token_files").unionByName(Q.load(spark, small, "docker_files"))

@@ -11,6 +11,7 @@ from auditlake.llm.common import word_count
 from auditlake.llm.exact_dedup import exact_groups
 from auditlake.llm.mixing import mixed
 from auditlake.llm.sharding import byte_shards
+from auditlake.llm.simhash import near_groups
 
 #: Shards of the sharding query.
 SHARDS = 24
@@ -30,6 +31,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(sized, "mix").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
@@ -37,5 +42,6 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op5_mixing": op5_mixing,
+    "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
 }

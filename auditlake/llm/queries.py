@@ -9,18 +9,26 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.common import word_count
 from auditlake.llm.exact_dedup import exact_groups
+from auditlake.llm.language_id import languages
 from auditlake.llm.mixing import mixed
+from auditlake.llm.packing import packed
 from auditlake.llm.sharding import byte_shards
 from auditlake.llm.simhash import near_groups
 
 #: Shards of the sharding query.
 SHARDS = 24
+#: Tokens of a training sequence.
+SEQUENCE = 1024
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(documents(spark, sf_dir), SEQUENCE)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = byte_shards(documents(spark, sf_dir), SHARDS)
     return shards.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
@@ -31,6 +39,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(sized, "mix").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(documents(spark, sf_dir))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir))
 
@@ -40,8 +52,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
     "op3_sharding": op3_sharding,
     "op5_mixing": op5_mixing,
+    "op8_language_id": op8_language_id,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
 }

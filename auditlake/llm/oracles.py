@@ -1,5 +1,7 @@
 """Check SQL of the operators that SQL can express."""
 
+from auditlake.llm.licences import EQUIVALENT, KNOWN
+
 #: CRC-32 of the UTF-8 bytes of ``t``, as DuckDB has no such function: the table by its rule, then a fold over the bytes.
 CRC = """
 crc_table as (
@@ -79,7 +81,30 @@ stay as (
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from stay
 """
 
+def _licences() -> str:
+    """The canonical form as SQL: the same fixed values, in SQL functions."""
+
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    lines = r"^[ \t#*/;-]*(copyright[ \t]*(\(c\)|©|:|<|\[|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©|all rights reserved)[^\n]*$"
+    text = f"regexp_replace(lower(coalesce(text, '')), {quoted('(?m)' + lines)}, '', 'g')"
+    words = f"' ' || trim(regexp_replace({text}, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g'), ' ') || ' '"
+    for a, b in EQUIVALENT:
+        words = f"replace({words}, {quoted(' ' + a.replace(' ', '  ') + ' ')}, {quoted(' ' + b.replace(' ', '  ') + ' ')})"
+    known = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in KNOWN)
+    return f"""
+with rows as (select doc_id, null as license_id, trim({words}, ' ') as canon from documents),
+known as (select min(license_id) as license_id, sha256(canon) as digest from (
+  select license_id, trim({words}, ' ') as canon from (values {known}) k(license_id, text)) where canon <> '' group by 2)
+select doc_id, (case when canon = '' then 0 else len(string_split(canon, '  ')) end)::bigint as n_words, sha256(canon) as digest,
+       known.license_id
+from rows left join known on known.digest = sha256(rows.canon)
+"""
+
+
 ORACLES = {
+    "op4_licence_scan": _licences(),
     "op3_sharding": SHARDING,
     "op5_mixing": MIXING,
     "op10_exact_dedup": EXACT_DEDUP,

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from auditlake.llm.common import word_count
 from auditlake.llm.exact_dedup import exact_groups
 from auditlake.llm.language_id import languages
+from auditlake.llm.licence_scan import licensed
 from auditlake.llm.mixing import mixed
 from auditlake.llm.packing import packed
 from auditlake.llm.sharding import byte_shards
 from auditlake.llm.simhash import near_groups
+from auditlake.llm.token_files import token_files
 
 #: Shards of the sharding query.
 SHARDS = 24
@@ -34,11 +36,19 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licensed(documents(spark, sf_dir))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = documents(spark, sf_dir).select("doc_id", "source", word_count().alias("size"))
     return mixed(sized, "mix").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(documents(spark, sf_dir))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(documents(spark, sf_dir))
 
@@ -54,7 +64,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_sharding": op3_sharding,
+    "op4_licence_scan": op4_licence_scan,
     "op5_mixing": op5_mixing,
+    "op7_token_files": op7_token_files,
     "op8_language_id": op8_language_id,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,

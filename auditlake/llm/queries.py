@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from auditlake.llm.common import word_count
 from auditlake.llm.exact_dedup import exact_groups
 from auditlake.llm.language_id import languages
 from auditlake.llm.licence_scan import licensed
 from auditlake.llm.mixing import mixed
 from auditlake.llm.packing import packed
+from auditlake.llm.quality import quality
+from auditlake.llm.secret_model import joined, secrets
 from auditlake.llm.sharding import byte_shards
 from auditlake.llm.simhash import near_groups
 from auditlake.llm.token_files import token_files
@@ -27,6 +30,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir), SEQUENCE)
 
@@ -45,6 +52,18 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(sized, "mix").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets(documents(spark, sf_dir))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
+        joined(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"),
+    )
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir))
 
@@ -62,12 +81,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_packing": op2_packing,
     "op3_sharding": op3_sharding,
     "op4_licence_scan": op4_licence_scan,
     "op5_mixing": op5_mixing,
+    "op6_secret_scan": op6_secret_scan,
     "op7_token_files": op7_token_files,
     "op8_language_id": op8_language_id,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
+    "pipeline": corpus_pipeline.run,
 }

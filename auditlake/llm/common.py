@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -94,3 +97,11 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
 def texts_of(column: pa.Array) -> list[str]:
     """Texts of a batch, empty where null."""
     return [x if x is not None else "" for x in column.to_pylist()]
+
+
+def kept_in_worker(key: Any, make: Callable[[], Any]) -> Any:
+    """An object that lives as long as its worker process. Functions sent with a job get new globals in each task."""
+    held = sys.modules.setdefault("_auditlake_worker", types.ModuleType("_auditlake_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import partitions, slices, stored, texts_of
-from auditlake.llm.tokens import END, Encoder
+from auditlake.llm.tokens import END, encoder
 
 #: Rows of a range in a sweep.
 RANGE_ROWS = 100_000
@@ -28,12 +28,12 @@ def token_pieces(docs: DataFrame, capacity: int, vocabulary: str | None = None,
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        own = encoder(vocabulary)
         end = END.to_bytes(4, "little")
         for batch in slices(batches):
             ids = batch.column("doc_id").to_pylist()
             rows: list[tuple] = []
-            for doc_id, data in zip(ids, encoder.encode(texts_of(batch.column("text")))):
+            for doc_id, data in zip(ids, own.encode(texts_of(batch.column("text")))):
                 data += end
                 n = len(data) // 4
                 first = n % capacity or capacity

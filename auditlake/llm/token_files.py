@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import partitions, slices, stored, texts_of
-from auditlake.llm.tokens import END, Encoder
+from auditlake.llm.tokens import END, encoder
 from auditlake.llm.wavelet import WaveletMatrix, write
 from auditlake.workspace import fresh_path
 
@@ -44,7 +44,7 @@ def write_shards(docs: DataFrame, folder: str, shard_tokens: int = SHARD_TOKENS,
         files, root = fs.FileSystem.from_uri(folder)
         files.create_dir(root, recursive=True)
         context = TaskContext.get()
-        encoder, end = Encoder(vocabulary), END.to_bytes(4, "little")
+        own, end = encoder(vocabulary), END.to_bytes(4, "little")
         ids: list[int | None] = []
         data: list[bytes] = []
         size = number = 0
@@ -67,7 +67,7 @@ def write_shards(docs: DataFrame, folder: str, shard_tokens: int = SHARD_TOKENS,
         schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("name", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())])
         part = context.partitionId()
         for batch in slices(batches):
-            for doc_id, found in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts_of(batch.column("text")))):
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), own.encode(texts_of(batch.column("text")))):
                 ids.append(doc_id)
                 data.append(found + end)
                 size += len(data[-1]) // 4

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
+from auditlake.llm.common import kept_in_worker
+
 END = 2
-#: Words remembered by an encoder; beyond, it forgets them all and starts again.
-MEMORY = 300_000
+#: Words remembered by an encoder: in two halves, the older of which goes when the younger is full.
+MEMORY = 1_600_000
+
+#: Letters, then punctuation: the tokenizer cuts between them wherever they stand.
+_STEM = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!#$%&*,.:;?|]+)")
 
 
 def default_vocabulary() -> str:
@@ -16,6 +22,12 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def encoder(vocabulary: str | None = None) -> Encoder:
+    """The encoder of this worker process: tasks after the first find its words."""
+    vocabulary = vocabulary or default_vocabulary()
+    return kept_in_worker(("encoder", vocabulary), lambda: Encoder(vocabulary))
+
+
 class Encoder:
     """Encodes texts to bytes of little-endian unsigned 32-bit ids.
 
@@ -24,45 +36,66 @@ class Encoder:
     once and are remembered. A text with any other white space beside a space goes through the tokenizer whole.
     """
 
-    def __init__(self, vocabulary: str | None = None) -> None:
+    def __init__(self, vocabulary: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(vocabulary or default_vocabulary())
+        self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes | bool] = {}
+        self.older: dict[str, bytes | bool] = {}
+        self.marks: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ids = [array("I", e.ids) for e in found]
-        return [x.tobytes() for x in ids]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > MEMORY:
-            known.clear()
-        split = [t.split(" ") for t in texts]
-        new: set[str] = set()
-        for words in split:
-            new.update(words[1:])
-        new.difference_update(known)
-        inner = []
+    def _mark(self, text: str) -> bytes:
+        if len(self.marks) > 10_000:
+            self.marks.clear()
+        if text not in self.marks:
+            self.marks[text] = self._ids([text])[0]
+        return self.marks[text]
+
+    def _learn(self, new: set[str]) -> None:
+        known, older = self.known, self.older
+        stems: dict[str, list[tuple[str, str]]] = {}
+        fresh = []
         for word in new:
+            if word in older:
+                known[word] = older[word]
+            elif found := _STEM.fullmatch(word):
+                stems.setdefault(found[1], []).append((word, found[2]))
             # An edge of white space would belong to a longer run: such a word is no unit.
-            if not word or word[0].isspace() or word[-1].isspace() or "᠎" in word:
-                known[word] = None
+            elif not word or word[0].isspace() or word[-1].isspace() or "᠎" in word:
+                known[word] = False
             else:
-                inner.append(word)
-        for word, ids in zip(inner, self._ids([" " + w for w in inner])):
+                fresh.append(word)
+        wanted = [s for s in stems if s not in known and s not in older and s not in new]
+        fresh += wanted
+        for word, ids in zip(fresh, self._ids([" " + w for w in fresh])):
             known[word] = ids
+        for stem, words in stems.items():
+            ids = known.get(stem) or older[stem]
+            for word, mark in words:
+                known[word] = ids + self._mark(mark)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > MEMORY // 2:
+            self.known, self.older = {}, self.known
+        split = [t.split(" ") for t in texts]
         heads = self._ids([w[0] for w in split])
-        out = []
-        for text, words, head in zip(texts, split, heads):
+        get = self.known.get
+        found = [list(map(get, w)) for w in split]
+        gaps = [[k for k, x in enumerate(f) if x is None] if None in f else [] for f in found]
+        self._learn({w[k] for w, g in zip(split, gaps) for k in g})
+        known, out = self.known, []
+        for text, words, ids, gap, head in zip(texts, split, found, gaps, heads):
+            for k in gap:
+                ids[k] = known[words[k]]
+            # The first word has no space before it.
+            ids[0] = head if len(words) == 1 or words[0] and not words[0][-1].isspace() else False
             try:
-                if len(words) > 1 and (not words[0] or words[0][-1].isspace()):
-                    raise TypeError
-                words[0] = ""
-                out.append(head + b"".join(map(known.__getitem__, words[1:])))
+                out.append(b"".join(ids))
             except TypeError:  # a word without ids of its own
                 out.append(self._ids([text])[0])
         return out

@@ -6,6 +6,8 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 from auditlake.llm.common import kept_in_worker
 
 END = 2
@@ -42,6 +44,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        tokens = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.spaced = np.zeros(max(tokens.values()) + 1, bool)
+        self.spaced[[i for t, i in tokens.items() if t.startswith("Ġ")]] = True  # how the file writes a space
         self.known: dict[str, bytes | bool] = {}
         self.older: dict[str, bytes | bool] = {}
         self.marks: dict[str, bytes] = {}
@@ -49,6 +54,17 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, each with a space before it, from one text: a word starts at each id that starts with a space."""
+        if not words:
+            return []
+        ids = self._ids([" " + " ".join(words)])[0]
+        starts = np.flatnonzero(self.spaced[np.frombuffer(ids, "<u4")]) * 4
+        if len(starts) != len(words):
+            return self._ids([" " + w for w in words])
+        at = [*starts.tolist(), len(ids)]
+        return [ids[a:b] for a, b in zip(at, at[1:])]
+
     def _mark(self, text: str) -> bytes:
         if len(self.marks) > 10_000:
             self.marks.clear()
@@ -72,8 +88,7 @@ class Encoder:
                 fresh.append(word)
         wanted = [s for s in stems if s not in known and s not in older and s not in new]
         fresh += wanted
-        for word, ids in zip(fresh, self._ids([" " + w for w in fresh])):
-            known[word] = ids
+        known.update(zip(fresh, self._words(fresh)))
         for stem, words in stems.items():
             ids = known.get(stem) or older[stem]
             for word, mark in words:

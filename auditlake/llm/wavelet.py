@@ -52,7 +52,7 @@ def write(doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray, tokens: n
         add(pack((np.cumsum(ones) - ones).astype("<u8").tobytes()))
         add(b"".join(blocks))
         header["zeros"].append(int(len(now) - ones.sum()))
-        now = np.concatenate([now[~bit], now[bit]])
+        now = np.concatenate([now[np.flatnonzero(~bit)], now[np.flatnonzero(bit)]])  # quicker than masks
     head = json.dumps(header).encode()
     return b"".join([MAGIC, len(head).to_bytes(4, "little"), head, *sections])
 
@@ -160,7 +160,7 @@ class WaveletMatrix:
             bit = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little", count=self.length).view(bool)
             zeros = self.zeros[plane]
             back = np.empty(self.length, kind)
-            back[~bit] = now[:zeros]
-            back[bit] = now[zeros:] | kind(1 << (self.depth - 1 - plane))
+            back[np.flatnonzero(~bit)] = now[:zeros]
+            back[np.flatnonzero(bit)] = now[zeros:] | kind(1 << (self.depth - 1 - plane))
             now = back
         return now.astype("<u4")

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auditlake.llm.common import slices, texts_of
 
@@ -224,8 +225,8 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
                 [*batch.schema.names, "lang_pred", "score"],
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(add, f"{fields}, lang_pred string, score double")
+    fields = T.StructType(list(docs.schema)).add("lang_pred", "string").add("score", "double")
+    return docs.mapInArrow(add, fields)
 
 
 def fold(name: str = "doc_id") -> Column:

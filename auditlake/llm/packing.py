@@ -17,6 +17,10 @@ from auditlake.llm.tokens import END, encoder
 RANGE_ROWS = 100_000
 #: A sweep that places less than this share of the waiting pieces is followed by opening sequences.
 SLOW = 0.1
+#: Pieces up to this part of the capacity may form bundles of twice as much.
+TINY = 16
+#: Share of the waiting pieces above which a size is opened for by itself.
+SPIKE = 0.05
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -191,9 +195,9 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     sort waiting pieces and gaps by size into ranges; sweep each range upwards, every gap taking the largest piece
     still below it (the smallest gap that fits, seen from the piece; pieces that want the same gap are resolved by their rank);
     give what ranges leave over to later ranges by the same rule, from a table of two counts per range; subtract. When a
-    round places few pieces or the gaps are too small for the rest, as many sequences are opened as the rest needs, by its
-    largest pieces; pieces up to an eighth of the capacity first form bundles, which bounds the rounds by what a
-    sequence holds of eighths. Every round starts from a written table.
+    round places few pieces or the gaps are too small for the rest, as many sequences are opened as the rest needs, by
+    its larger pieces; pieces up to a sixteenth of the capacity first form bundles, which bounds the rounds, as a
+    sequence holds 16 larger ones at most. Every round starts from a written table.
     """
     spark = pieces.sparkSession
     alone = pieces.where(F.col("size") == capacity).select("key", F.col("key").alias("bin"), "size")
@@ -235,38 +239,39 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
         ).where("gap > 0")
         rest = left.where("item is not null")
         about = rest.agg(F.count("item").alias("items"), F.sum("size").alias("sum"), F.min("size").alias("least"),
-                         F.count(F.when(F.col("plain") & (F.col("size") <= capacity // 8), 1)).alias("tiny")).first()
+                         F.count(F.when(F.col("plain") & (F.col("size") <= capacity // TINY), 1)).alias("tiny")).first()
         state = after.unionByName(left)
         if not about["items"]:
             break
         free = state.where((F.col("item").isNull()) & (F.col("gap") >= about["least"])).agg(F.sum("gap")).first()[0] or 0
         slow = before - about["items"] < SLOW * before
         if slow and about["tiny"] > 1:
-            tiny = rest.where(F.col("plain") & (F.col("size") <= capacity // 8)).select("item", "size")
+            tiny = rest.where(F.col("plain") & (F.col("size") <= capacity // TINY)).select("item", "size")
             ranges = max(1, min(partitions(spark), -(-about["tiny"] // RANGE_ROWS)))
             sorted_tiny = tiny.repartitionByRange(ranges, "size", "item").sortWithinPartitions("size", "item")
-            made = stored(sorted_tiny.mapInArrow(lambda b, most=capacity // 4: _bundle(b, most), "item long, size int, bundle long"), "bundles")
+            made = stored(sorted_tiny.mapInArrow(lambda b, most=2 * capacity // TINY: _bundle(b, most), "item long, size int, bundle long"), "bundles")
             bundles = made if bundles is None else bundles.unionByName(made)
             whole = made.groupBy(F.col("bundle").alias("item")).agg(F.sum("size").cast("int").alias("size"))
-            rest = rest.where(~(F.col("plain") & (F.col("size") <= capacity // 8))).unionByName(
+            rest = rest.where(~(F.col("plain") & (F.col("size") <= capacity // TINY))).unionByName(
                 whole.select("item", "size", F.lit(False).alias("plain"), nothing.cast("long").alias("bin"), nothing.cast("int").alias("gap"))
             )
         missing = about["sum"] if slow else about["sum"] - free
         if missing > 0:
             # By size: at most ``capacity`` rows come here. The largest pieces open sequences.
             sizes = {r["size"]: r["count"] for r in rest.groupBy("size").count().collect()}
-            wanted = -(-missing // capacity)
-            share = {}
+            # From the largest size down all open one; but of a size with more than SPIKE of the pieces, one for as many as
+            # a sequence holds of it, so that the others find a gap. A hash chooses; the first of the largest size opens anyway.
+            wanted, share = -(-missing // capacity), []
             for size in sorted(sizes, reverse=True):
-                share[size] = min(1.0, wanted / sizes[size])
-                wanted -= sizes[size]
+                spike = sizes[size] > SPIKE * about["items"]
+                chosen = min(wanted, -(-sizes[size] // (capacity // size)) if spike else sizes[size])
+                share += [F.lit(size), F.lit(chosen / sizes[size])]
+                wanted -= chosen
                 if wanted <= 0:
                     break
-            # Of a size that opens only some, a hash chooses; at least its first piece opens if nothing larger does.
-            edge = min(share)
             draw = F.pmod(F.xxhash64("item"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-            first = rest.where(F.col("size") == edge).agg(F.min("item")).first()[0]
-            opens = (F.col("size") > edge) | ((F.col("size") == edge) & ((draw < share[edge]) | (F.col("item") == first)))
+            first = rest.agg(F.min_by("item", F.struct(-F.col("size"), "item"))).first()[0]
+            opens = F.coalesce(draw < F.create_map(*share)[F.col("size")], F.lit(False)) | (F.col("item") == first)
             rest = stored(rest.select("item", "size", "plain", opens.alias("opens")), "opened")
             new = rest.where("opens")
             placed.append(new.select(F.col("item").alias("key"), F.col("item").alias("bin")))

@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auditlake.llm.common import numbered, slices, stored, texts_of
 
@@ -57,8 +58,7 @@ def with_fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -
             names = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(fp)], [*names, "fp"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(add, f"{kept}, fp long")
+    return docs.mapInArrow(add, T.StructType([f for f in docs.schema if f.name != "text"]).add("fp", "long"))
 
 
 # --- tiles ---------------------------------------------------------------------------------------------------------

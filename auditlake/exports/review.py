@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from auditlake.functions.labels import SEVERITIES, annotation_level
 from auditlake.operators.corpus import display_path
 from auditlake.operators.enrich import advice_join
-from auditlake.operators.history import latest_scan
 from auditlake.skew import lookup_join
 
 FAILED = "SECURITY GATE FAILED"
@@ -30,16 +29,24 @@ def pr_check_run(pr_events: DataFrame, verdicts: DataFrame) -> DataFrame:
     ).drop("gate_status")
 
 
+def pr_targets(pr_events: DataFrame) -> DataFrame:
+    """Each pull request (repo, pr_number) with the commit and branch of its newest event."""
+    newest = F.max_by(F.struct("commit_sha", "branch"), F.struct("ts", "ord"))
+    return pr_events.groupBy("repo", "pr_number").agg(newest.alias("e")).select("repo", "pr_number", "e.*")
+
+
 def pr_scan_join(pr_events: DataFrame, findings: DataFrame) -> DataFrame:
-    """Findings of each repository with its newest pull request event.
+    """Findings of the repositories that have a pull request, each once.
 
-    All events of a repository see the same findings, so they are listed once, for the newest
-    event; the check run of every event is in ``pr_check_run``. The join has one event per
-    repository and never multiplies events by findings.
+    All pull requests of a repository see the same findings. Their annotations and comments are made once per
+    repository; ``pr_delivery`` brings them to the pull requests of ``pr_targets`` that a consumer serves.
     """
-    newest = latest_scan(pr_events.select("repo", "ts", "ord", "pr_number", "commit_sha", "branch"))
-    event = newest.select("repo", "pr_number", "commit_sha", "branch")
-    return lookup_join(findings, event, ["repo"], ["file", "line", "cwe"], "inner")
+    return lookup_join(findings, pr_events.select("repo").distinct(), ["repo"], ["file", "line", "cwe"], "left_semi")
+
+
+def pr_delivery(notes: DataFrame, targets: DataFrame) -> DataFrame:
+    """Annotations or comments for each of the given pull requests."""
+    return lookup_join(notes, targets, ["repo"], [c for c in notes.columns if c != "repo"], "inner")
 
 
 def pr_annotations(scanned: DataFrame, templates: DataFrame) -> DataFrame:
@@ -49,8 +56,6 @@ def pr_annotations(scanned: DataFrame, templates: DataFrame) -> DataFrame:
     text = F.coalesce("description", F.lit("Security vulnerability detected."))
     return rows.select(
         "repo",
-        "pr_number",
-        "commit_sha",
         display_path(F.col("repo"), F.col("file")).alias("path"),
         line.alias("start_line"),
         line.alias("end_line"),
@@ -66,8 +71,6 @@ def pr_comments(scanned: DataFrame, templates: DataFrame) -> DataFrame:
     text = F.coalesce("description", F.lit("Security vulnerability detected."))
     return rows.select(
         "repo",
-        "pr_number",
-        "commit_sha",
         display_path(F.col("repo"), F.col("file")).alias("file"),
         F.coalesce("line", F.lit(1)).alias("line"),
         F.concat(

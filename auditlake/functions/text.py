@@ -19,10 +19,16 @@ REPLACEMENT_CHARACTER = "\ufffd"
 
 
 def decode_lossy(raw: Column) -> Column:
-    """UTF-8 text with undecodable bytes dropped (a literal U+FFFD is dropped too)."""
-    return F.replace(
-        F.make_valid_utf8(raw.cast("string")), F.lit(REPLACEMENT_CHARACTER), F.lit("")
-    )
+    """UTF-8 text with undecodable bytes dropped. Valid text, a literal U+FFFD included, stays as it is.
+
+    In text with bad bytes a literal U+FFFD is written another way while the bad bytes are removed; the mark that
+    does this is itself doubled before.
+    """
+    text, mark, lost = raw.cast("string"), "\x01", F.lit(REPLACEMENT_CHARACTER)
+    hidden = F.replace(F.replace(text, F.lit(mark), F.lit(mark + "a")), lost, F.lit(mark + "b"))
+    clean = F.replace(F.make_valid_utf8(hidden), lost, F.lit(""))
+    shown = F.replace(F.replace(clean, F.lit(mark + "b"), lost), F.lit(mark + "a"), F.lit(mark))
+    return F.when(F.is_valid_utf8(text), text).otherwise(shown)
 
 
 def strip(text: Column) -> Column:

@@ -25,9 +25,13 @@ def select_by_extension(
     return files.filter(suffix(F.col("path")).isin(extensions))
 
 
-def size_limit(files: DataFrame, max_bytes: int = config.MAX_FILE_BYTES) -> DataFrame:
-    """Keep files up to the limit, the limit itself included."""
-    return files.filter(F.col("size") <= max_bytes)
+def within(max_bytes: int | None) -> Column:
+    """True up to the limit, the limit itself included; without a limit always."""
+    return F.lit(True) if max_bytes is None else F.col("size") <= max_bytes
+
+
+def size_limit(files: DataFrame, max_bytes: int | None) -> DataFrame:
+    return files.filter(within(max_bytes))
 
 
 def config_kind(path: Column, content: Column) -> Column:
@@ -55,14 +59,17 @@ def classify_config(files: DataFrame) -> DataFrame:
     return files.withColumn("kind", config_kind(F.col("path"), F.col("content")))
 
 
-def select_scan_sets(files: DataFrame) -> DataFrame:
+def select_scan_sets(files: DataFrame, max_bytes: int | None = None, workflows: bool = True) -> DataFrame:
     """Mark which scanners read a file. Only the path and the size are looked at.
 
-    Workflow files are exempt from directory pruning for the configuration scanner, because
-    their directory is itself an ignored one.
+    Without ``max_bytes`` files of any size are read; with it, ``scan_warnings`` lists what is left out. With
+    ``workflows`` the configuration scanner sees workflow files although their directory ``.github`` is an ignored one;
+    below any other ignored directory they stay unseen.
     """
     path, name, ext, kept = F.col("path"), F.col("_name"), F.col("_ext"), F.col("_kept")
-    small = F.col("size") <= config.MAX_FILE_BYTES
+    small = within(max_bytes)
+    others = [d for d in config.IGNORED_DIRS if d != ".github"]
+    workflow = F.contains(path, F.lit(".github/workflows")) & ~in_directory(path, others) & F.lit(workflows)
     source = ext.isin(config.SUPPORTED_EXTENSIONS)
     named = files.withColumns(
         {
@@ -76,7 +83,7 @@ def select_scan_sets(files: DataFrame) -> DataFrame:
             "for_review": kept & source & small,
             "for_secrets": kept & (source | (name == ".env") | (ext == ".env")) & small,
             "for_dependencies": kept & name.isin(config.MANIFEST_NAMES),
-            "for_config": (kept | F.contains(path, F.lit(".github/workflows")))
+            "for_config": (kept | workflow)
             & (
                 name.isin("dockerfile", "jenkinsfile")
                 | ext.isin(".dockerfile", ".jenkinsfile", ".tf", ".yml", ".yaml")
@@ -87,14 +94,14 @@ def select_scan_sets(files: DataFrame) -> DataFrame:
     ).drop("_name", "_ext", "_kept")
 
 
-def stage_filter(files: DataFrame) -> DataFrame:
+def stage_filter(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Files that a staged scan (scan_mode 'staged') would see."""
     path = F.col("path")
     ext = suffix(path)
     wanted = ext.isin(config.SUPPORTED_EXTENSIONS + config.STAGED_EXTENSIONS) | F.lower(
         base_name(path)
     ).isin(config.STAGED_NAMES)
-    return size_limit(prune_ignored_dirs(files)).filter(wanted)
+    return size_limit(prune_ignored_dirs(files), max_bytes).filter(wanted)
 
 
 def explode_lines(files: DataFrame) -> DataFrame:
@@ -104,38 +111,38 @@ def explode_lines(files: DataFrame) -> DataFrame:
     ).select("repo", "file", (F.col("pos") + 1).alias("line_no"), "text")
 
 
-def review_candidates(files: DataFrame, n: int = config.REVIEW_FILES_PER_REPO) -> DataFrame:
+def review_candidates(files: DataFrame, n: int, max_bytes: int | None = None) -> DataFrame:
     """The first n reviewable files of each repository by path.
 
     Each task keeps its own n best rows per repository before the shuffle, so a repository
     with very many files sends only n rows per task.
     """
-    reviewable = select_scan_sets(files).filter("for_review").select("repo", "path", "size")
+    reviewable = select_scan_sets(files, max_bytes).filter("for_review").select("repo", "path", "size")
     rank = F.row_number().over(Window.partitionBy("repo").orderBy("path"))
     return reviewable.withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
-def scan_warnings(files: DataFrame) -> DataFrame:
-    """One row per supported file that is too large to scan."""
-    skipped = select_by_extension(prune_ignored_dirs(files)).filter(F.col("size") > config.MAX_FILE_BYTES)
+def scan_warnings(files: DataFrame, max_bytes: int | None) -> DataFrame:
+    """One row per supported file that the limit keeps from being scanned."""
+    skipped = select_by_extension(prune_ignored_dirs(files)).filter(~within(max_bytes))
     text = F.concat(
         F.lit("Skipped "),
         base_name(F.col("path")),
-        F.lit(f" (exceeds size limit of {config.MAX_FILE_SIZE_MB}MB)"),
+        F.lit(f" (exceeds size limit of {(max_bytes or 0) // (1 << 20)}MB)"),
     )
     return skipped.select("repo", "path", text.alias("warning"))
 
 
-def scan_stats(files: DataFrame, findings: DataFrame) -> DataFrame:
+def scan_stats(files: DataFrame, findings: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Per repository: files scanned, files skipped for size, rows from each integration.
 
     The warnings themselves stay rows (``scan_warnings``); a repository may have any number.
     """
-    flagged = select_scan_sets(files)
+    flagged = select_scan_sets(files, max_bytes)
     too_large = (
         ~in_directory(F.col("path"), config.IGNORED_DIRS)
         & suffix(F.col("path")).isin(config.SUPPORTED_EXTENSIONS)
-        & (F.col("size") > config.MAX_FILE_BYTES)
+        & ~within(max_bytes)
     )
     per_repo = flagged.groupBy("repo").agg(
         F.count_if("for_review").alias("scanned_files"), F.count_if(too_large).alias("skipped_files")

@@ -39,7 +39,7 @@ def dedup_findings(findings: DataFrame) -> DataFrame:
     """One row per (repo, file, line, cwe): the representative, and all detectors that agree.
 
     The representative has the highest severity, then the longest description, then comes
-    first. Rows are reduced before the shuffle, so a place reported very often moves one row
+    first; full ties go by the rows' values, so any order of arrival gives the same row. Rows are reduced before the shuffle, so a place reported very often moves one row
     per task; the detector set holds at most one entry per detector name.
     """
     keyed = _with_key(findings)
@@ -48,6 +48,7 @@ def dedup_findings(findings: DataFrame) -> DataFrame:
         -severity_priority(F.col("severity")),
         -F.length(F.coalesce(F.col("description"), F.lit(""))),
         F.col("ord"),
+        F.struct(*[F.col(c) for c in carried if c != "ord"]),
     )
     detectors = F.collect_set(detector_name(F.col("rule"), _kind(findings)))
     grouped = keyed.groupBy(*KEY).agg(
@@ -79,7 +80,7 @@ def finding_lookup(findings: DataFrame, requests: DataFrame) -> DataFrame:
     carried = [c for c in findings.columns if c != "fingerprint"]
     first = (
         findings.groupBy("fingerprint")
-        .agg(F.min_by(F.struct(*carried), F.col("ord")).alias("first"))
+        .agg(F.min_by(F.struct(*carried), F.struct("ord", *[c for c in carried if c != "ord"])).alias("first"))
         .select("fingerprint", "first.*")
     )
     return lookup_join(requests, first, ["fingerprint"], ["request_id"], "inner")

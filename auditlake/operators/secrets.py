@@ -12,7 +12,8 @@ from auditlake.operators.corpus import explode_lines, select_scan_sets
 from auditlake.rules.secret_rules import SECRET_CWE, SECRET_RULES, SECRET_SEVERITY, SecretRule
 from auditlake.schemas import conform_findings, finding_order
 
-LONG_S = "\u017f"
+#: Letters that equal an ASCII letter when case is ignored, and that letter: dotted and dotless i, long s, Kelvin sign.
+FOLDED, ASCII = "\u0130\u0131\u017f\u212a", "iisk"
 
 
 def may_hold_secret(text: Column, rules: list[SecretRule] = SECRET_RULES) -> Column:
@@ -26,15 +27,8 @@ def may_hold_secret(text: Column, rules: list[SecretRule] = SECRET_RULES) -> Col
     folded = [r for r in rules if r.ignore_case]
     tests = list(exact)
     if folded:
-        # The long s equals s when case is ignored, but lower() keeps it.
-        tests.append(
-            once(
-                F.lower(text),
-                lambda low: reduce(
-                    lambda a, b: a | b, [likely(r, low) for r in folded] + [F.contains(low, F.lit(LONG_S))]
-                ),
-            )
-        )
+        low = F.lower(F.translate(text, FOLDED, ASCII))
+        tests.append(once(low, lambda x: reduce(lambda a, b: a | b, [likely(r, x) for r in folded])))
     return reduce(lambda a, b: a | b, tests)
 
 
@@ -86,7 +80,7 @@ def scan_secret_lines(lines: DataFrame, rules: list[SecretRule] = SECRET_RULES)
     return secret_findings(hits, rules)
 
 
-def secret_scan(files: DataFrame, rules: list[SecretRule] = SECRET_RULES) -> DataFrame:
+def secret_scan(files: DataFrame, rules: list[SecretRule] = SECRET_RULES, max_bytes: int | None = None) -> DataFrame:
     """Scan the files of the secret set. Needs no shuffle: files are split and matched in place."""
-    targets = select_scan_sets(files).filter("for_secrets").filter(may_hold_secret(F.col("content"), rules))
+    targets = select_scan_sets(files, max_bytes).filter("for_secrets").filter(may_hold_secret(F.col("content"), rules))
     return scan_secret_lines(explode_lines(targets), rules)

@@ -15,7 +15,7 @@ from auditlake import config
 from auditlake.functions.labels import SEVERITIES
 from auditlake.functions.text import split_lines, strip
 from auditlake.operators import context, deps, enrich, findings, iac, policy, sca, scoring, secrets
-from auditlake.operators.corpus import config_kind, select_scan_sets, shows_exposure
+from auditlake.operators.corpus import config_kind, scan_stats, scan_warnings, select_scan_sets, shows_exposure
 from auditlake.rules.config_rules import CONFIG_RULES, ConfigRule
 from auditlake.rules.secret_rules import SECRET_RULES, SecretRule
 from auditlake.skew import lookup_join
@@ -41,6 +41,7 @@ def scan_pass(
     files: DataFrame,
     secret_rules: list[SecretRule] = SECRET_RULES,
     config_rules: list[ConfigRule] = CONFIG_RULES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Everything the detectors need from the text, in a single pass without a shuffle.
 
@@ -52,7 +53,7 @@ def scan_pass(
     none = F.lit(None)
     path, content = F.col("path"), F.col("content")
     marked = (
-        select_scan_sets(files)
+        select_scan_sets(files, max_bytes)
         .withColumn("kind", F.when(F.col("for_config"), config_kind(path, content)))
         .withColumn("secret_file", F.col("for_secrets") & secrets.may_hold_secret(content, secret_rules))
         .withColumn("exposed", F.col("for_exposure") & shows_exposure(content))
@@ -152,12 +153,18 @@ def manifest_deps(evidence: DataFrame) -> DataFrame:
     return deps.extract_deps(files)
 
 
-def allowed(found: DataFrame, plan: DataFrame) -> DataFrame:
-    """Keep the findings of scanners that the plan (repo, scanner) lists for the repository."""
+def allowed(found: DataFrame, plan: DataFrame, planned: DataFrame) -> DataFrame:
+    """Keep the findings of scanners that the plan (repo, scanner) lists for the repository.
+
+    A repository of ``planned`` (repo) that the plan does not list runs no scanner. Findings of a scanner without a
+    name of its own, and of repositories that were not planned, pass.
+    """
     name = F.when(F.lit(False), "")
     for scanner, rank in config.SCANNER_RANK.items():
         name = name.when(F.col("ord.scanner") == rank, PLAN_NAME[scanner])
     runs = plan.groupBy("repo").agg(F.collect_set("scanner").alias("_runs"))
+    runs = planned.select("repo").distinct().join(runs, "repo", "left")
+    runs = runs.withColumn("_runs", F.coalesce("_runs", F.array().cast("array<string>")))
     return (
         lookup_join(found, runs, ["repo"], ["file", "line", "rule", "ord"])
         .filter(F.coalesce(F.array_contains("_runs", name), F.lit(True)))
@@ -181,6 +188,7 @@ class Audit:
     scored: DataFrame
     verdicts: DataFrame
     summary: DataFrame
+    warnings: DataFrame
 
 
 def run_audit(
@@ -192,10 +200,14 @@ def run_audit(
     reports: list[DataFrame] | None = None,
     profile: str = "comprehensive",
     out: str | None = None,
+    max_bytes: int | None = None,
+    reported_dependencies: DataFrame | None = None,
 ) -> Audit:
-    """Audit all repositories of ``files`` and store the results below ``out``.
+    """Audit all repositories of ``files`` and ``reports`` and store the results below ``out``.
 
-    ``reports`` are findings ingested from other tools, ``policies`` the policy files as rows.
+    ``reports`` are findings ingested from other tools, ``policies`` the policy files as rows. Source files above
+    ``max_bytes`` are not scanned (by default all are) and listed in ``warnings``. ``reported_dependencies`` (from
+    ``ingest_osv_deps``) join the inventory; their findings come with the reports.
     """
     spark = files.sparkSession
     base = out or fresh_path(spark, "audit")
@@ -205,22 +217,40 @@ def run_audit(
         return spark.read.schema(df.schema).parquet(f"{base}/{name}")
 
     evidence_path = f"{base}/evidence"
-    scanned = scan_pass(files)
+    scanned = scan_pass(files, max_bytes=max_bytes)
     scanned.write.mode("overwrite").partitionBy("stage").parquet(evidence_path)
     evidence = spark.read.schema(scanned.schema).parquet(evidence_path)
 
-    repos = keep(files.select("repo").distinct(), "repos")
+    known = files.select("repo")
+    for report in reports or []:
+        known = known.unionByName(report.select("repo"))
+    if reported_dependencies is not None:
+        known = known.unionByName(reported_dependencies.select("repo"))
+    repos = keep(known.distinct(), "repos")
+    warnings = keep(scan_warnings(files, max_bytes), "warnings")
     exposed = keep(
         evidence.filter("stage = 'exposure'").select("repo").distinct().withColumn("internet_exposed", F.lit(True)),
         "exposure",
     )
-    dependencies = keep(manifest_deps(evidence), "dependencies")
-    parts = [line_findings(evidence), sca.sca_match(dependencies, vulnerabilities), *(reports or [])]
-    every = findings.finding_union(*parts)
-    resolved = None
+    resolved = plan = None
     if policies is not None:
         resolved = keep(policy.policy_merge(repos, policies), "policies")
-        every = allowed(every, policy.scanner_plan(resolved, profile))
+        plan = policy.scanner_plan(resolved, profile)
+
+    def listed(deps: DataFrame) -> DataFrame:
+        """Dependencies of the repositories whose policy leaves their scanner on."""
+        if plan is None:
+            return deps
+        return lookup_join(deps, plan.filter(F.col("scanner") == PLAN_NAME["sca"]).select("repo"), ["repo"], ["file", "line"], "left_semi")
+
+    own = keep(listed(manifest_deps(evidence)), "own_dependencies")
+    dependencies = own
+    if reported_dependencies is not None:
+        dependencies = keep(own.unionByName(listed(reported_dependencies)), "dependencies")
+    parts = [line_findings(evidence), sca.sca_match(own, vulnerabilities), *(reports or [])]
+    every = findings.finding_union(*parts)
+    if plan is not None:
+        every = allowed(every, plan, repos)
     raw = keep(enrich.cwe_enrich(every, cwe_dim), "findings_raw")
     unique = keep(findings.dedup_findings(raw), "findings_unique")
     scored = keep(enrich.remediation_join(score(unique, files, exposed), guidance), "findings_scored")
@@ -231,5 +261,7 @@ def run_audit(
             "repo", "CAST(NULL AS ARRAY<STRING>) AS fail_on", "CAST(NULL AS ARRAY<STRUCT<sev:STRING,limit:INT>>) AS thresholds"
         ))
     verdicts = keep(scoring.gate(counts, resolved), "verdicts")
-    summary = keep(scoring.report_summary(raw, scored, verdicts), "summary")
-    return Audit(raw, dependencies, scored, verdicts, summary)
+    stats = scan_stats(files, raw, max_bytes)
+    summary = scoring.report_summary(raw, scored, verdicts).join(stats, "repo", "left").na.fill(0, ["scanned_files", "skipped_files", "bandit", "codeql"])
+    summary = keep(summary, "summary")
+    return Audit(raw, dependencies, scored, verdicts, summary, warnings)

@@ -24,10 +24,10 @@ FINDING_COLUMNS = {
     "fix": "string",
     "rule_remediation": "string",
     "sink": "string",
-    "ord": "struct<scanner:int,path:string,line:int,rule:int>",
+    "ord": "struct<scanner:int,path:string,line:int,rule:array<bigint>>",
 }
 
-DEPENDENCY = "repo STRING, file STRING, line INT, package STRING, version STRING, pos INT"
+DEPENDENCY = "repo STRING, file STRING, line INT, package STRING, version STRING, pos BIGINT"
 
 POLICY = (
     "repo STRING, file_name STRING, parsed BOOLEAN, fail_on ARRAY<STRING>, "
@@ -36,13 +36,16 @@ POLICY = (
 )
 
 
-def finding_order(scanner: int, path: Column, line: Column, rule: Column) -> Column:
-    """Sort key of a finding: the order in which one repository's scan would append it."""
+def finding_order(scanner: int, path: Column, line: Column, *rule: Column) -> Column:
+    """Sort key of a finding: the order in which one repository's scan would append it.
+
+    ``rule`` are the positions within a line or report, outermost first.
+    """
     return F.struct(
         F.lit(scanner).cast("int").alias("scanner"),
         path.alias("path"),
         line.cast("int").alias("line"),
-        rule.cast("int").alias("rule"),
+        F.array(*[r.cast("bigint") for r in rule]).alias("rule"),
     )
 
 

@@ -108,7 +108,7 @@ def _osv_packages(reports: DataFrame) -> DataFrame:
     ).select(
         "repo",
         "file",
-        (F.col("i") * 100000 + F.col("j")).alias("pos"),
+        F.shiftleft(F.col("i").cast("bigint"), 31).bitwiseOR(F.col("j").cast("bigint")).alias("pos"),
         F.coalesce("p.package.name", F.lit("")).alias("package"),
         F.coalesce("p.package.version", F.lit("")).alias("version"),
         F.col("p.vulnerabilities").alias("vulnerabilities"),
@@ -146,7 +146,7 @@ def ingest_osv(reports: DataFrame) -> DataFrame:
             F.lit("Matched OSV database").alias("affected"),
             F.coalesce(alias, F.col("v.id"), F.lit("GHSA-unknown")).alias("cve"),
             F.lit("Upgrade dependency").alias("fix"),
-            finding_order(config.SCANNER_RANK["sca"], F.col("file"), F.lit(1), F.col("pos")).alias("ord"),
+            finding_order(config.SCANNER_RANK["sca"], F.col("file"), F.lit(1), F.col("pos"), F.col("k")).alias("ord"),
         )
     )
 
@@ -154,7 +154,7 @@ def ingest_osv(reports: DataFrame) -> DataFrame:
 def ingest_osv_deps(reports: DataFrame) -> DataFrame:
     """Rows (repo, report): the named and versioned packages of the report."""
     named = _osv_packages(reports).filter("package <> '' AND version <> ''")
-    return named.select("repo", "file", F.lit(1).alias("line"), "package", "version", F.col("pos").cast("int"))
+    return named.select("repo", "file", F.lit(1).alias("line"), "package", "version", "pos")
 
 
 _AI_FINDING = "STRUCT<line:INT,rule:STRING,cwe:STRING,severity:STRING,description:STRING>"

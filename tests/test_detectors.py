@@ -53,8 +53,8 @@ def test_size_limit_is_inclusive(spark):
     rows = spark.createDataFrame(
         [("r", "a.py", 10485760, "x"), ("r", "b.py", 10485761, "x")], FILES
     )
-    assert [r.path for r in corpus.size_limit(rows).collect()] == ["a.py"]
-    assert [r.warning for r in corpus.scan_warnings(rows).collect()] == ["Skipped b.py (exceeds size limit of 10MB)"]
+    assert [r.path for r in corpus.size_limit(rows, 10 << 20).collect()] == ["a.py"]
+    assert [r.warning for r in corpus.scan_warnings(rows, 10 << 20).collect()] == ["Skipped b.py (exceeds size limit of 10MB)"]
 
 
 def test_pruning_looks_at_directories_only(spark):
@@ -62,6 +62,22 @@ def test_pruning_looks_at_directories_only(spark):
     assert {r.path for r in corpus.prune_ignored_dirs(rows).collect()} == {"build", "src/build", "Build/x"}
     flags = {r.path: r.for_config for r in corpus.select_scan_sets(rows).collect()}
     assert flags[".github/workflows/c.yml"]
+    odd = files(spark, {"node_modules/x/.github/workflows/c.yml": "a", ".github/workflows/c.yml": "a"})
+    assert [r.for_config for r in corpus.select_scan_sets(odd).orderBy("path").collect()] == [True, False]
+    assert not corpus.select_scan_sets(odd, workflows=False).filter("for_config").count()
+
+
+def test_no_size_limit_unless_given(spark):
+    rows = spark.createDataFrame([("r", "a.py", 11 << 20, "api_key = 'Ab3dEf6hIj9kLm2nOp5q'")], FILES)
+    assert secrets.secret_scan(rows).count() == 1 and secrets.secret_scan(rows, max_bytes=10 << 20).count() == 0
+    assert corpus.scan_warnings(rows, None).count() == 0
+
+
+def test_prefilter_follows_the_rules_for_folded_letters(spark):
+    words = ["api_key", "ap\u0131_key", "AP\u0130_KEY", "pa\u017f\u017fword", "\u017fecret", "to\u212aen", "TOKEN", "nothing"]
+    lines = spark.createDataFrame([("r", "a.py", k, f"{w} = 'Ab3dEf6hIj9kLm2nOp5q'") for k, w in enumerate(words)], "repo string, file string, line_no int, text string")
+    hits = lines.withColumn("hits", F.size(secrets.secret_hits(F.col("text")))).withColumn("likely", secrets.may_hold_secret(F.col("text")))
+    assert hits.filter("hits > 0 and not likely").count() == 0 and hits.filter("hits > 0").count() >= 4
 
 
 def dep_rows(spark, path, content):
@@ -193,5 +209,5 @@ def test_model_answers(spark):
 
 def test_review_candidates_take_five_per_repository(spark):
     rows = files(spark, {f"f{i}.py": "" for i in range(9)}).unionByName(files(spark, {"a.py": "", "b.md": ""}, "s"))
-    got = corpus.review_candidates(rows)
+    got = corpus.review_candidates(rows, 5)
     assert sorted((r.repo, r.path) for r in got.collect()) == [("r", f"f{i}.py") for i in range(5)] + [("s", "a.py")]

@@ -106,7 +106,9 @@ def test_reviews(spark):
     assert runs[1].conclusion == "success" and runs[1].title == "Security Gate Passed"
     scanned = review.pr_scan_join(events, findings(spark))
     (note,) = review.pr_annotations(scanned, templates(spark)).collect()
-    assert note.pr_number == 102 and note.title == "CWE-89: ast-sql" and note.annotation_level == "failure"
+    sent = {r.pr_number: r for r in review.pr_delivery(review.pr_annotations(scanned, templates(spark)), review.pr_targets(events)).collect()}
+    assert sorted(sent) == [101, 102] and sent[101].commit_sha == "98765" and sent[102].title == note.title
+    assert note.title == "CWE-89: ast-sql" and note.annotation_level == "failure"
     assert "parameterized queries" in note.message and note.path == "r/app/auth.py"
     (comment,) = review.pr_comments(scanned, templates(spark)).collect()
     assert comment.body.startswith("### ") and "CWE-89" in comment.body

@@ -1,14 +1,18 @@
 """Sources, streams, the whole audit, hot keys, and the shape of plans."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from auditlake.exports.report import report_export
+from auditlake import schemas
 from auditlake.operators import context, corpus, findings, iac, secrets
 from auditlake.plans import audit
 from auditlake.rules.vuln_db import vuln_db
 from auditlake.rules.weaknesses import cwe_dim, guidance
 from auditlake.schemas import FILES
 from auditlake.skew import SALTS, lookup_join
+from auditlake.sources import reports
 from auditlake.sources.files import corpus_load, documents_as_files
 from auditlake.streaming import latest, scan
 from tests.test_exports import read_documents
@@ -138,7 +142,7 @@ def test_reductions_happen_before_the_shuffle(spark, small):
     raw = Q.load(spark, small, "findings")
     plan = plan_of(findings.dedup_findings(raw))
     assert plan.count("Exchange hashpartitioning") == 1 and "partial_min_by" in plan
-    assert "WindowGroupLimit" in plan_of(corpus.review_candidates(Q.load(spark, small, "mixed_files")))
+    assert "WindowGroupLimit" in plan_of(corpus.review_candidates(Q.load(spark, small, "mixed_files"), 5))
     files = Q.load(spark, small, "code_files")
     exposed = plan_of(context.exposure(files))
     assert "partial_bool_or" in exposed or "partial_max" in exposed
@@ -148,3 +152,23 @@ def test_column_pruning_reaches_the_scan(spark, small):
     files = spark.read.parquet(f"{small}/documents.parquet").transform(documents_as_files)
     plan = plan_of(corpus.prune_ignored_dirs(files).select("path"))
     assert "text" not in plan.split("ReadSchema")[1]
+
+
+def test_audit_of_policies_and_reports(spark, tmp_path):
+    files = spark.createDataFrame(
+        [("off", "app/Dockerfile", 9, "FROM x"), ("off", "requirements.txt", 9, "django==1.0"), ("on", "requirements.txt", 9, "django==1.0"),
+         ("on", "big.py", 11 << 20, "api_key = 'Ab3dEf6hIj9kLm2nOp5q'")], "repo string, path string, size long, content string"
+    )
+    everything = {s: False for s in ("sast", "secrets", "dependencies", "iac", "ai_review")}
+    policies = spark.createDataFrame([("off", ".security.yaml", True, None, everything, None, None)], schemas.POLICY)
+    report = spark.createDataFrame([("only", json.dumps({"results": [{"source": {"path": "p"}, "packages": [
+        {"package": {"name": "a", "version": "1"}, "vulnerabilities": [{"id": f"G{k}"} for k in range(3)]}] * 2}] * 25_000}))], "repo string, report string")
+    found = reports.ingest_osv(report)
+    assert found.count() == 150_000 and found.select("ord").distinct().count() == 150_000
+    result = audit.run_audit(files, vuln_db(spark), cwe_dim(spark), guidance(spark), policies, [found], out=str(tmp_path / "audit"),
+                             max_bytes=10 << 20, reported_dependencies=reports.ingest_osv_deps(report).limit(5))
+    assert {r.repo for r in result.verdicts.collect()} == {"off", "on", "only"}
+    assert result.raw.filter("repo = 'off'").count() == 0 and result.raw.filter("repo = 'on'").count() > 0
+    assert {r.repo for r in result.dependencies.collect()} == {"on", "only"}
+    assert [r.path for r in result.warnings.collect()] == ["big.py"]
+    assert {r.repo: r.skipped_files for r in result.summary.collect()} == {"off": 0, "on": 1, "only": 0}

@@ -166,3 +166,13 @@ def test_overview_and_ranking(spark):
 def test_latest(spark):
     rows = spark.createDataFrame([("r", 1, 5, "a"), ("r", 2, 5, "b"), ("s", 3, 1, "c")], "repo string, ord int, ts int, status string")
     assert {(r.repo, r.status) for r in history.latest_scan(rows).collect()} == {("r", "b"), ("s", "c")}
+
+
+def test_dedup_is_the_same_for_any_order(spark):
+    rows = [("r", "f", 1, "CWE-1104", "sca-x", "high", "same text", f"CVE-{k}", 7) for k in range(6)]
+    schema = "repo string, file string, line int, cwe string, rule string, severity string, description string, cve string, ord int"
+    got = set()
+    for k in range(4):
+        shuffled = spark.createDataFrame(rows[k:] + rows[:k], schema).repartition(k + 1)
+        got |= {r.cve for r in findings.dedup_findings(shuffled).collect()}
+    assert got == {"CVE-0"}

@@ -638,14 +638,15 @@ ORACLES["stream_pr_events"] = f"""{GATE}, e as (select distinct concat('repo', u
   concat('s', user_id) as commit_sha, 'main' as branch from events where event_id % 5 <> 0)
 select e.repo, pr_number, commit_sha, branch, {CHECK_COLUMNS} from e left join verdicts v on v.repo = e.repo"""
 SCANNED = f"""{ctes('pr_bodies', 'findings')}, {PR_EVENTS},
- newest as (select * from (select *, row_number() over (partition by repo order by ts desc, ord desc) as n from pr_events) where n = 1),
- scanned as (select f.*, e.pr_number, e.commit_sha, e.branch from findings f join newest e on e.repo = f.repo)"""
-ORACLES["pr_scan_join"] = f"{SCANNED} select ord, repo, pr_number, commit_sha, branch from scanned"
+ newest as (select * from (select *, row_number() over (partition by repo, pr_number order by ts desc, ord desc) as n from pr_events) where n = 1),
+ scanned as (select * from findings where repo in (select repo from pr_events))"""
+ORACLES["pr_scan_join"] = f"""{SCANNED} select repo, pr_number, commit_sha, branch, n.findings from newest
+ join (select repo, count(*) as findings from scanned group by repo) n using (repo)"""
 FIX = "case cwe " + " ".join(f"when {q(c)} then {q(t['fix_desc'])}" for c, t in tp.TEMPLATES.items()) + f" else {q(tp.DEFAULT_ADVICE)} end"
-ORACLES["pr_annotations"] = f"""{SCANNED} select repo, pr_number, concat(repo, '/', file) as path, cast(coalesce(line, 1) as bigint) as start_line,
+ORACLES["pr_annotations"] = f"""{SCANNED} select repo, concat(repo, '/', file) as path, cast(coalesce(line, 1) as bigint) as start_line,
  cast(coalesce(line, 1) as bigint) as end_line, case when severity in ('critical', 'high') then 'failure' else 'warning' end as annotation_level,
  concat(cwe, ': ', rule) as title, concat(description, chr(10), chr(10), 'Suggested remediation:', chr(10), {FIX}) as message from scanned"""
-ORACLES["pr_comments"] = f"""{SCANNED} select repo, pr_number, concat(repo, '/', file) as file, cast(coalesce(line, 1) as bigint) as line,
+ORACLES["pr_comments"] = f"""{SCANNED} select repo, concat(repo, '/', file) as file, cast(coalesce(line, 1) as bigint) as line,
  concat('### ⚠️ ', cwe, chr(10), chr(10), description, chr(10), chr(10), '**Suggested remediation:**', chr(10), {FIX}) as body from scanned"""
 
 # --- Whole audit ----------------------------------------------------------------------------

@@ -92,17 +92,17 @@ def select_by_extension(spark, sf_dir):
 
 @query
 def size_limit(spark, sf_dir):
-    return corpus.size_limit(load(spark, sf_dir, "mixed_files")).select("repo", "path", "size")
+    return corpus.size_limit(load(spark, sf_dir, "mixed_files"), config.MAX_FILE_BYTES).select("repo", "path", "size")
 
 
 @query
 def select_scan_sets(spark, sf_dir):
-    return corpus.select_scan_sets(load(spark, sf_dir, "mixed_files")).drop("content", "size")
+    return corpus.select_scan_sets(load(spark, sf_dir, "mixed_files"), config.MAX_FILE_BYTES).drop("content", "size")
 
 
 @query
 def stage_filter(spark, sf_dir):
-    return corpus.stage_filter(load(spark, sf_dir, "mixed_files")).select("repo", "path")
+    return corpus.stage_filter(load(spark, sf_dir, "mixed_files"), config.MAX_FILE_BYTES).select("repo", "path")
 
 
 @query
@@ -131,14 +131,14 @@ def classify_config(spark, sf_dir):
 
 @query
 def review_candidates(spark, sf_dir):
-    return corpus.review_candidates(load(spark, sf_dir, "mixed_files")).select(
+    return corpus.review_candidates(load(spark, sf_dir, "mixed_files"), config.REVIEW_FILES_PER_REPO, config.MAX_FILE_BYTES).select(
         "repo", "path", F.col("rank").cast("bigint").alias("rank")
     )
 
 
 @query
 def scan_warnings(spark, sf_dir):
-    return corpus.scan_warnings(load(spark, sf_dir, "mixed_files"))
+    return corpus.scan_warnings(load(spark, sf_dir, "mixed_files"), config.MAX_FILE_BYTES)
 
 
 @query
@@ -150,7 +150,7 @@ def scan_stats(spark, sf_dir):
             load(spark, sf_dir, "tool_status").withColumn("repo", F.replace("repo", F.lit("repo"), F.lit("src")))
         ),
     )
-    return corpus.scan_stats(files, found)
+    return corpus.scan_stats(files, found, config.MAX_FILE_BYTES)
 
 
 @query
@@ -721,13 +721,15 @@ def _pr_scanned(spark, sf_dir) -> DataFrame:
 
 @query
 def pr_scan_join(spark, sf_dir):
-    return _pr_scanned(spark, sf_dir).select("ord", "repo", "pr_number", "commit_sha", "branch")
+    """Every pull request with its newest commit, and how many findings its repository shows there."""
+    shown = _pr_scanned(spark, sf_dir).groupBy("repo").agg(F.count(F.lit(1)).alias("findings"))
+    return review.pr_targets(_pr_events(spark, sf_dir)).join(shown, "repo")
 
 
 @query
 def pr_annotations(spark, sf_dir):
     return review.pr_annotations(_pr_scanned(spark, sf_dir), templates(spark)).select(
-        "repo", "pr_number", "path", F.col("start_line").cast("bigint").alias("start_line"),
+        "repo", "path", F.col("start_line").cast("bigint").alias("start_line"),
         F.col("end_line").cast("bigint").alias("end_line"), "annotation_level", "title", "message",
     )
 
@@ -735,7 +737,7 @@ def pr_annotations(spark, sf_dir):
 @query
 def pr_comments(spark, sf_dir):
     return review.pr_comments(_pr_scanned(spark, sf_dir), templates(spark)).select(
-        "repo", "pr_number", "file", _line(), "body"
+        "repo", "file", _line(), "body"
     )
 
 

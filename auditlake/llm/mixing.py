@@ -52,6 +52,7 @@ def mixed(
     whole if its middle lies below the cut (``copies``). Null sources are one source, ties go by doc_id and row. A source
     without words has target 0 and takes nothing; no rows give no rows.
     """
+    rows = stored(rows, "mix-sizes")  # texts are counted once
     sizes = stored(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "source-sizes")
     targets = source_targets(sizes, weights, share, epochs)
     # Null sources meet by a key that tells null from a text.

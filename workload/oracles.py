@@ -549,7 +549,8 @@ ORACLES["dashboard_overview"] = f"""{SCORED}, o as (select repo, count(*) as tot
 select *, case when risk_score > 70 then 'High' when risk_score > 30 then 'Medium' else 'Low' end as risk_level,
  case when risk_score > 70 then 'Requires immediate attention' when risk_score > 30 then 'Review findings' else 'Secure' end as risk_message from o"""
 ORACLES["ranked_findings"] = f"""{FINDINGS}, f as (select ord, repo, rule, lower(coalesce(case ord % 10 when 0 then null when 1 then 'info' else severity end, 'low')) as sev from findings)
-select ord, repo, cast(case sev when 'critical' then 0 when 'high' then 1 else 3 end as bigint) as rank, rule from f where sev in ('critical', 'high', 'low')"""
+select *, row_number() over (partition by repo order by rank, ord) as position from (
+  select ord, repo, cast(case sev when 'critical' then 0 when 'high' then 1 else 3 end as bigint) as rank, rule from f where sev in ('critical', 'high', 'low'))"""
 ORACLES["finding_defaults"] = f"{FINDINGS} select ord, case when ord % 4 = 0 then concat('CVE-', ord) else 'N/A' end as cve, rule from findings"
 ORACLES["finding_union"] = f"""{ctes('code_files', 'docker_files', 'requirement_lines', 'bandit_reports')},
  {secret_sql(LINES.format(files='(select * from code_files where size <= 10485760)'))}, {DOCKER}, {REQUIREMENTS}, {SCA},
@@ -563,7 +564,7 @@ HISTORY = ctes("scan_history")
 LATEST = f"""{HISTORY} select repo, ord, ts, status from (select *, row_number() over (partition by repo order by ts desc, ord desc) as n from scan_history) where n = 1"""
 ORACLES["latest_scan"] = LATEST
 ORACLES["stream_latest"] = LATEST
-ORACLES["newest_first"] = f"{HISTORY} select repo, ord, status from scan_history"
+ORACLES["newest_first"] = f"{HISTORY} select repo, ord, status, row_number() over (partition by repo order by ts desc, ord desc) as position from scan_history"
 
 # --- Exports --------------------------------------------------------------------------------
 

@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake import config
@@ -618,14 +618,21 @@ def dashboard_overview(spark, sf_dir):
     )
 
 
+def _placed(ordered: DataFrame) -> DataFrame:
+    """The place, from 1, that each row has among its repository's rows in the order of the frame."""
+    within = Window.partitionBy("repo").orderBy("_at")
+    numbered = ordered.withColumn("_at", F.monotonically_increasing_id())
+    return numbered.withColumn("position", F.row_number().over(within).cast("bigint")).drop("_at")
+
+
 @query
 def ranked_findings(spark, sf_dir):
     raw = load(spark, sf_dir, "findings").withColumn(
         "severity",
         F.when(F.col("ord") % 10 == 0, None).when(F.col("ord") % 10 == 1, "info").otherwise(F.upper("severity")),
     )
-    return scoring.ranked_findings(raw, ["critical", "high", "low"]).select(
-        "ord", "repo", F.col("rank").cast("bigint").alias("rank"), "rule"
+    return _placed(scoring.ranked_findings(raw, ["critical", "high", "low"])).select(
+        "ord", "repo", F.col("rank").cast("bigint").alias("rank"), "rule", "position"
     )
 
 
@@ -636,7 +643,7 @@ def latest_scan(spark, sf_dir):
 
 @query
 def newest_first(spark, sf_dir):
-    return history.newest_first(load(spark, sf_dir, "scan_history")).select("repo", "ord", "status")
+    return _placed(history.newest_first(load(spark, sf_dir, "scan_history"))).select("repo", "ord", "status", "position")
 
 
 # --- Exports --------------------------------------------------------------------------------

@@ -4,6 +4,8 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from tests.check import compare, connect
+from workload.oracles import ORACLES
+from workload.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -15,9 +17,9 @@ def con(small):
 EMPTY_AT_THIS_SCALE = {"secret_scan", "stream_scan"}
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, con, small, name):
-    verdict = compare(spark, con, name, queries()[name], oracle_sql()[name], small)
+    verdict = compare(spark, con, name, QUERIES[name], ORACLES[name], small)
     assert verdict is None or (verdict == "no rows" and name in EMPTY_AT_THIS_SCALE)
 
 
@@ -27,4 +29,5 @@ def test_entry(spark):
 
 def test_every_check_has_a_query():
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"corpus_load"}
+    assert set(QUERIES) - set(ORACLES) == {"corpus_load"}
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())

@@ -14,8 +14,13 @@ END = 2
 #: Words remembered by an encoder: in two halves, the older of which goes when the younger is full.
 MEMORY = 1_600_000
 
-#: Letters, then punctuation: the tokenizer cuts between them wherever they stand.
-_STEM = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!#$%&*,.:;?|]+)")
+#: Words over this length are forgotten after their batch, so that memory follows the number of words.
+LONG = 256
+
+_LETTER = r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]"
+#: Letters, then punctuation, in lines: the tokenizer cuts between the three wherever they stand.
+_STEM = re.compile(rf"({_LETTER}+)([!#$%&*,.:;?|]*)")
+_LINES = re.compile(rf"{_STEM.pattern}(?:\n{_STEM.pattern})*")
 
 
 def default_vocabulary() -> str:
@@ -35,12 +40,14 @@ class Encoder:
 
     The tokenizer cuts a text before each single space between two other characters, whatever stands around it, so a
     text is the concatenation of its words, each with the space before it. Distinct words go through the tokenizer
-    once and are remembered. A text with any other white space beside a space goes through the tokenizer whole.
+    once and are remembered; one of Latin letters alone is a single piece, which the tokenizer's model takes directly.
+    A text with any other white space beside a space goes through the tokenizer whole.
     """
 
     def __init__(self, vocabulary: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
@@ -50,6 +57,10 @@ class Encoder:
         self.known: dict[str, bytes | bool] = {}
         self.older: dict[str, bytes | bool] = {}
         self.marks: dict[str, bytes] = {}
+        self.starts: dict[str, bytes] = {}
+        self.split = self.tokenizer.model.tokenize
+        spelled = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = {c: spelled(chr(c))[0][0] for c in range(0xC0, 0x100)}  # of letters beyond ASCII in the file
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -72,27 +83,47 @@ class Encoder:
             self.marks[text] = self._ids([text])[0]
         return self.marks[text]
 
+    def _letters(self, word: str, before: str = "Ġ") -> bytes:
+        """Ids of Latin letters, by default with a space before them."""
+        spelled = word if word.isascii() else word.translate(self.spelling)
+        return array("I", [t.id for t in self.split(before + spelled)]).tobytes()
+
+    def _lines(self, word: str) -> bytes:
+        """Ids of letters with punctuation, in lines; only the first line has a space before it."""
+        known, starts, out = self.known, self.starts, []
+        if len(starts) > MEMORY // 8:
+            starts.clear()
+        for stem, mark in _STEM.findall(word):
+            if out:
+                out.append(self._mark("\n"))
+                ids = starts.get(stem) or self._letters(stem, "")
+                where = starts
+            else:
+                ids = known.get(stem) or self.older.get(stem) or self._letters(stem)
+                where = known
+            if len(stem) <= LONG:
+                where[stem] = ids
+            out.append(ids)
+            if mark:
+                out.append(self._mark(mark))
+        return b"".join(out)
+
     def _learn(self, new: set[str]) -> None:
         known, older = self.known, self.older
-        stems: dict[str, list[tuple[str, str]]] = {}
         fresh = []
         for word in new:
             if word in older:
                 known[word] = older[word]
-            elif found := _STEM.fullmatch(word):
-                stems.setdefault(found[1], []).append((word, found[2]))
+            elif word.isascii() and word.isalpha():
+                known[word] = self._letters(word)
+            elif _LINES.fullmatch(word):
+                known[word] = self._lines(word)
             # An edge of white space would belong to a longer run: such a word is no unit.
             elif not word or word[0].isspace() or word[-1].isspace() or "᠎" in word:
                 known[word] = False
             else:
                 fresh.append(word)
-        wanted = [s for s in stems if s not in known and s not in older and s not in new]
-        fresh += wanted
         known.update(zip(fresh, self._words(fresh)))
-        for stem, words in stems.items():
-            ids = known.get(stem) or older[stem]
-            for word, mark in words:
-                known[word] = ids + self._mark(mark)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > MEMORY // 2:
@@ -101,8 +132,9 @@ class Encoder:
         heads = self._ids([w[0] for w in split])
         get = self.known.get
         found = [list(map(get, w)) for w in split]
-        gaps = [[k for k, x in enumerate(f) if x is None] if None in f else [] for f in found]
-        self._learn({w[k] for w, g in zip(split, gaps) for k in g})
+        gaps = [[k for k, x in enumerate(f) if x is None] for f in found]
+        new = {w[k] for w, g in zip(split, gaps) for k in g}
+        self._learn(new)
         known, out = self.known, []
         for text, words, ids, gap, head in zip(texts, split, found, gaps, heads):
             for k in gap:
@@ -113,4 +145,7 @@ class Encoder:
                 out.append(b"".join(ids))
             except TypeError:  # a word without ids of its own
                 out.append(self._ids([text])[0])
+        for word in new:
+            if len(word) > LONG:
+                known.pop(word, None)
         return out

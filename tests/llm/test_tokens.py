@@ -36,6 +36,19 @@ def test_encoder_equals_tokenizer(plain):
             assert np.frombuffer(ids, "<u4").tolist() == plain(text), repr(text)
 
 
+def test_encoder_lines_of_letters(plain):
+    draw = random.Random(1)
+    own = Encoder(default_vocabulary())
+    parts = ["a", "The", "ñé", "ß", "ÀÿÖ", "word", ".", ",", "!!", "&&&", "\n", "\n", "\n\n", " ", " ", "7", "'s", "ſ", "×", "÷", "ª", "µ"]
+    texts = ["".join(draw.choices(parts, k=draw.randrange(14))) for _ in range(8000)]
+    texts += ["a" * 300 + ".\n" + "b" * 300 + " end", "x " + "ab\n" * 400 + "c d"]
+    for at in range(0, len(texts), 100):
+        got = own.encode(texts[at : at + 100])
+        for text, ids in zip(texts[at : at + 100], got):
+            assert np.frombuffer(ids, "<u4").tolist() == plain(text), repr(text)
+    assert max(map(len, own.known)) <= 256 and max(map(len, own.starts)) <= 256
+
+
 def test_encoder_forgets(plain, monkeypatch):
     monkeypatch.setattr("auditlake.llm.tokens.MEMORY", 20)
     own = Encoder(default_vocabulary())

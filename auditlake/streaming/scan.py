@@ -2,19 +2,29 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from auditlake.operators.findings import dedup_findings
+from auditlake.operators.findings import dedup_findings, finding_union
+from auditlake.operators.sca import sca_match
 from auditlake.operators.scoring import add_exposure, gate, risk_score, severity_counts
-from auditlake.plans.audit import line_findings, scan_pass
+from auditlake.plans.audit import line_findings, manifest_deps, scan_pass
 
 
 STAGES = ["secret", "config", "root", "exposure"]
+#: Buckets of repositories in the stored state of a gate. A batch reads and rewrites those that it touches.
+BUCKETS = 256
 
 
-def stream_scan(files: DataFrame) -> DataFrame:
-    """Evidence of the line scanners for a stream of files. Stateless: every file stands alone."""
-    return scan_pass(files).filter(F.col("stage").isin(STAGES)).drop("content")
+def stream_scan(files: DataFrame, manifests: bool = False) -> DataFrame:
+    """Evidence of the line scanners for a stream of files. Stateless: every file stands alone.
+
+    With ``manifests`` the text of dependency files is kept as well (column content).
+    """
+    found = scan_pass(files)
+    if manifests:
+        return found.filter(F.col("stage").isin([*STAGES, "manifest"]))
+    return found.filter(F.col("stage").isin(STAGES)).drop("content")
 
 
 def start_stream_scan(files: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -30,36 +40,69 @@ def start_stream_scan(files: DataFrame, out: str, checkpoint: str) -> StreamingQ
     )
 
 
-def score_evidence(evidence: DataFrame) -> DataFrame:
-    """Scored findings of the line scanners (their weaknesses always count as reachable)."""
-    unique = dedup_findings(line_findings(evidence)).withColumn("reachable", F.lit("YES"))
+def score_evidence(evidence: DataFrame, vulnerabilities: DataFrame | None = None) -> DataFrame:
+    """Scored findings of the line scanners, and with ``vulnerabilities`` of the dependencies in kept manifests.
+
+    All count as reachable: whether code names a package is not looked up in a stream.
+    """
+    found = line_findings(evidence)
+    if vulnerabilities is not None:
+        found = finding_union(found, sca_match(manifest_deps(evidence), vulnerabilities))
+    unique = dedup_findings(found).withColumn("reachable", F.lit("YES"))
     exposed = (
         evidence.filter("stage = 'exposure'").select("repo").distinct().withColumn("internet_exposed", F.lit(True))
     )
     return risk_score(add_exposure(unique, exposed))
 
 
-def start_stream_gate(files: DataFrame, policies: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def start_stream_gate(
+    files: DataFrame, policies: DataFrame, out: str, checkpoint: str, vulnerabilities: DataFrame | None = None
+) -> StreamingQuery:
     """Evidence per batch, and new verdicts for the repositories a batch touched.
 
-    Every batch writes its own folder and overwrites it when it is repeated, so a restart
-    leaves each batch in the tables once. Verdicts use all evidence stored so far of the
-    touched repositories.
+    The newest batch that brings a file replaces what was known of it, so a mended file no longer counts; rows of
+    one file in the same batch count together. ``state`` holds the current evidence by bucket of repositories. A batch
+    reads the newest state of the buckets it touches and writes their next one, so its work follows its own
+    repositories, not the history; older versions of a bucket are not read again. Every batch writes folders of its own from earlier
+    ones and overwrites them when it is repeated, so a restart leaves each batch in the tables once.
     """
+    bucket = F.pmod(F.xxhash64("repo"), F.lit(BUCKETS)).cast("int")
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        evidence = stream_scan(batch)
-        evidence.write.mode("overwrite").parquet(f"{out}/evidence/batch={batch_id}")
-        batch.select("repo").distinct().write.mode("overwrite").parquet(f"{out}/touched/batch={batch_id}")
-        touched = spark.read.parquet(f"{out}/touched/batch={batch_id}")
-        so_far = (
-            spark.read.schema(evidence.schema.add("batch", "long"))
-            .parquet(f"{out}/evidence")
-            .filter(F.col("batch") <= batch_id)
-            .join(touched, "repo", "left_semi")
+
+        def keep(df: DataFrame, name: str) -> DataFrame:
+            path = f"{out}/{name}/batch={batch_id}"
+            df.write.mode("overwrite").parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+
+        evidence = keep(stream_scan(batch, vulnerabilities is not None), "evidence")
+        seen = keep(batch.select("repo", F.col("path").alias("file")).distinct(), "files")
+        touched = keep(seen.select("repo").distinct(), "touched")
+        buckets = keep(touched.select(bucket.alias("bucket")).distinct(), "buckets")
+        newest = (
+            spark.read.schema("bucket int, batch long").parquet(f"{out}/buckets")
+            .filter(F.col("batch") < batch_id)
+            .join(buckets, "bucket", "left_semi")
+            .groupBy("bucket").agg(F.max("batch").alias("batch"))
+            .collect()  # a row per bucket
         )
-        counts = touched.join(severity_counts(score_evidence(so_far)), "repo", "left").na.fill(0)
+        state = evidence
+        if newest:
+            stored = T.StructType([*evidence.schema, T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])
+            by_batch: dict[int, list[int]] = {}
+            for r in newest:
+                by_batch.setdefault(r["batch"], []).append(r["bucket"])
+            current = F.lit(False)
+            for number, own in by_batch.items():
+                current |= (F.col("batch") == number) & F.col("bucket").isin(own)
+            before = spark.read.schema(stored).parquet(f"{out}/state").filter(current).drop("batch", "bucket")
+            state = before.join(seen, ["repo", "file"], "left_anti").unionByName(evidence)
+        path = f"{out}/state/batch={batch_id}"
+        state.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+        now = spark.read.schema(evidence.schema).parquet(path).join(touched, "repo", "left_semi")
+        counts = touched.join(severity_counts(score_evidence(now, vulnerabilities)), "repo", "left").na.fill(0)
         verdicts = gate(counts, policies.join(touched, "repo", "left_semi"))
         verdicts.write.mode("overwrite").parquet(f"{out}/verdicts/batch={batch_id}")
 

@@ -98,6 +98,29 @@ def test_stream_in_three_batches_equals_batch(spark, small, tmp_path):
     assert verdicts.select(*cols).exceptAll(batch.select(*cols)).count() == 0 and verdicts.count() == batch.count()
 
 
+def test_stream_gate_takes_the_newest_version_of_a_file(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "gate")
+    secret, clean = f'api_key = "{KEY}"\n', "x = 1\n"
+    batches = [
+        [("a", "x.py", secret), ("b", "y.py", secret), ("c", "z.py", clean)],
+        [("a", "other.py", secret), ("b", "requirements.txt", "django==2.0\n"), ("d", "requirements.txt", "django==2.0\n")],
+        [("a", "x.py", clean), ("a", "other.py", clean), ("b", "y.py", clean), ("d", "requirements.txt", "django==9.0\n")],
+    ]
+    for rows in batches:
+        files = spark.createDataFrame([(r, p, len(t), t) for r, p, t in rows], FILES)
+        files.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    policies = spark.createDataFrame([], "repo string, fail_on array<string>, thresholds array<struct<sev:string,limit:int>>")
+    scan.start_stream_gate(stream, policies, out, str(tmp_path / "cp"), vuln_db(spark)).awaitTermination()
+
+    found = {}
+    for r in spark.read.parquet(f"{out}/verdicts").collect():
+        found[r.batch, r.repo] = r.critical + r.high + r.medium + r.low
+    assert found == {(0, "a"): 1, (0, "b"): 1, (0, "c"): 0, (1, "a"): 2, (1, "b"): 2, (1, "d"): 1, (2, "a"): 0, (2, "b"): 1, (2, "d"): 0}
+    last = {r.repo: r.critical + r.high + r.medium + r.low for r in scan.current_verdicts(spark.read.parquet(f"{out}/verdicts")).collect()}
+    assert last == {"a": 0, "b": 1, "c": 0, "d": 0}
+
+
 def test_stream_latest_over_batches(spark, tmp_path):
     source = str(tmp_path / "in")
     schema = "repo string, ord long, ts timestamp, status string"

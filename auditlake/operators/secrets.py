@@ -27,7 +27,8 @@ def may_hold_secret(text: Column, rules: list[SecretRule] = SECRET_RULES) -> Col
     folded = [r for r in rules if r.ignore_case]
     tests = list(exact)
     if folded:
-        low = F.lower(F.translate(text, FOLDED, ASCII))
+        # Few texts have such letters, and replacing goes letter by letter.
+        low = F.lower(F.when(contains_any(text, FOLDED), F.translate(text, FOLDED, ASCII)).otherwise(text))
         tests.append(once(low, lambda x: reduce(lambda a, b: a | b, [likely(r, x) for r in folded])))
     return reduce(lambda a, b: a | b, tests)
 

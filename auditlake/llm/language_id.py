@@ -26,9 +26,16 @@ LANDMARKS_OF_LANGUAGE = 50
 RIDGE = 1e-3
 #: Code points looked at together.
 BLOCK = 1 << 20
+#: Share of labelled texts that the rejection must keep; the highest share of unknown n-grams it may learn from them; and what
+#: chance adds in short texts, times the root of their number of n-grams.
+KEEP, MOST, CHANCE = 0.999, 0.5, 3.5
+#: Code points of the pieces of texts that stand for short texts in calibration.
+PIECES = (16, 32, 64, 128)
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"\w+")
+_NO_WORD = re.compile(r"[\d_]")
 
 
 def has_letter(text: str) -> bool:
@@ -36,13 +43,44 @@ def has_letter(text: str) -> bool:
 
 
 def grams(text: str) -> np.ndarray:
-    """Distinct n-grams of the lower-cased text: 21 bits a code point, increased by one, first one highest."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4").astype(np.uint64) + np.uint64(1)
+    """Distinct n-grams of the lower-cased text, sorted: 21 bits a code point, increased by one, first one highest."""
+    text = text.lower()
+    if len(text) > BLOCK + NGRAM:
+        out = np.zeros(0, np.uint64)
+        for a in range(0, len(text), BLOCK):
+            out = np.union1d(out, _grams(text[a : a + BLOCK + NGRAM - 1]))
+        return out
+    return _grams(text)
+
+
+def _grams(text: str) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.uint64) + np.uint64(1)
     found, code = [], np.zeros(len(points), np.uint64)
     for n in range(NGRAM):
         code = (code[: len(points) - n] << np.uint64(21)) | points[n:]
         found.append(np.unique(code))
-    return np.unique(np.concatenate(found))
+    return np.concatenate(found)
+
+
+def spoken(text: str) -> np.ndarray:
+    """Distinct n-grams of the words of letters alone: numbers, keys and symbols belong to no language."""
+    return grams(" ".join(w for w in _WORD.findall(text) if not _NO_WORD.search(w)))
+
+
+def piece(text: str, draw: float) -> str:
+    """A short piece of the text; length and place follow ``draw`` (0 to 1)."""
+    text = text.strip()
+    n = PIECES[int(draw * 1e6) % len(PIECES)]
+    at = int(draw * 1e9) % max(1, len(text) - n + 1)
+    return text[at : at + n]
+
+
+def misses(found: np.ndarray, known: np.ndarray) -> float:
+    """Share of n-grams that are not known; both sorted."""
+    if not len(found) or not len(known):
+        return 1.0
+    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+    return 1 - float((known[at] == found).mean())
 
 
 @dataclass
@@ -54,6 +92,14 @@ class Model:
     codes: np.ndarray
     landmarks: np.ndarray  # packed bits: landmark x n-gram
     weights: np.ndarray  # (landmark + 1) x language
+    known: list[np.ndarray]  # n-grams of each language's landmarks, sorted
+    missing: list[float]  # the usual share of n-grams beyond them in each language's labelled texts
+    limits: list[float]  # the highest share that such texts have, apart from 1 - KEEP of them
+
+    def claims(self, text: str, language: int) -> bool:
+        """Whether the text's n-grams are the language's: no more are unknown than in labelled texts, or than chance adds."""
+        found = spoken(text)
+        return not len(found) or misses(found, self.known[language]) <= max(self.limits[language], self.missing[language] + CHANCE / len(found) ** 0.5)
 
     def ready(self) -> "Scorer":
         return Scorer(self)
@@ -114,8 +160,8 @@ class Scorer:
         return self.kernel(texts) @ self.model.weights
 
 
-def sample(labelled: DataFrame) -> list[tuple[str, np.ndarray, bool]]:
-    """(language, n-grams, landmark) of a bounded sample of rows (doc_id, text, lang); the same on every run.
+def sample(labelled: DataFrame) -> list[tuple[str, np.ndarray, bool, np.ndarray, np.ndarray]]:
+    """(language, n-grams, landmark, n-grams of the words, and those of a short piece) of a bounded sample of rows (doc_id, text, lang); the same on every run.
 
     Whole texts are reduced to their n-grams in tasks. Rows are drawn by a hash of doc_id below a limit that follows the
     language's rows; ties and surplus go by the hash. At most SAMPLE rows come to the driver.
@@ -132,18 +178,42 @@ def sample(labelled: DataFrame) -> list[tuple[str, np.ndarray, bool]]:
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
-            bits = [grams(t).tobytes() for t in texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary()), batch.column(2)], ["lang", "grams", "draw"])
-
-    rows = drawn.mapInArrow(reduce, "lang string, grams binary, draw double").orderBy("draw", "lang", "grams").limit(2 * SAMPLE).collect()
+            texts, draws = texts_of(batch.column(1)), batch.column(2).to_pylist()
+            bits = [grams(t).tobytes() for t in texts]
+            words = [spoken(t).tobytes() for t in texts]
+            short = [spoken(piece(t, d)).tobytes() for t, d in zip(texts, draws)]
+            columns = [pa.array(x, pa.binary()) for x in (bits, words, short)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["lang", "draw", "grams", "words", "piece"])
+
+    rows = drawn.mapInArrow(reduce, "lang string, draw double, grams binary, words binary, piece binary").orderBy("draw", "lang", "grams").limit(2 * SAMPLE).collect()
     out, have = [], {}
     for r in rows:
         n = have[r["lang"]] = have.get(r["lang"], 0) + 1
         if n <= each:
-            out.append((r["lang"], np.frombuffer(r["grams"], np.uint64), n <= LANDMARKS_OF_LANGUAGE))
+            found = [np.frombuffer(r[x], np.uint64) for x in ("grams", "words", "piece")]
+            out.append((r["lang"], found[0], n <= LANDMARKS_OF_LANGUAGE, found[1], found[2]))
     return out
 
 
+def calibrate(rows: list[tuple[str, np.ndarray, bool, np.ndarray, np.ndarray]], languages: list[str]) -> tuple[list[np.ndarray], list[float], list[float]]:
+    """Known n-grams of each language, the usual share of n-grams beyond them, and the highest one that is still claimed.
+
+    Measured on whole texts and short pieces of rows that are not landmarks; a landmark counts against the other landmarks of
+    its language. What texts exceed their language's usual share by, all languages together, sets the limits, so they do not
+    depend on the number of languages. Junk among the labelled rows cannot raise a limit above MOST.
+    """
+    known, missing, excess = [], [], []
+    for name in languages:
+        own = [(words, mark, short) for lang, _, mark, words, short in rows if lang == name]
+        codes, often = np.unique(np.concatenate([g for g, mark, _ in own if mark]), return_counts=True)
+        known.append(codes)
+        shares = [misses(x, codes[often > 1] if mark else codes) for g, mark, short in own for x in (g, short) if len(x)]
+        missing.append(float(np.median(shares)) if shares else 1.0)
+        excess += [x - missing[-1] for x in shares]
+    high = float(np.sort(excess)[min(len(excess) - 1, int(KEEP * len(excess)))]) if excess else 0.0
+    return known, missing, [min(MOST, m + high) for m in missing]
+
+
 def fit(labelled: DataFrame) -> Model | None:
     """Kernel ridge regression, one language against the rest, on Nyström features of the sample's landmarks.
 
@@ -154,7 +224,7 @@ def fit(labelled: DataFrame) -> Model | None:
     if not rows:
         return None
     mask = np.uint64((1 << 21) - 1)
-    singles = np.concatenate([g[g <= mask] for _, g, _ in rows])
+    singles = np.concatenate([g[g <= mask] for _, g, *_ in rows])
     points, spread = np.unique(singles, return_counts=True)
     points = np.sort(points[np.lexsort((points, -spread))][:ALPHABET])
     points = points[points > 1]  # the separator
@@ -177,8 +247,8 @@ def fit(labelled: DataFrame) -> Model | None:
 
     if not len(points):
         return None
-    sets = [coded(g) for _, g, _ in rows]
-    chosen = [k for k, (_, _, landmark) in enumerate(rows) if landmark]
+    sets = [coded(g) for _, g, *_ in rows]
+    chosen = [k for k, (_, _, landmark, *_) in enumerate(rows) if landmark]
     codes = np.unique(np.concatenate([sets[k] for k in chosen]))
     present = np.zeros((len(rows), len(codes)), np.float32)
     for k, own in enumerate(sets):
@@ -197,7 +267,7 @@ def fit(labelled: DataFrame) -> Model | None:
     solved = np.linalg.lstsq(features.T @ features + penalty, features.T @ target, rcond=None)[0]
     weights = np.vstack([whiten @ solved[:-1], solved[-1:]]).astype(np.float32)
     packed = np.packbits(present[chosen].astype(bool), axis=1)
-    return Model(languages, (points - np.uint64(1)).astype(np.int64).tolist(), codes, packed, weights)
+    return Model(languages, (points - np.uint64(1)).astype(np.int64).tolist(), codes, packed, weights, *calibrate(rows, languages))
 
 
 def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -245,8 +315,23 @@ def languages(docs: DataFrame) -> DataFrame:
     return predicted(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def with_language(docs: DataFrame, least: float = 0.25) -> DataFrame:
-    """The rows of ``docs`` that some language claims: neither ``und`` nor a score below ``least`` (all values at -0.5 or less)."""
+def with_language(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that their predicted language claims: texts with a letter and with no more n-grams unknown to the
+    language than KEEP of the labelled texts have (``calibrate``). Texts of numbers joined with letters only stay. Without a
+    labelled row nothing is claimed.
+    """
     model = fit(docs.where(fold() != 0).select("doc_id", "text", "lang"))
+    if model is None:
+        return docs.where("false")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def claim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = shared.value.ready()
+        for batch in slices(batches):
+            texts = texts_of(batch.column("text"))
+            best = np.round(scorer.scores(texts), 5).argmax(axis=1).tolist()
+            kept = [has_letter(t) and shared.value.claims(t, k) for t, k in zip(texts, best)]
+            yield pa.RecordBatch.from_arrays([batch.column("row")], ["row"]).filter(pa.array(kept, pa.bool_()))
+
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    return predicted(whole, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    return whole.mapInArrow(claim, T.StructType([whole.schema["row"]])).select("row.*")

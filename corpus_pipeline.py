@@ -22,7 +22,7 @@ SEQUENCE = 1024
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those that no learned language claims, go."""
+    """Documents without a letter go, and those with more n-grams foreign to the predicted language than clean texts of their length have."""
     return with_language(docs)
 
 

@@ -118,6 +118,29 @@ def test_languages_on_held_out_rows(docs, rows):
     assert kept.where("doc_id = 306").count() == 2
 
 
+def invented(seed, letters="abcdefghijklmnopqrstuvwxyz"):
+    """Texts of a language with its own letters' habits: a generator of texts of n words."""
+    draw = random.Random(seed)
+    parts = ["".join(draw.choice(letters) for _ in range(draw.choice([2, 3]))) for _ in range(14)]
+    return lambda n, own: " ".join("".join(own.choice(parts) for _ in range(own.choice([1, 2, 3]))) for _ in range(n))
+
+
+@pytest.mark.parametrize("count", [2, 4, 12])
+def test_unclaimed_texts_go(spark, count):
+    draw = random.Random(count)
+    speak = [invented(k) for k in range(count)]
+    rows = [(k, speak[k % count](draw.choice([5, 40, 120]), draw), f"l{k % count:02}", "learn") for k in range(60 * count)]
+    for k in range(60):
+        rows.append((10_000 + k, speak[k % count](draw.choice([4, 5, 6]), draw), None, "short"))
+        rows.append((20_000 + k, "".join(draw.choice("abcdefghijklmnopqrstuvwxyz  ") for _ in range(200)), None, "junk"))
+        rows.append((30_000 + k, invented(99)(40, draw), None, "unlearned"))
+        rows.append((40_000 + k, "шла саша по шоссе и сосала сушку", None, "script"))
+    rows += [(50_000, "a1 b2 c3 4,5 6", None, "short"), (50_001, None, None, "none"), (50_002, "12 34", None, "none")]
+    kept = Counter(r["kind"] for r in with_language(spark.createDataFrame(rows, "doc_id long, text string, lang string, kind string")).collect())
+    assert set(kept) == {"learn", "short"}
+    assert kept["learn"] >= 0.995 * 60 * count and kept["short"] == 61
+
+
 def test_no_labels(docs, none):
     assert {r["lang_pred"] for r in languages(docs.selectExpr("doc_id", "text", "cast(null as string) lang")).collect()} == {"und"}
     assert languages(none).count() == 0

@@ -16,16 +16,15 @@ from auditlake.llm.common import slices, texts_of
 
 #: Blended spectrum: character n-grams of all lengths up to this.
 NGRAM = 3
-#: Code points kept apart, the most widespread of the sample; the rest is one symbol that no n-gram contains.
-ALPHABET = 120
 #: Bounds of the labelled sample: languages, rows in all, rows and landmarks of a language.
 LANGUAGES = 200
 SAMPLE = 2400
 SAMPLE_OF_LANGUAGE = 400
 LANDMARKS_OF_LANGUAGE = 50
 RIDGE = 1e-3
-#: Code points looked at together.
+#: Code points, and cells of a matrix of n-grams, looked at together.
 BLOCK = 1 << 20
+CELLS = 1 << 24
 #: Share of labelled texts that the rejection must keep; the highest share of unknown n-grams it may learn from them; and what
 #: chance adds in short texts, times the root of their number of n-grams.
 KEEP, MOST, CHANCE = 0.999, 0.5, 3.5
@@ -105,59 +104,61 @@ class Model:
         return Scorer(self)
 
 
+def overlaps(sets: list[np.ndarray], landmarks: np.ndarray, width: int) -> np.ndarray:
+    """Number of n-grams (places below ``width``, sorted) that each set shares with each landmark (packed bits)."""
+    out = np.zeros((len(sets), len(landmarks)), np.float32)
+    step = max(8, CELLS // max(1, len(sets), len(landmarks)) // 8 * 8)
+    for low in range(0, width, step):
+        high = min(width, low + step)
+        own = np.zeros((len(sets), high - low), np.float32)
+        for k, places in enumerate(sets):
+            a, b = np.searchsorted(places, (low, high))
+            own[k, places[a:b] - low] = 1
+        out += own @ np.unpackbits(landmarks[:, low // 8 : (high + 7) // 8], axis=1, count=high - low).astype(np.float32).T
+    return out
+
+
+def places(found: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Where the n-grams stand among ``codes``, both sorted; those that are not there are left out."""
+    at = np.searchsorted(codes, found)
+    return at[codes[np.minimum(at, len(codes) - 1)] == found] if len(codes) else at[:0]
+
+
 class Scorer:
     def __init__(self, model: Model) -> None:
         self.model = model
+        # Codes are numbers to the base of the alphabet: first those of one symbol, then of two, then of three.
         self.base = len(model.points) + 1
-        self.symbol = np.zeros(0x110000, np.int32)
-        self.symbol[model.points] = np.arange(1, self.base)
-        self.width = len(model.codes)
-        # A place for each n-gram of symbols; n-grams of no landmark share the last feature, which is dropped.
         self.starts = np.cumsum([0, *[self.base ** (n + 1) for n in range(NGRAM)]])
-        self.feature = np.full(self.starts[-1], self.width, np.int32)
-        self.feature[model.codes] = np.arange(self.width)
-        present = np.unpackbits(model.landmarks, axis=1, count=self.width).astype(np.float32)
-        self.landmarks = np.ascontiguousarray((present / np.sqrt(np.maximum(present.sum(axis=1, keepdims=True), 1))).T)
-
-    def presence(self, texts: list[str]) -> np.ndarray:
-        """Text x n-gram, 1 where it occurs. Long texts go in overlapping blocks."""
-        out = np.zeros((len(texts), self.width + 1), bool)
-        flat = out.reshape(-1)
-        held: list[tuple[int, str]] = []
-        size = 0
-
-        def flush() -> None:
-            points = np.frombuffer("\0".join(t for _, t in held).encode("utf-32-le", "replace"), "<u4")
-            # A text ends with a separator, which is outside the alphabet.
-            at = np.repeat([k * (self.width + 1) for k, _ in held], [len(t) + 1 for _, t in held])
-            symbols = self.symbol[points]
-            code, good = np.zeros(len(points), np.int32), np.ones(len(points), bool)
-            for n in range(NGRAM):
-                last = symbols[n:]
-                code = code[: len(last)] * self.base + last
-                good = good[: len(last)] & (last > 0)
-                flat[at[: len(last)][good] + self.feature[self.starts[n] + code[good]]] = True
-
-        for k, text in enumerate(texts):
-            for a in range(0, max(1, len(text)), BLOCK):
-                part = text[a : a + BLOCK + NGRAM - 1]
-                held.append((k, part))
-                size += len(part)
-                if size >= BLOCK:
-                    flush()
-                    held, size = [], 0
-        if held:
-            flush()
-        return out[:, : self.width]
+        points = np.array([0, *model.points], np.uint64) + np.uint64(1)
+        self.codes = np.zeros(len(model.codes), np.uint64)
+        for n in range(1, NGRAM + 1):
+            here = (model.codes >= self.starts[n - 1]) & (model.codes < self.starts[n])
+            left = model.codes[here] - self.starts[n - 1]
+            for k in range(n):
+                self.codes[here] |= points[left % self.base] << np.uint64(21 * k)
+                left = left // self.base
+        self.norms = np.sqrt(np.maximum(np.bitwise_count(model.landmarks).sum(axis=1, dtype=np.int64), 1)).astype(np.float32)
+
+    def _kernel(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Kernel values, and the root of the share of each text's n-grams that some landmark has."""
+        found = [grams(t) for t in texts]
+        sets = [places(g, self.codes) for g in found]
+        inside, whole = (np.array([max(1, len(x)) for x in y], np.float32)[:, None] for y in (sets, found))
+        return overlaps(sets, self.model.landmarks, len(self.codes)) / self.norms / np.sqrt(inside), np.sqrt(inside / whole)
 
     def kernel(self, texts: list[str]) -> np.ndarray:
         """Normalised presence kernel of each text with each landmark, and a constant."""
-        present = self.presence([t.lower() for t in texts]).astype(np.float32)
-        norm = np.sqrt(np.maximum(present.sum(axis=1, keepdims=True), 1))
-        return np.hstack([present @ self.landmarks / norm, np.ones((len(texts), 1), np.float32)])
+        return np.hstack([self._kernel(texts)[0], np.ones((len(texts), 1), np.float32)])
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        return self.kernel(texts) @ self.model.weights
+    def best(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Winning language, and its value with the kernel divided by all the text's n-grams: those of no landmark lower it."""
+        values, share = self._kernel(texts)
+        shift = self.model.weights[-1]
+        known = values @ self.model.weights[:-1]
+        winner = np.round(known + shift, 5).argmax(axis=1)
+        row = np.arange(len(texts))
+        return winner, np.round(known[row, winner] * share[:, 0] + shift[winner], 5)
 
 
 def sample(labelled: DataFrame) -> list[tuple[str, np.ndarray, bool, np.ndarray, np.ndarray]]:
@@ -224,39 +225,29 @@ def fit(labelled: DataFrame) -> Model | None:
     if not rows:
         return None
     mask = np.uint64((1 << 21) - 1)
-    singles = np.concatenate([g[g <= mask] for _, g, *_ in rows])
-    points, spread = np.unique(singles, return_counts=True)
-    points = np.sort(points[np.lexsort((points, -spread))][:ALPHABET])
-    points = points[points > 1]  # the separator
-    base = np.uint64(len(points) + 1)
-
-    def coded(found: np.ndarray) -> np.ndarray:
-        """Places of the n-grams within the alphabet."""
-        out, start = [], np.uint64(0)
-        for n in range(1, NGRAM + 1):
-            own = found[(found >> np.uint64(21 * n) == 0) & (found >> np.uint64(21 * (n - 1)) > 0)]
-            code, good = np.zeros(len(own), np.uint64), np.ones(len(own), bool)
-            for k in range(n - 1, -1, -1):
-                point = (own >> np.uint64(21 * k)) & mask
-                at = np.searchsorted(points, point)
-                good &= (at < len(points)) & (points[np.minimum(at, len(points) - 1)] == point)
-                code = code * base + at.astype(np.uint64) + np.uint64(1)
-            out.append(code[good] + start)
-            start += base ** np.uint64(n)
-        return np.unique(np.concatenate(out).astype(np.int64))
-
-    if not len(points):
-        return None
-    sets = [coded(g) for _, g, *_ in rows]
     chosen = [k for k, (_, _, landmark, *_) in enumerate(rows) if landmark]
-    codes = np.unique(np.concatenate([sets[k] for k in chosen]))
-    present = np.zeros((len(rows), len(codes)), np.float32)
-    for k, own in enumerate(sets):
-        at = np.searchsorted(codes, own)
-        hit = codes[np.minimum(at, len(codes) - 1)] == own if len(codes) else np.zeros(0, bool)
-        present[k, at[hit]] = 1
-    unit = present / np.sqrt(np.maximum(present.sum(axis=1, keepdims=True), 1))
-    kernel = (unit @ unit[chosen].T).astype(np.float64)
+    found = np.unique(np.concatenate([rows[k][1] for k in chosen]))
+    if not len(found):
+        return None
+    points = found[found <= mask]
+    base = len(points) + 1
+    codes, start = [], 0
+    for n in range(1, NGRAM + 1):
+        own = found[(found >> np.uint64(21 * n) == 0) & (found >> np.uint64(21 * (n - 1)) > 0)]
+        code = np.zeros(len(own), np.int64)
+        for k in range(n - 1, -1, -1):
+            code = code * base + np.searchsorted(points, (own >> np.uint64(21 * k)) & mask) + 1
+        codes.append(code + start)
+        start += base**n
+    codes = np.concatenate(codes)
+    sets = [places(g, found) for _, g, *_ in rows]
+    bits = np.zeros((len(chosen), (len(found) + 7) // 8), np.uint8)
+    for k, row in enumerate(chosen):
+        own = np.zeros(len(found), bool)
+        own[sets[row]] = True
+        bits[k] = np.packbits(own)
+    lengths = np.sqrt([max(1, len(x)) for x in sets])
+    kernel = overlaps(sets, bits, len(found)).astype(np.float64) / lengths[:, None] / lengths[chosen]
     values, vectors = np.linalg.eigh(kernel[chosen])
     values = np.where(values > 1e-6 * values[-1], values, np.inf)
     whiten = vectors / np.sqrt(values)
@@ -266,8 +257,7 @@ def fit(labelled: DataFrame) -> Model | None:
     penalty[-1, -1] = 0
     solved = np.linalg.lstsq(features.T @ features + penalty, features.T @ target, rcond=None)[0]
     weights = np.vstack([whiten @ solved[:-1], solved[-1:]]).astype(np.float32)
-    packed = np.packbits(present[chosen].astype(bool), axis=1)
-    return Model(languages, (points - np.uint64(1)).astype(np.int64).tolist(), codes, packed, weights, *calibrate(rows, languages))
+    return Model(languages, (points - np.uint64(1)).astype(np.int64).tolist(), codes, bits, weights, *calibrate(rows, languages))
 
 
 def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -285,9 +275,8 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
         names = np.array([*scorer.model.languages, UNKNOWN], object)
         for batch in slices(batches):
             texts = texts_of(batch.column("text"))
-            values = np.round(scorer.scores(texts), 5)
-            best = values.argmax(axis=1)
-            score = np.clip((values.max(axis=1).astype(np.float64) + 1) / 2, 0, 1)
+            best, value = scorer.best(texts)
+            score = np.clip((value.astype(np.float64) + 1) / 2, 0, 1)
             void = np.array([not has_letter(t) for t in texts])
             best[void], score[void] = len(names) - 1, 0
             yield pa.RecordBatch.from_arrays(
@@ -329,7 +318,7 @@ def with_language(docs: DataFrame) -> DataFrame:
         scorer = shared.value.ready()
         for batch in slices(batches):
             texts = texts_of(batch.column("text"))
-            best = np.round(scorer.scores(texts), 5).argmax(axis=1).tolist()
+            best = scorer.best(texts)[0].tolist()
             kept = [has_letter(t) and shared.value.claims(t, k) for t, k in zip(texts, best)]
             yield pa.RecordBatch.from_arrays([batch.column("row")], ["row"]).filter(pa.array(kept, pa.bool_()))
 

@@ -141,6 +141,23 @@ def test_unclaimed_texts_go(spark, count):
     assert kept["learn"] >= 0.995 * 60 * count and kept["short"] == 61
 
 
+def test_many_scripts_and_a_rare_language(spark):
+    draw = random.Random(8)
+    alphabets = [range(0x61, 0x7B), range(0x3B1, 0x3CA), range(0x430, 0x450), range(0x627, 0x64B), range(0xE01, 0xE2F), range(0x4E00, 0x4E00 + 400),
+                 range(0x3041, 0x3097), range(0xAC00, 0xAC00 + 400), range(0x10D0, 0x10F1), range(0x5D0, 0x5EB)]
+    rows = []
+    for k, letters in enumerate(alphabets):
+        speak = invented(k, [chr(x) for x in letters])
+        rows += [(1000 * k + j, speak(30, draw), f"l{k}") for j in range(8 if k == 8 else 40)]
+        rows += [(100_000 + 1000 * k + j, speak(12, draw), None) for j in range(10)]
+    rows.append((200_000, "ᚠᚢᚦᚨᚱᚲ ᚷᚹᚺᚾᛁᛃ a", None))
+    got = {r["doc_id"]: r for r in languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for k in range(len(alphabets)):
+        assert {got[100_000 + 1000 * k + j]["lang_pred"] for j in range(10)} == {f"l{k}"}
+    # One known letter among many unknown ones is no confident claim.
+    assert got[200_000]["score"] < 0.3
+
+
 def test_no_labels(docs, none):
     assert {r["lang_pred"] for r in languages(docs.selectExpr("doc_id", "text", "cast(null as string) lang")).collect()} == {"und"}
     assert languages(none).count() == 0

@@ -6,11 +6,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import body
-from auditlake.llm.licences import EQUIVALENT, KNOWN
+from auditlake.llm.licences import EQUIVALENT, KNOWN, whole_texts
 
 #: A line that only states who holds the copyright, in lower-cased text.
 COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(copyright[ \t]*(\(c\)|©|:|<|\[|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©|all rights reserved)[^\n]*$"
 NOT_WORD = r"[^\p{L}\p{N}]+"
+#: A heading that only names one of the short licences, at the start of lower-cased text.
+TITLE = (
+    r"""\A[\s#*/;=-]*(the )?(mit|expat|isc|zlib(/libpng)?|0bsd|unlicense|(bsd[ -]*)?(zero|0|2|3|two|three)[ -]clause( bsd)?|((new|modified|revised|simplified) )?bsd)"""
+    r"""( ?"?(new|revised|modified|simplified|freebsd)"?( or "?(revised|modified|freebsd)"?)?)? ?(licen[cs]e)?( \([^()\n]{1,60}\))?[ \t.:=-]*"""
+    r"""(?=\s*(\n|(portions )?copyright|\(c\)|©|permission is|permission to|redistribution and|this software is|this is free))"""
+)
+#: The number or letter of a list item, after the end of a sentence, a blank line or the start.
+ITEM = r"""([.:;,]\s+|\b(?:and|or)\s+|\n[ \t#*/;-]*\n\s*|\A\s*)\(?(?:[0-9]{1,2}|[a-z])[.)](?=\s+["'(]*\p{L})"""
 
 
 def canonical(text: Column) -> Column:
@@ -23,27 +31,40 @@ def canonical(text: Column) -> Column:
     return F.trim(words)
 
 
+def reduced(text: Column) -> Column:
+    """Lower case without what whole licences differ in beyond ``canonical``: headings, numbers of list items, other line ends."""
+    low = F.regexp_replace(F.lower(text), "\r\n?", "\n")
+    return F.regexp_replace(F.regexp_replace(low, TITLE, ""), ITEM, "$1")
+
+
 def known_licences(spark: SparkSession) -> DataFrame:
     """The built-in licences: license_id, text."""
-    rows = F.array(*[F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in KNOWN])
+    rows = F.array(*[F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in KNOWN + whole_texts()])
     return spark.range(1).select(F.inline(rows))
 
 
 def licensed(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_words of the canonical text, digest, license_id (null: not a licence).
 
-    The whole canonical text must be equal to that of a known licence (license_id, text); a copyright line, case, punctuation,
-    line breaks or an equivalent spelling make no difference. Null and empty texts have the digest of the empty text and match
-    nothing; repeated rows repeat. If known texts share a digest the smallest license_id stands. The table of known digests may
-    have any size: it is joined by digest without a hint. Other columns are not read.
+    The whole text must be that of a known licence (license_id, text) in one of two forms: the canonical one, where a copyright
+    line, case, punctuation, line breaks or an equivalent spelling make no difference, or the canonical form of ``reduced``.
+    Words and digest are of the first. A notice or licence within a longer text is not found. Null and empty texts have the
+    digest of the empty text and match nothing; repeated rows repeat. If known texts share a digest the smallest license_id
+    stands. The table of known digests may have any size: it is joined by digest without a hint. Other columns are not read.
     """
     known = known_licences(docs.sparkSession) if known is None else known
-    text = canonical(body())
-    rows = docs.select("doc_id", text.alias("canon")).select(
+    text = body()
+    # Most texts have nothing to reduce; then the second digest is the first.
+    rows = docs.select("doc_id", canonical(text).alias("canon"), text.alias("text"), reduced(text).alias("low")).select(
         "doc_id",
         F.when(F.col("canon") == "", 0).otherwise(F.regexp_count("canon", F.lit("  ")) + 1).cast("long").alias("n_words"),
         F.sha2("canon", 256).alias("digest"),
+        F.when(F.col("low") != F.lower("text"), F.sha2(canonical(F.col("low")), 256)).alias("second"),
+    )
+    forms = known.select("license_id", F.explode(F.array(canonical(text), canonical(reduced(text)))).alias("canon")).where("canon <> ''")
+    digests = forms.groupBy(F.sha2("canon", 256).alias("key")).agg(F.min("license_id").alias("license_id"))
+    first = digests.withColumnsRenamed({"key": "digest", "license_id": "first_id"})
+    second = digests.withColumnsRenamed({"key": "second", "license_id": "second_id"})
+    return rows.join(first, "digest", "left").join(second, "second", "left").select(
+        "doc_id", "n_words", "digest", F.coalesce("first_id", "second_id").alias("license_id")
     )
-    digests = known.select("license_id", text.alias("canon")).where("canon <> ''")
-    digests = digests.groupBy(F.sha2("canon", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
-    return rows.join(digests, "digest", "left").select("doc_id", "n_words", "digest", "license_id")

@@ -1,5 +1,7 @@
 """Known licence texts and equivalent spellings: fixed values."""
 
+import pkgutil
+
 _MIT_BODY = """
 Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
 files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,
@@ -77,6 +79,26 @@ KNOWN = [
     ("MIT", "Released under the MIT License."),
 ]
 
+#: Files of licence_texts: whole texts as published (GNU texts and Mozilla 1.1 as in Debian's common licences).
+FILES = [
+    "Apache-2.0", "CC0-1.0", "GFDL-1.2-only", "GFDL-1.3-only", "GPL-1.0-only", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.0-only", "LGPL-2.1-only",
+    "LGPL-3.0-only", "MPL-1.1", "MPL-2.0", "Unlicense",
+]
+#: What ends the terms; an appendix on how to apply them may be left out.
+END = "END OF TERMS AND CONDITIONS"
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the files, and again without their appendix."""
+    out = []
+    for name in FILES:
+        text = pkgutil.get_data("auditlake.llm", f"licence_texts/{name}.txt").decode()
+        out.append((name, text))
+        if END in text:
+            out.append((name, text[: text.index(END) + len(END)]))
+    return out
+
+
 #: (spelling, the one that stands for both); words are lower case, without punctuation.
 EQUIVALENT = [
     ("acknowledgement", "acknowledgment"),

@@ -11,7 +11,7 @@ from auditlake.llm import exact_dedup
 from auditlake.llm.common import word_count
 from auditlake.llm.exact_dedup import exact_groups, without_copies
 from auditlake.llm.licence_scan import licensed
-from auditlake.llm.licences import KNOWN
+from auditlake.llm.licences import KNOWN, whole_texts
 from auditlake.llm.mixing import mixed, mixture
 from auditlake.llm.sharding import byte_shards
 
@@ -120,6 +120,22 @@ def test_licences(spark):
     assert (mine["license_id"], mine["n_words"]) == ("X-1", 2)
 
 
+def test_whole_licences_with_headings_and_bullets(spark):
+    known = dict(KNOWN[1:2] + KNOWN[2:7])
+    whole = dict(reversed(whole_texts()))
+    holder = "Copyright (c) 2024, A. Person\n\n"
+    bullets = {k: re.sub(r"(?m)^[0-9]\. ", "* ", known[k]) for k in ("BSD-2-Clause", "BSD-3-Clause")}
+    cases = [(k, whole[k]) for k in whole] + [(k, "\r\n".join(t.split("\n"))) for k, t in whole_texts()]
+    cases += [(k, f"{title}\n\n{holder}{known[k]}") for k, title in [
+        ("BSD-3-Clause", "BSD 3-Clause License"), ("BSD-2-Clause", "BSD 2-Clause License"), ("ISC", "ISC License"), ("MIT", "The MIT License (MIT)"),
+        ("BSD-3-Clause", 'BSD 3-Clause "New" or "Revised" License'), ("0BSD", "BSD Zero Clause License"), ("Zlib", "The zlib License"),
+    ]]
+    cases += [(k, f"{holder}{t}") for k, t in bullets.items()] + [("BSD-3-Clause", known["BSD-3-Clause"].replace("2. ", "b) ").replace("1. ", "(a) "))]
+    cases += [(None, "MIT License"), (None, "BSD 3-Clause License\n"), (None, known["BSD-2-Clause"] + "\n3. One clause more."), (None, "1. a list\n\n2. of two")]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(cases)], "doc_id long, text string")
+    assert {r["doc_id"]: r["license_id"] for r in licensed(docs).collect()} == {k: i for k, (i, _) in enumerate(cases)}
+
+
 def test_empty(none):
     assert exact_groups(none).count() == 0 and without_copies(none).count() == 0 and byte_shards(none, 4).count() == 0
     assert mixed(none.select("doc_id", "source", word_count().alias("size")), "s").count() == 0

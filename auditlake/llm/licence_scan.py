@@ -15,7 +15,21 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 TITLE = (
     r"""\A[\s#*/;=-]*(the )?(mit|expat|isc|zlib(/libpng)?|0bsd|unlicense|(bsd[ -]*)?(zero|0|2|3|two|three)[ -]clause( bsd)?|((new|modified|revised|simplified) )?bsd)"""
     r"""( ?"?(new|revised|modified|simplified|freebsd)"?( or "?(revised|modified|freebsd)"?)?)? ?(licen[cs]e)?( \([^()\n]{1,60}\))?[ \t.:=-]*"""
-    r"""(?=\s*(\n|(portions )?copyright|\(c\)|©|permission is|permission to|redistribution and|this software is|this is free))"""
+    r"""(?=[\s#*/;-]*(\n|(portions )?copyright|\(c\)|©|permission is|permission to|redistribution and|this software is|this is free))"""
+)
+#: Where the terms begin if they follow the holder on one line.
+TERMS = (
+    r"(permission is hereby|permission to use|redistribution and use|redistributions? of|this software is|this program is|this work is|licensed under|released under"
+    r"|everyone is permitted|this is free|(the )?(mit|isc|bsd|zlib) licen[cs]e)"
+)
+#: A holder, in lower-cased text: any line that opens with (portions) copyright and has a sign, a year, "by" or "authors", or that opens
+#: a paragraph; wrapped terms such as "copyright notice" are none. It ends with the line or where the terms begin.
+HOLDER = (
+    r"(?m)^[ \t#*/;-]*(?:(?:portions[ \t]+)?(?:©|\(c\)[ \t]*[0-9]{4}|copyright(?!\w)"
+    r"(?![ \t]+(?:notices?|holders?|owners?|laws?|licen[cs]es?|statements?|interests?|and|or|in|on|of|to|as|is|protection|treat\w*|infring\w*)\b)"
+    r"(?:(?=[ \t]*(?:\(c\)|©|:|<|\[|[0-9]{4})|[ \t]+by\b|[^\n]{0,200}?\b(?:[0-9]{4}|authors|contributors)\b)"
+    r"|(?<=\n[ \t]{0,9}\n[ \t#*/;-]{0,9}(?:portions[ \t]{1,9})?copyright|\A[ \t\n#*/;-]{0,9}(?:portions[ \t]{1,9})?copyright)))|all rights reserved)"
+    r"[^\n]*?(?=$|\b" + TERMS + r"\b)"
 )
 #: The number or letter of a list item, after the end of a sentence, a blank line or the start.
 ITEM = r"""([.:;,]\s+|\b(?:and|or)\s+|\n[ \t#*/;-]*\n\s*|\A\s*)\(?(?:[0-9]{1,2}|[a-z])[.)](?=\s+["'(]*\p{L})"""
@@ -32,9 +46,11 @@ def canonical(text: Column) -> Column:
 
 
 def reduced(text: Column) -> Column:
-    """Lower case without what whole licences differ in beyond ``canonical``: headings, numbers of list items, other line ends."""
+    """Lower case without what whole licences differ in beyond ``canonical``: headings, holders, numbers of list items, other line ends."""
     low = F.regexp_replace(F.lower(text), "\r\n?", "\n")
-    return F.regexp_replace(F.regexp_replace(low, TITLE, ""), ITEM, "$1")
+    for pattern in (TITLE, HOLDER, TITLE):
+        low = F.regexp_replace(low, pattern, "")
+    return F.regexp_replace(low, ITEM, "$1")
 
 
 def known_licences(spark: SparkSession) -> DataFrame:

@@ -136,6 +136,21 @@ def test_whole_licences_with_headings_and_bullets(spark):
     assert {r["doc_id"]: r["license_id"] for r in licensed(docs).collect()} == {k: i for k, (i, _) in enumerate(cases)}
 
 
+@pytest.mark.parametrize("holder", [
+    "Copyright Jane Doe 2024", "Copyright The X Authors", "Copyright by Jane Doe", "Portions copyright (c) 2020 B", "Copyright Jane Doe",
+    "Copyright (c) 2024 X\nPortions Copyright 2023 Y. All rights reserved.", "  * Copyright © X and others", "(C) 2024 X\nAll rights reserved.",
+])
+def test_holders_of_licences(spark, holder):
+    mit, bsd = KNOWN[1][1], KNOWN[4][1]
+    wrapped = "\n".join(re.sub(r"\s+", " ", bsd).replace(" copyright ", "\ncopyright ").replace(" COPYRIGHT ", "\nCOPYRIGHT ").split("\n"))
+    one = holder.replace("\n", " ")
+    cases = [("MIT", f"{holder}\n{mit}"), ("MIT", f"MIT License\n\n{holder}\n\n{mit}"), ("BSD-2-Clause", f"{holder}\n\n{wrapped}")]
+    cases += [(i, one + " " + re.sub(r"\s+", " ", t)) for i, t in (("MIT", mit), ("BSD-2-Clause", bsd))]
+    cases += [("MIT", ("MIT License " + one + " " + mit).replace("\n", "\r")), (None, holder), (None, one + " Permission is hereby granted")]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(cases)], "doc_id long, text string")
+    assert {r["doc_id"]: r["license_id"] for r in licensed(docs).collect()} == {k: i for k, (i, _) in enumerate(cases)}
+
+
 def test_empty(none):
     assert exact_groups(none).count() == 0 and without_copies(none).count() == 0 and byte_shards(none, 4).count() == 0
     assert mixed(none.select("doc_id", "source", word_count().alias("size")), "s").count() == 0

@@ -100,6 +100,24 @@ def test_connected_long_chain(spark):
     assert got == {k: 0 for k in range(61)} | {100 + k: 100 for k in range(50)}
 
 
+# --- secret threshold ------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("findings", [40, 400])
+def test_limit_keeps_recall_with_overlapping_classes(findings):
+    draw = random.Random(findings)
+
+    def window(letters):
+        value = "".join(draw.choice(letters) for _ in range(20))
+        return np.frombuffer(windows(value, 0, len(value)), np.uint8)
+
+    # Half of the findings look like the rest, and findings are rare.
+    rows = [window("0123456789abcdef" if k % 2 else "ghijklmnopqrstuv0123") for k in range(findings)]
+    rows += [window("ghijklmnopqrstuv0123") for _ in range(2000)]
+    net = train_network(np.stack(rows), np.arange(len(rows)) < findings)
+    assert net.recall >= 0.98 and net.limit < 0.5 and 0 < net.precision <= 1
+
+
 # --- language --------------------------------------------------------------------------------------------------------
 
 

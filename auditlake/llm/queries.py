@@ -1,14 +1,17 @@
-"""Registered queries: each operator over the whole documents table."""
+"""Registered queries: each operator over its whole table."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from auditlake.llm.common import word_count
+from auditlake.llm.common import stored, word_count
+from auditlake.llm.conversations import diagnosed, repaired
 from auditlake.llm.exact_dedup import exact_groups
 from auditlake.llm.language_id import languages
 from auditlake.llm.licence_scan import licensed
@@ -80,6 +83,57 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults made by a hash of conv_id and turn: dropped, emptied, unended, repeated and relabelled rows."""
+    space = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    rows = rows.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"),
+                       F.pmod(F.crc32(key.cast("binary")), F.lit(20)).alias("fate"))
+    text = F.when(F.col("fate") == 1, "").when(F.col("fate") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    rows = rows.where("fate <> 0").select(
+        "conv_id", "turn", F.when(F.col("fate") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+        F.explode(F.when(F.col("fate") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
+    )
+    return rows.drop("copy")
+
+
+def turn_digests(turns: DataFrame) -> DataFrame:
+    """SHA-256 of ``role:text`` of a conversation's turns, newline-joined. Partitions hold whole conversations in order: turns pass by one at a time."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, digest, out = None, None, []
+        for batch in batches:
+            for conv, place, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "place", "role", "text"))):
+                if place == 0:
+                    if digest is not None:
+                        out.append((key, digest.hexdigest()))
+                    key, digest = conv, hashlib.sha256()
+                else:
+                    digest.update(b"\n")
+                digest.update(f"{role}:{text}".encode("utf-8", "replace"))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([d for _, d in out])], ["conv_id", "repaired_sha256"])
+                out = []
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([digest.hexdigest()])], ["conv_id", "repaired_sha256"])
+
+    return turns.mapInArrow(fold, "conv_id long, repaired_sha256 string")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows = damaged(given)
+    diagnosis = stored(diagnosed(rows), "diagnosis")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    parts = (
+        given.select("conv_id")
+        .unionByName(diagnosis, allowMissingColumns=True)
+        .unionByName(turn_digests(repaired(rows, diagnosis)), allowMissingColumns=True)
+    )
+    none = {"audit": "", "repaired_sha256": hashlib.sha256().hexdigest()} | {c: 0 for c in counts}
+    return parts.groupBy("conv_id").agg(*[F.max(c).alias(c) for c in [*counts, "audit", "repaired_sha256"]]).fillna(none)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
@@ -91,5 +145,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_conversation_repair": op13_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }

@@ -21,6 +21,7 @@ from auditlake.llm.quality import quality
 from auditlake.llm.secret_model import joined, secrets
 from auditlake.llm.sharding import byte_shards
 from auditlake.llm.simhash import near_groups
+from auditlake.llm.spelling import variants
 from auditlake.llm.token_files import token_files
 
 #: Shards of the sharding query.
@@ -83,6 +84,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(documents(spark, sf_dir))
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """Conversations with faults made by a hash of conv_id and turn: dropped, emptied, unended, repeated and relabelled rows."""
     space = F.lit(" ")
@@ -145,6 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
     "op13_conversation_repair": op13_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }

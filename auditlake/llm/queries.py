@@ -15,6 +15,7 @@ from auditlake.llm.conversations import diagnosed, repaired
 from auditlake.llm.exact_dedup import exact_groups
 from auditlake.llm.language_id import languages
 from auditlake.llm.licence_scan import licensed
+from auditlake.llm.lm_scoring import scored
 from auditlake.llm.mixing import mixed
 from auditlake.llm.packing import packed
 from auditlake.llm.quality import quality
@@ -88,6 +89,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(documents(spark, sf_dir))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(documents(spark, sf_dir))
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """Conversations with faults made by a hash of conv_id and turn: dropped, emptied, unended, repeated and relabelled rows."""
     space = F.lit(" ")
@@ -151,6 +156,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_lm_scoring": op12_lm_scoring,
     "op13_conversation_repair": op13_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }

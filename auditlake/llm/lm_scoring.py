@@ -22,6 +22,8 @@ BLOCK = 1 << 22
 ROUNDS = 2
 #: Expected counts are added up as multiples of 1 / GRAIN, so that sums do not depend on their order.
 GRAIN = 1 << 16
+#: Cells (words x places x lengths of pieces) of the words that are taken together.
+CELLS = 1 << 18
 #: How the vocabulary writes the start of a word.
 START = "▁"
 
@@ -60,75 +62,127 @@ def vocabulary(path: str | None = None) -> Vocabulary:
 
 
 class Lattice:
-    """All segmentations of a word. A code point that is no piece is written as its UTF-8 bytes."""
+    """All segmentations of words. A code point that is no piece is written as its UTF-8 bytes.
+
+    Words of one length are taken together: they walk the pieces' prefix tree side by side, and their recursions run in step.
+    """
 
     def __init__(self, known: Vocabulary) -> None:
-        n = len(known.pieces)
-        weights = known.weights.tolist()
-        #: Piece: its weight and number; beginning of a piece: None.
-        self.table: dict[str, tuple[float, int] | None] = {}
-        for k, piece in enumerate(known.pieces):
-            for j in range(1, len(piece)):
-                self.table.setdefault(piece[:j], None)
-            self.table[piece] = (weights[k], k)
-        self.bytes = weights[n : n + 256]
-        self.first_byte = n
-        self.end = weights[-1]
+        self.pieces = len(known.pieces)
+        self.weights = known.weights
+        self.end = float(known.weights[-1])
         self.longest = max(map(len, known.pieces), default=1)
-
-    def arcs(self, word: str) -> list[list[tuple[int, float, int]]]:
-        """From each place: where pieces lead, their weights and numbers (-1: bytes)."""
-        text, table, longest = START + word, self.table, self.longest
-        n, out = len(text), []
-        for i in range(n):
-            here = []
-            for j in range(i + 1, min(n, i + longest) + 1):
-                piece = text[i:j]
-                if piece not in table:
-                    break
-                found = table[piece]
-                if found is not None:
-                    here.append((j, *found))
-            if not here or here[0][0] > i + 1:
-                here.append((i + 1, sum(self.bytes[b] for b in text[i].encode("utf-8", "replace")), -1))
-            out.append(here)
+        nodes = {"": 0}
+        for piece in known.pieces:
+            for j in range(1, len(piece) + 1):
+                nodes.setdefault(piece[:j], len(nodes))
+        self.piece = np.full(len(nodes), -1, np.int32)
+        self.piece[[nodes[p] for p in known.pieces]] = np.arange(self.pieces)
+        parent, code, child = np.array([(nodes[x[:-1]], ord(x[-1]), k) for x, k in nodes.items() if x] or np.zeros((0, 3), np.int64), np.int64).T
+        #: Next node by node and code point; 0 is none. ASCII has a table, other code points sorted keys.
+        self.ascii = np.zeros((len(nodes), 128), np.int32)
+        low = code < 128
+        self.ascii[parent[low], code[low]] = child[low]
+        order = np.argsort(parent[~low] << 21 | code[~low])
+        self.others, self.other_nodes = (parent[~low] << 21 | code[~low])[order], child[~low][order]
+
+    def _next(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        out = self.ascii[node, np.minimum(code, 127)]
+        rare = np.flatnonzero(code > 126)
+        if len(rare):
+            key = node[rare].astype(np.int64) << 21 | code[rare]
+            at = np.minimum(np.searchsorted(self.others, key), max(0, len(self.others) - 1))
+            found = self.others[at] == key if len(self.others) else np.zeros(len(rare), bool)
+            out[rare] = np.where(found, self.other_nodes[at], 0) if len(self.others) else 0
+            out[rare] = np.where(code[rare] < 128, self.ascii[node[rare], np.minimum(code[rare], 127)], out[rare])
         return out
 
-    def forward(self, arcs: list[list[tuple[int, float, int]]]) -> list[float]:
-        """Logarithm of the probability of each beginning, over all segmentations."""
-        alpha: list[float] = [-math.inf] * (len(arcs) + 1)
-        alpha[0] = 0.0
-        log1p, exp = math.log1p, math.exp
-        for a, here in zip(alpha, arcs):  # alpha grows ahead of the place that is read
-            for j, w, _ in here:
-                t, b = a + w, alpha[j]
-                alpha[j] = (t + log1p(exp(b - t)) if t > b else b + log1p(exp(t - b))) if b > -math.inf else t
+    def _arcs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Of words of one length: number and weight of the piece by word, start and length; weights by end; bytes of other code points.
+
+        Numbers from that of the end on stand for the code points that are no piece, in the order of the bytes that are returned.
+        """
+        rows = len(words)
+        codes = np.frombuffer("".join(START + w for w in words).encode("utf-32-le", "replace"), "<u4").astype(np.int64).reshape(rows, -1)
+        n = codes.shape[1]
+        wide = min(n, self.longest)
+        number = np.full((rows, n, wide), -1, np.int32)
+        row, start = (x.ravel() for x in np.indices((rows, n)))
+        node = np.zeros(rows * n, np.int32)
+        for d in range(wide):
+            node = self._next(node, codes[row, start + d])
+            on = node > 0
+            row, start, node = row[on], start[on], node[on]
+            number[row, start, d] = self.piece[node]
+            on = start + d + 1 < n
+            row, start, node = row[on], start[on], node[on]
+        bare = number[:, :, 0] < 0
+        points, which = np.unique(codes[bare], return_inverse=True)
+        spelled = [chr(p).encode("utf-8", "replace") for p in points.tolist()]
+        number[:, :, 0][bare] = len(self.weights) + which
+        spelling = [sum(self.weights[self.pieces + b] for b in x) for x in spelled]
+        all_weights = np.concatenate([self.weights, spelling, [-np.inf]])
+        weight = all_weights[number]
+        ends = np.full((rows, n + 1, wide), -np.inf)
+        for d in range(wide):
+            ends[:, d + 1 :, d] = weight[:, : n - d, d]
+        return number, weight, ends, spelled
+
+    @staticmethod
+    def _sum(x: np.ndarray) -> np.ndarray:
+        """Logarithm of the sum of exponentials in each row."""
+        top = x.max(axis=1)
+        return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+
+    def _forward(self, ends: np.ndarray) -> np.ndarray:
+        """Logarithm of the probability of each word's beginnings, over all segmentations."""
+        rows, places, wide = ends.shape
+        alpha = np.full((rows, places), -np.inf)
+        alpha[:, 0] = 0
+        for j in range(1, places):
+            m = min(j, wide)
+            alpha[:, j] = self._sum(alpha[:, j - m : j][:, ::-1] + ends[:, j, :m])
         return alpha
 
-    def log_probability(self, word: str) -> float:
-        return self.forward(self.arcs(word))[-1]
-
-    def expect(self, word: str, times: int, totals: dict[int, int]) -> None:
-        """Add the expected number of each piece in ``times`` such words, in multiples of 1 / GRAIN."""
-        arcs = self.arcs(word)
-        alpha = self.forward(arcs)
-        whole = alpha[-1]
-        share = times * GRAIN
-        beta: list[float] = [0.0] * (len(arcs) + 1)
-        log1p, exp = math.log1p, math.exp
-        for i in range(len(arcs) - 1, -1, -1):
-            b, a = -math.inf, alpha[i] - whole
-            for j, w, k in arcs[i]:
-                t = w + beta[j]
-                b = (t + log1p(exp(b - t)) if t > b else b + log1p(exp(t - b))) if b > -math.inf else t
-                part = int(share * exp(a + t) + 0.5)
-                if part:
-                    if k >= 0:
-                        totals[k] += part
-                    else:
-                        for byte in (START + word)[i].encode("utf-8", "replace"):
-                            totals[self.first_byte + byte] += part
-            beta[i] = b
+    def _groups(self, words: list[str]) -> Iterator[np.ndarray]:
+        """Places of words of one length, as many as CELLS allows."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        order = np.argsort(sizes, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1) if len(words) else []:
+            n = int(sizes[part[0]])
+            step = max(1, CELLS // (n * min(n, self.longest)))
+            for a in range(0, len(part), step):
+                yield part[a : a + step]
+
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        """Natural logarithm of each word's probability."""
+        out = np.zeros(len(words))
+        for part in self._groups(words):
+            out[part] = self._forward(self._arcs([words[k] for k in part])[2])[:, -1]
+        return out
+
+    def expect(self, words: list[str], times: np.ndarray) -> np.ndarray:
+        """Expected number of each piece and byte in so many of each word, in multiples of 1 / GRAIN, rounded by word and place."""
+        totals = np.zeros(len(self.weights), np.int64)
+        for part in self._groups(words):
+            number, weight, ends, spelled = self._arcs([words[k] for k in part])
+            alpha = self._forward(ends)
+            rows, n, wide = number.shape
+            share, whole = times[part].astype(float) * GRAIN, alpha[:, -1]
+            beta = np.zeros((rows, n + 1))
+            found = np.zeros(len(self.weights) + len(spelled) + 1)
+            for i in range(n - 1, -1, -1):
+                m = min(wide, n - i)
+                on = weight[:, i, :m] + beta[:, i + 1 : i + m + 1]
+                beta[:, i] = self._sum(on)
+                expected = np.rint(share[:, None] * np.exp(on + (alpha[:, i] - whole)[:, None]))
+                found += np.bincount(number[:, i, :m].ravel() % len(found), expected.ravel(), len(found))
+            found = found.astype(np.int64)
+            totals += found[: len(totals)]
+            for n_times, text in zip(found[len(totals) :].tolist(), spelled):
+                for byte in text:
+                    totals[self.pieces + byte] += n_times
+        return totals
 
 
 _ROWS = "block long, slot int, word string, n long, doc_id long, held_out boolean, n_words long, slots binary"
@@ -198,11 +252,11 @@ def fitted(words: DataFrame, documents: int, start: Vocabulary) -> Vocabulary:
     for _ in range(ROUNDS):
 
         def expect(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            lattice, totals = known.ready(), defaultdict(int)
+            lattice = known.ready()
             for batch in batches:
-                for word, times in zip(*(c.to_pylist() for c in batch.columns)):
-                    lattice.expect(word, times, totals)
-            yield pa.RecordBatch.from_arrays([pa.array(totals.keys(), pa.int32()), pa.array(totals.values(), pa.int64())], ["piece", "n"])
+                totals = lattice.expect(batch.column("word").to_pylist(), batch.column("c").to_numpy())
+                piece = np.flatnonzero(totals)
+                yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(totals[piece])], ["piece", "n"])
 
         sums = words.where("c > 0").select("word", "c").mapInArrow(expect, "piece int, n long").groupBy("piece").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n"))
         counts = np.ones(len(known.weights))
@@ -239,9 +293,9 @@ def scored(docs: DataFrame, start: Vocabulary | None = None) -> DataFrame:
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = known.ready()
-        for batch in slices(batches, 4096):
-            found = [lattice.log_probability(w) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], ["word", "c", "p"])
+        for batch in batches:
+            found = lattice.log_probabilities(batch.column("word").to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], ["word", "c", "p"])
 
     weighed = words.mapInArrow(weigh, "word string, c long, p double")
     values = slots.join(weighed, "word").select(F.col("block").alias("of"), "slot", "c", "p")

@@ -3,7 +3,7 @@
 import math
 import random
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -37,31 +37,41 @@ def probability(text, known):
 
 @pytest.mark.parametrize("word", ["a", "abc", "abcab", "aéx", "🙂ab", "▁a", "abcabcab"])
 def test_forward_sums_all_segmentations(word):
-    assert SMALL.ready().log_probability(word) == pytest.approx(math.log(probability("▁" + word, SMALL)), rel=1e-12)
+    assert SMALL.ready().log_probabilities([word])[0] == pytest.approx(math.log(probability("▁" + word, SMALL)), rel=1e-12)
 
 
 def test_words_factor_the_text():
     """No piece passes the start of a word, so the whole text's lattice is the product of the words'."""
     words = ["abc", "ab", "cab", "é"]
     whole = probability("".join("▁" + w for w in words), SMALL)
-    assert sum(map(SMALL.ready().log_probability, words)) == pytest.approx(math.log(whole), rel=1e-12)
+    assert SMALL.ready().log_probabilities(words).sum() == pytest.approx(math.log(whole), rel=1e-12)
 
 
 def test_expected_counts():
-    totals = defaultdict(int)
-    SMALL.ready().expect("abcabx", 1000, totals)
+    words = {"abcabx": 1000, "aéxabc": 10, "ab": 3, "🙂é🙂": 70, "\x7f~": 1}
+    totals = SMALL.ready().expect(list(words), np.array(list(words.values())))
     p, expected = np.exp(SMALL.weights), Counter()
-    found = list(segmentations("▁abcabx", SMALL))
-    whole = sum(math.prod(p[k] for k in s) for s in found)
-    for s in found:
-        for k in s:
-            expected[k] += 1000 * math.prod(p[j] for j in s) / whole
-    for k in set(totals) | set(expected):
+    for word, n in words.items():
+        found = list(segmentations("▁" + word, SMALL))
+        whole = sum(math.prod(p[k] for k in s) for s in found)
+        for s in found:
+            for k in s:
+                expected[k] += n * math.prod(p[j] for j in s) / whole
+    for k in range(len(totals)):
         assert totals[k] / GRAIN == pytest.approx(expected[k], abs=0.01)
 
 
+def test_words_together_are_as_alone():
+    draw = random.Random(2)
+    words = ["".join(draw.choice("abcé🙂~\x7fx") for _ in range(draw.randrange(1, 9))) for _ in range(300)]
+    lattice = SMALL.ready()
+    assert lattice.log_probabilities(words) == pytest.approx([lattice.log_probabilities([w])[0] for w in words], rel=1e-12)
+    public = vocabulary()
+    assert public.ready().log_probabilities(["the", "straße"]) == pytest.approx([math.log(probability("▁" + w, public)) for w in ("the", "straße")])
+
+
 def test_long_words_do_not_underflow():
-    assert -math.inf < SMALL.ready().log_probability("abc" * 20_000) < -10_000
+    assert -math.inf < SMALL.ready().log_probabilities(["abc" * 20_000])[0] < -10_000
 
 
 def test_public_vocabulary():
@@ -94,7 +104,7 @@ def test_scores_equal_brute_force(docs, rows, monkeypatch, block):
     assert len(got) == len(expected)
     for g, e in zip(got, expected):
         assert g[:5] == e[:5] and g[5] == pytest.approx(e[5], rel=1e-9, abs=1e-9)
-        cost = {w: lattice.log_probability(w) for w in set(e[6])}
+        cost = {w: lattice.log_probabilities([w])[0] for w in set(e[6])}
         assert g[6] == pytest.approx((sum(cost[w] for w in e[6]) + lattice.end) / math.log(10), rel=1e-9)
 
 
@@ -108,7 +118,7 @@ def test_fitting_raises_the_likelihood(spark, monkeypatch):
         known = fitted(words, 100, SMALL)
         lattice = known.ready()
         assert np.exp(known.weights).sum() == pytest.approx(1)
-        values.append(sum(n * lattice.log_probability(w) for w, n in counts.items()) + 100 * lattice.end)
+        values.append(sum(n * x for n, x in zip(counts.values(), lattice.log_probabilities(list(counts)))) + 100 * lattice.end)
     assert values == sorted(values)
 
 

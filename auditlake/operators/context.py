@@ -8,6 +8,7 @@ from auditlake.functions.labels import fingerprint as fingerprint_of
 from auditlake.functions.text import split_lines, strip, suffix
 from auditlake.operators.corpus import display_path, select_scan_sets, shows_exposure
 from auditlake.skew import counted_join, lookup_join
+from auditlake.sources.corpus_store import Corpus
 from auditlake.workspace import stored
 
 # Package names looked for in one pass over a file; more names become more groups.
@@ -21,31 +22,36 @@ FILE_SALTS = 256
 LINES_PER_GROUP = 5000
 
 
-def source_lines(wanted: DataFrame, files: DataFrame) -> DataFrame:
+def source_lines(wanted: DataFrame, files: DataFrame | Corpus) -> DataFrame:
     """Stripped text of the wanted lines: rows (repo, file, line, text).
 
     ``wanted`` is reduced to distinct line numbers per file, in groups of bounded size, so a file
     is read once however many findings it has, and only the wanted lines leave the join. The reduced
-    table is written first: Spark then knows its size and shuffles file text only if the table
-    is too large to broadcast.
+    table is written first: Spark then knows its size and shuffles the text of a plain table only if the wanted lines
+    are too many to broadcast. The text of a ``Corpus`` is never shuffled.
     """
     per_file = stored(
         wanted.filter("line IS NOT NULL")
-        .groupBy("repo", "file", F.floor(F.col("line") / LINES_PER_GROUP).alias("line_group"))
+        .groupBy("repo", F.col("file").alias("path"), F.floor(F.col("line") / LINES_PER_GROUP).alias("line_group"))
         .agg(F.collect_set("line").alias("wanted_lines"))
         .drop("line_group"),
         "wanted-lines",
     )
+    if isinstance(files, Corpus):
+        joined = files.with_text(per_file)
+        if files.rest is not None:
+            joined = joined.unionByName(files.rest.select("repo", "path", "content").join(per_file, ["repo", "path"]))
+    else:
+        joined = files.select("repo", "path", "content").join(per_file, ["repo", "path"])
     lines = split_lines(F.col("content"))
-    joined = files.select("repo", F.col("path").alias("file"), "content").join(per_file, ["repo", "file"])
     return (
-        joined.select("repo", "file", lines.alias("lines"), F.explode("wanted_lines").alias("line"))
+        joined.select("repo", F.col("path").alias("file"), lines.alias("lines"), F.explode("wanted_lines").alias("line"))
         .filter(F.col("line").between(1, F.size("lines")))
         .select("repo", "file", "line", strip(F.get("lines", F.col("line") - 1)).alias("text"))
     )
 
 
-def sink_lookup(findings: DataFrame, files: DataFrame) -> DataFrame:
+def sink_lookup(findings: DataFrame, files: DataFrame | Corpus) -> DataFrame:
     """Add ``sink``, the text of the reported line ('' if there is none).
 
     Scanners of this package already carry the line; only rows without one are looked up.
@@ -78,10 +84,11 @@ def exposure(files: DataFrame) -> DataFrame:
 
 
 def package_mentions(
-    wanted: DataFrame, files: DataFrame, broadcast_groups: int = BROADCAST_GROUPS
+    wanted: DataFrame, files: DataFrame | Corpus, broadcast_groups: int = BROADCAST_GROUPS
 ) -> DataFrame:
     """Distinct (repo, package) of ``wanted`` whose name occurs in some code file of the repository.
 
+    A ``Corpus`` finds the files to test by its postings and shuffles no text. For a plain table:
     A substring test has no join key, so the names come to the files: each repository's
     distinct names are packed into groups of bounded size, and a file row tests the names of
     a group in place and emits only those it contains. The groups are written and counted
@@ -89,6 +96,9 @@ def package_mentions(
     beyond, the shuffle is salted by the file, so a repository with a large share of all files
     is spread.
     """
+    if isinstance(files, Corpus):
+        found = files.mentions(wanted)
+        return found if files.rest is None else found.union(package_mentions(wanted, files.rest, broadcast_groups)).distinct()
     names = wanted.select("repo", F.lower("package").alias("package")).distinct()
     counts = names.groupBy("repo").agg(F.ceil(F.count(F.lit(1)) / PACKAGES_PER_GROUP).alias("groups"))
     groups = stored(
@@ -108,7 +118,7 @@ def package_mentions(
     return matched.distinct()
 
 
-def reachability(findings: DataFrame, files: DataFrame) -> DataFrame:
+def reachability(findings: DataFrame, files: DataFrame | Corpus) -> DataFrame:
     """Add ``reachable``: a vulnerable package must be mentioned in code, all else is reachable."""
     package = F.lower(F.coalesce(F.col("package"), F.lit("")))
     asked = (F.col("cwe") == "CWE-1104") & (package != "")

@@ -19,6 +19,7 @@ from auditlake.operators.corpus import config_kind, scan_stats, scan_warnings, s
 from auditlake.rules.config_rules import CONFIG_RULES, ConfigRule
 from auditlake.rules.secret_rules import SECRET_RULES, SecretRule
 from auditlake.skew import lookup_join
+from auditlake.sources.corpus_store import Corpus
 from auditlake.workspace import fresh_path
 
 EVIDENCE = "struct<stage:string,line_no:int,text:string,rule:int,value:string,content:string>"
@@ -172,7 +173,7 @@ def allowed(found: DataFrame, plan: DataFrame, planned: DataFrame) -> DataFrame:
     )
 
 
-def score(unique: DataFrame, files: DataFrame, exposed: DataFrame) -> DataFrame:
+def score(unique: DataFrame, files: DataFrame | Corpus, exposed: DataFrame) -> DataFrame:
     """Add context to deduplicated findings and compute the risk of each place."""
     with_line = context.sink_lookup(findings.finding_defaults(unique), files)
     reachable = context.reachability(with_line, files)
@@ -192,7 +193,7 @@ class Audit:
 
 
 def run_audit(
-    files: DataFrame,
+    files: DataFrame | Corpus,
     vulnerabilities: DataFrame,
     cwe_dim: DataFrame,
     guidance: DataFrame,
@@ -207,8 +208,12 @@ def run_audit(
 
     ``reports`` are findings ingested from other tools, ``policies`` the policy files as rows. Source files above
     ``max_bytes`` are not scanned (by default all are) and listed in ``warnings``. ``reported_dependencies`` (from
-    ``ingest_osv_deps``) join the inventory; their findings come with the reports.
+    ``ingest_osv_deps``) join the inventory; their findings come with the reports. Of a ``Corpus`` (``store_corpus``) no lookup
+    shuffles file text, however many lines and package names are looked up.
     """
+    text = files
+    if isinstance(files, Corpus):
+        files = files.files()
     spark = files.sparkSession
     base = out or fresh_path(spark, "audit")
 
@@ -253,7 +258,7 @@ def run_audit(
         every = allowed(every, plan, repos)
     raw = keep(enrich.cwe_enrich(every, cwe_dim), "findings_raw")
     unique = keep(findings.dedup_findings(raw), "findings_unique")
-    scored = keep(enrich.remediation_join(score(unique, files, exposed), guidance), "findings_scored")
+    scored = keep(enrich.remediation_join(score(unique, text, exposed), guidance), "findings_scored")
 
     counts = repos.join(scoring.severity_counts(scored), "repo", "left").na.fill(0, SEVERITIES)
     if resolved is None:

@@ -248,6 +248,13 @@ select distinct concat('repo', user_id % 10) as repo, concat('f', user_id, '.py'
   'run( "A b" )', chr(10), '   ', chr(10), 'y = "', user_id % 3, '"', chr(10), 'EXPOSE 80', chr(10), 'def f(a,  b):', chr(10),
   '  return a // b', chr(10), 'end') as content
 from events""",
+    # Files of every depth, hidden names and invalid bytes among them.
+    "tree_files": """
+select concat('repo', doc_id % 6) as repo,
+ concat(case doc_id % 5 when 0 then '' when 1 then 'src/' when 2 then '.github/workflows/' when 3 then '_build/a/b/' else concat('p', doc_id % 11, '/') end,
+  case when doc_id % 3 = 0 then '.' else 'd' end, doc_id, case doc_id % 4 when 0 then '.py' when 1 then '.env' when 2 then '' else '.yml' end) as path,
+ case when doc_id % 9 = 0 then concat(cast('' as binary), unhex('FF'), cast(coalesce(text, '') as binary), unhex('C3')) else cast(coalesce(text, '') as binary) end as content
+from documents""",
     # Code files that mention some packages, for the reachability check.
     "import_files": """
 select concat('repo', doc_id % 20) as repo, concat('src/d', doc_id, case doc_id % 4 when 0 then '.py' when 1 then '.js' when 2 then '.md' else '.java' end) as path,

@@ -432,7 +432,13 @@ def print_sql(relation: str) -> str:
 
 
 LOCATED_CTES = f"{ctes('findings', 'finding_files')}, {LOCATED}"
+ORACLES["corpus_load"] = """select concat('repo', doc_id % 6) as repo,
+ concat(case doc_id % 5 when 0 then '' when 1 then 'src/' when 2 then '.github/workflows/' when 3 then '_build/a/b/' else concat('p', doc_id % 11, '/') end,
+  case when doc_id % 3 = 0 then '.' else 'd' end, doc_id, case doc_id % 4 when 0 then '.py' when 1 then '.env' when 2 then '' else '.yml' end) as path,
+ (strlen(coalesce(text, '')) + case when doc_id % 9 = 0 then 2 else 0 end)::bigint as size, sha256(coalesce(text, '')) as content_sha256, true as read
+from documents"""
 ORACLES["sink_lookup"] = f"{LOCATED_CTES} select ord, sink from located"
+ORACLES["sink_lookup_buckets"] = ORACLES["sink_lookup"]
 ORACLES["fingerprint"] = f"{LOCATED_CTES} select ord, fingerprint from {print_sql('located')}"
 ORACLES["finding_lookup"] = f"""{LOCATED_CTES}, marked as (select * from {print_sql('located')}),
  first as (select fingerprint, min(ord) as ord, arg_min(rule, ord) as rule, arg_min(cwe, ord) as cwe from marked group by fingerprint)
@@ -443,6 +449,7 @@ ORACLES["reachability"] = f"""{ctes('requirement_lines', 'import_files')}, {REQU
   where {EXT} in {ql(config.REACHABILITY_EXTENSIONS)} and contains(lower(i.content), s.package))
 select s.repo, s.line, s.package, case when n.package is null then 'NO' else 'YES' end as reachable
 from sca s left join seen n on n.repo = s.repo and n.package = s.package"""
+ORACLES["reachability_postings"] = ORACLES["reachability"]
 EXPOSED = " or ".join(f"contains(lower(content), {q(m)})" for m in config.EXPOSURE_MARKERS)
 ORACLES["exposure"] = f"""{ctes('code_files', 'finding_files', 'mixed_files')},
  f as (select repo, path, content from code_files union all select repo, path, content from finding_files

@@ -27,6 +27,7 @@ from auditlake.rules.vuln_db import vuln_db
 from auditlake.rules.weaknesses import cwe_dim, guidance
 from auditlake.sources import files as file_sources
 from auditlake.sources import reports
+from auditlake.sources.corpus_store import Corpus, store_corpus
 from auditlake.streaming import latest as stream_latest_job
 from auditlake.streaming import reviews as stream_reviews
 from auditlake.streaming import scan as stream_scan_job
@@ -74,10 +75,12 @@ def joined(name: str, sep: str = ",") -> Column:
 
 @query
 def corpus_load(spark, sf_dir):
-    """The data directory itself read as a repository of files."""
-    roots = spark.range(1).select(F.lit("data").alias("repo"), F.lit(sf_dir).alias("root"))
-    loaded = file_sources.corpus_load(roots)
-    return loaded.select("repo", "path", "size", F.length("content").cast("bigint").alias("text_length"))
+    """Documents written as files of repositories, some hidden, some with invalid bytes, and read back from the directories."""
+    folder = fresh_path(spark, "trees").removeprefix("file://")
+    written = file_sources.write_files(load(spark, sf_dir, "tree_files"), folder)
+    roots = written.select("repo").distinct().select("repo", F.concat(F.lit(folder + "/"), "repo").alias("root"))
+    loaded = file_sources.corpus_load(roots, range_bytes=3 * 1024)
+    return loaded.select("repo", "path", "size", F.sha2("content", 256).alias("content_sha256"), F.col("error").isNull().alias("read"))
 
 
 @query
@@ -461,6 +464,20 @@ def sink_lookup(spark, sf_dir):
     return _located(spark, sf_dir).select("ord", "sink")
 
 
+def _in_buckets(spark, sf_dir, name: str) -> Corpus:
+    """A derived corpus stored for lookups, apart from every seventh file, which came later."""
+    files = load(spark, sf_dir, name)
+    late = F.pmod(F.xxhash64("path"), F.lit(7)) == 0
+    return store_corpus(files.filter(~late), 8).plus(files.filter(late))
+
+
+@query
+def sink_lookup_buckets(spark, sf_dir):
+    """The same lines from a corpus in buckets, whose text no join shuffles."""
+    located = context.sink_lookup(load(spark, sf_dir, "findings"), _in_buckets(spark, sf_dir, "finding_files"))
+    return located.select("ord", "sink")
+
+
 @query
 def fingerprint(spark, sf_dir):
     return context.fingerprint(_located(spark, sf_dir)).select("ord", "fingerprint")
@@ -482,6 +499,14 @@ def reachability(spark, sf_dir):
     return marked.select("repo", F.col("line").cast("bigint").alias("line"), "package", "reachable")
 
 
+@query
+def reachability_postings(spark, sf_dir):
+    """The same marks by trigram postings; only candidate files are tested, in their buckets."""
+    found = sca.sca_match(_requirement_deps(spark, sf_dir), vuln_db(spark))
+    marked = context.reachability(found, _in_buckets(spark, sf_dir, "import_files"))
+    return marked.select("repo", F.col("line").cast("bigint").alias("line"), "package", "reachable")
+
+
 @query
 def exposure(spark, sf_dir):
     every = load(spark, sf_dir, "code_files").unionByName(load(spark, sf_dir, "finding_files")).unionByName(

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,9 +16,9 @@ from auditlake.llm.common import slices, texts_of
 
 #: Blended spectrum: character n-grams of all lengths up to this.
 NGRAM = 3
-#: Bounds of the labelled sample: languages, rows in all, rows and landmarks of a language.
-LANGUAGES = 200
+#: Bounds of the labelled sample: rows in all, rows and landmarks of a language, distinct n-grams of a row (those of the lowest hashes).
 SAMPLE = 2400
+ROW_GRAMS = 1 << 13
 SAMPLE_OF_LANGUAGE = 400
 LANDMARKS_OF_LANGUAGE = 50
 RIDGE = 1e-3
@@ -74,6 +74,14 @@ def piece(text: str, draw: float) -> str:
     return text[at : at + n]
 
 
+def fewer(found: np.ndarray) -> np.ndarray:
+    """The ROW_GRAMS n-grams of the lowest hashes, the same ones in every text, sorted."""
+    if len(found) <= ROW_GRAMS:
+        return found
+    hashed = (found * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+    return np.sort(found[np.argpartition(hashed, ROW_GRAMS)[:ROW_GRAMS]])
+
+
 def misses(found: np.ndarray, known: np.ndarray) -> float:
     """Share of n-grams that are not known; both sorted."""
     if not len(found) or not len(known):
@@ -165,35 +173,37 @@ def sample(labelled: DataFrame) -> list[tuple[str, np.ndarray, bool, np.ndarray,
     """(language, n-grams, landmark, n-grams of the words, and those of a short piece) of a bounded sample of rows (doc_id, text, lang); the same on every run.
 
     Whole texts are reduced to their n-grams in tasks. Rows are drawn by a hash of doc_id below a limit that follows the
-    language's rows; ties and surplus go by the hash. At most SAMPLE rows come to the driver.
+    language's rows; ties and surplus go by the hash. At most SAMPLE rows come to the driver, with ROW_GRAMS n-grams in each of
+    their three sets. Every language has a row, unless there are more than SAMPLE.
     """
     draw = F.xxhash64(F.lit("language"), F.col("doc_id"), F.xxhash64("text")).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
     known = labelled.where("lang is not null and text is not null")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE + 1).collect()
     if not counts:
         return []
     each = max(1, min(SAMPLE_OF_LANGUAGE, SAMPLE // len(counts)))
-    # Half as many again are drawn, so that chance seldom leaves fewer than wanted.
-    limits = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(1.5 * each / r["count"]))])
+    # Half as many again are drawn, and ten, so that chance leaves no language without a row.
+    limits = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit((1.5 * each + 10) / r["count"]))])
+    # Beyond SAMPLE languages only those that are not rarer than the last counted one are drawn.
     drawn = known.select("lang", "text", draw.alias("draw")).where(F.col("draw") < limits[F.col("lang")])
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
             texts, draws = texts_of(batch.column(1)), batch.column(2).to_pylist()
-            bits = [grams(t).tobytes() for t in texts]
-            words = [spoken(t).tobytes() for t in texts]
+            bits = [fewer(grams(t)).tobytes() for t in texts]
+            words = [fewer(spoken(t)).tobytes() for t in texts]
             short = [spoken(piece(t, d)).tobytes() for t, d in zip(texts, draws)]
             columns = [pa.array(x, pa.binary()) for x in (bits, words, short)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["lang", "draw", "grams", "words", "piece"])
 
-    rows = drawn.mapInArrow(reduce, "lang string, draw double, grams binary, words binary, piece binary").orderBy("draw", "lang", "grams").limit(2 * SAMPLE).collect()
-    out, have = [], {}
-    for r in rows:
-        n = have[r["lang"]] = have.get(r["lang"], 0) + 1
-        if n <= each:
-            found = [np.frombuffer(r[x], np.uint64) for x in ("grams", "words", "piece")]
-            out.append((r["lang"], found[0], n <= LANDMARKS_OF_LANGUAGE, found[1], found[2]))
-    return out
+    reduced = drawn.mapInArrow(reduce, "lang string, draw double, grams binary, words binary, piece binary")
+    # A language's drawn rows are about 1.5 times those wanted.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "grams"))
+    rows = reduced.withColumn("place", place).where(F.col("place") <= each).orderBy("place", "draw", "lang").limit(SAMPLE).collect()
+    return [
+        (r["lang"], np.frombuffer(r["grams"], np.uint64), r["place"] <= LANDMARKS_OF_LANGUAGE, *(np.frombuffer(r[x], np.uint64) for x in ("words", "piece")))
+        for r in sorted(rows, key=lambda r: (r["draw"], r["lang"], r["grams"]))
+    ]
 
 
 def calibrate(rows: list[tuple[str, np.ndarray, bool, np.ndarray, np.ndarray]], languages: list[str]) -> tuple[list[np.ndarray], list[float], list[float]]:
@@ -268,10 +278,9 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
     docs = docs.drop("lang_pred", "score")
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
+    # The model goes with the function: a broadcast of its own would need the class on the executors.
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = shared.value.ready()
+        scorer = model.ready()
         names = np.array([*scorer.model.languages, UNKNOWN], object)
         for batch in slices(batches):
             texts = texts_of(batch.column("text"))
@@ -312,14 +321,12 @@ def with_language(docs: DataFrame) -> DataFrame:
     model = fit(docs.where(fold() != 0).select("doc_id", "text", "lang"))
     if model is None:
         return docs.where("false")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
     def claim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = shared.value.ready()
+        scorer = model.ready()
         for batch in slices(batches):
             texts = texts_of(batch.column("text"))
             best = scorer.best(texts)[0].tolist()
-            kept = [has_letter(t) and shared.value.claims(t, k) for t, k in zip(texts, best)]
+            kept = [has_letter(t) and model.claims(t, k) for t, k in zip(texts, best)]
             yield pa.RecordBatch.from_arrays([batch.column("row")], ["row"]).filter(pa.array(kept, pa.bool_()))
 
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")

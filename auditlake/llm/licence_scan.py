@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import body
 from auditlake.llm.licences import EQUIVALENT, KNOWN, whole_texts
+from auditlake.skew import lookup_join
 
 #: A line that only states who holds the copyright, in lower-cased text.
 COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(copyright[ \t]*(\(c\)|©|:|<|\[|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©|all rights reserved)[^\n]*$"
@@ -45,9 +48,15 @@ def canonical(text: Column) -> Column:
     return F.trim(words)
 
 
-def reduced(text: Column) -> Column:
-    """Lower case without what whole licences differ in beyond ``canonical``: headings, holders, numbers of list items, other line ends."""
-    low = F.regexp_replace(F.lower(text), "\r\n?", "\n")
+def spaced(text: Column) -> Column:
+    """Lower case with plain line feeds, single spaces and at most one blank line, so that no pattern meets a long run of white space."""
+    low = F.translate(F.regexp_replace(F.lower(text), "\r\n?", "\n"), "\t\v\f", "   ")
+    lines = F.transform(F.split(F.regexp_replace(low, " {2,}", " "), "\n"), lambda line: F.btrim(line))
+    return F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n")
+
+
+def reduced(low: Column) -> Column:
+    """A ``spaced`` text without what whole licences differ in beyond ``canonical``: headings, holders, numbers of list items."""
     for pattern in (TITLE, HOLDER, TITLE):
         low = F.regexp_replace(low, pattern, "")
     return F.regexp_replace(low, ITEM, "$1")
@@ -59,6 +68,10 @@ def known_licences(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(rows))
 
 
+#: Each built-in licence has one of these in its terms, however its words are spelled.
+MARKS = ["licen", "permission", "redistribution", "software"]
+
+
 def licensed(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_words of the canonical text, digest, license_id (null: not a licence).
 
@@ -68,19 +81,22 @@ def licensed(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     digest of the empty text and match nothing; repeated rows repeat. If known texts share a digest the smallest license_id
     stands. The table of known digests may have any size: it is joined by digest without a hint. Other columns are not read.
     """
-    known = known_licences(docs.sparkSession) if known is None else known
     text = body()
-    # Most texts have nothing to reduce; then the second digest is the first.
-    rows = docs.select("doc_id", canonical(text).alias("canon"), text.alias("text"), reduced(text).alias("low")).select(
+    # A text can only equal a built-in licence if it has a word that each of them has; the others need no second form.
+    marked = F.lit(True) if known is not None else reduce(Column.__or__, [F.contains(F.lower(text), F.lit(m)) for m in MARKS])
+    known = known_licences(docs.sparkSession) if known is None else known
+    rows = docs.select("doc_id", canonical(text).alias("canon"), F.when(marked, spaced(text)).alias("low")).select(
         "doc_id",
         F.when(F.col("canon") == "", 0).otherwise(F.regexp_count("canon", F.lit("  ")) + 1).cast("long").alias("n_words"),
         F.sha2("canon", 256).alias("digest"),
-        F.when(F.col("low") != F.lower("text"), F.sha2(canonical(F.col("low")), 256)).alias("second"),
+        F.sha2(canonical(reduced(F.col("low"))), 256).alias("second"),
     )
-    forms = known.select("license_id", F.explode(F.array(canonical(text), canonical(reduced(text)))).alias("canon")).where("canon <> ''")
+    forms = known.select("license_id", F.explode(F.array(canonical(text), canonical(reduced(spaced(text))))).alias("canon")).where("canon <> ''")
     digests = forms.groupBy(F.sha2("canon", 256).alias("key")).agg(F.min("license_id").alias("license_id"))
     first = digests.withColumnsRenamed({"key": "digest", "license_id": "first_id"})
     second = digests.withColumnsRenamed({"key": "second", "license_id": "second_id"})
-    return rows.join(first, "digest", "left").join(second, "second", "left").select(
+    # Equal digests may fill a third of the rows, and most have no second one: both joins spread them.
+    joined = lookup_join(lookup_join(rows, first, ["digest"], ["doc_id"]), second, ["second"], ["doc_id"])
+    return joined.select(
         "doc_id", "n_words", "digest", F.coalesce("first_id", "second_id").alias("license_id")
     )

@@ -9,10 +9,10 @@ import numpy as np
 import pytest
 import xxhash
 
-from auditlake.llm import simhash
+from auditlake.llm import language_id, simhash
 from auditlake.llm.common import stored
-from auditlake.llm.language_id import Scorer, fit, grams, languages, with_language
-from auditlake.llm.quality import FEATURES, Field, line_features, line_labels, quality, rated, train
+from auditlake.llm.language_id import RIDGE, Scorer, fewer, fit, grams, languages, sample, with_language
+from auditlake.llm.quality import FEATURES, Field, line_features, line_labels, quality, rated, set_limit, train
 from auditlake.llm.secret_model import WINDOW, candidates, joined, secrets, windows
 from auditlake.llm.secret_model import train as train_network
 from auditlake.llm.simhash import connected, links, near_groups, one_of_each
@@ -209,6 +209,39 @@ def test_kernel_is_the_share_of_common_ngrams(docs):
         assert value[k] == pytest.approx(len(own & landmark) / np.sqrt(len(own) * len(landmark)), abs=1e-5)
 
 
+def test_predictions_solve_the_dense_ridge_system(docs):
+    labelled = docs.where("doc_id < 120").select("doc_id", "text", "lang")
+    rows, model = sample(labelled), fit(labelled)
+    sets = [set(r[1].tolist()) for r in rows]
+    marks = [k for k, r in enumerate(rows) if r[2]]
+    kernel = np.array([[len(a & sets[k]) / np.sqrt(len(a) * len(sets[k])) for k in marks] for a in sets])
+    y = np.where(np.array([r[0] for r in rows])[:, None] == np.array(model.languages)[None, :], 1.0, -1.0)
+    n, m = len(rows), len(marks)
+    left = np.block([[kernel.T @ kernel + RIDGE * n * kernel[marks], kernel.sum(axis=0)[:, None]], [kernel.sum(axis=0)[None], np.array([[n]])]])
+    solved = np.linalg.lstsq(left, np.vstack([kernel.T @ y, y.sum(axis=0)[None]]), rcond=None)[0]
+    expected = np.hstack([kernel, np.ones((n, 1))]) @ solved
+    texts = {r["doc_id"]: r["text"] for r in labelled.collect()}
+    by_grams = {grams(t).tobytes(): t for t in texts.values()}
+    got = Scorer(model).kernel([by_grams[r[1].tobytes()] for r in rows]) @ model.weights
+    assert m > 100 and np.abs(got - expected).max() < 0.01
+    assert (got.argmax(axis=1) == expected.argmax(axis=1)).all()
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    draw = random.Random(1)
+    speak = [invented(k) for k in range(230)]
+    rows = [(k, speak[k % 230](20, draw), f"l{k % 230:03}") for k in range(460)]
+    assert fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == [f"l{k:03}" for k in range(230)]
+
+
+def test_sampled_rows_are_bounded(monkeypatch):
+    monkeypatch.setattr(language_id, "ROW_GRAMS", 50)
+    a, b = grams("the quick brown fox jumps over the lazy dog " * 3), grams("the quick brown fox and more of the lazy dog")
+    few = fewer(a)
+    assert len(few) == 50 and set(few) <= set(a) and (np.diff(few.astype(np.int64)) > 0).all()
+    assert len(set(few) & set(fewer(b))) > 20
+
+
 # --- quality ---------------------------------------------------------------------------------------------------------
 
 
@@ -266,6 +299,17 @@ def test_trained_field_tells_junk(spark):
     assert [r["boilerplate"] for r in lines][1:] == [True] * 8
 
 
+def test_limit_stands_wrong_labels():
+    field = Field(np.zeros(len(FEATURES)), np.zeros(2), np.zeros((2, 2)))
+    set_limit(field, [(1, 1.0)] * 300 + [(1, 0.0)] * 4 + [(0, 0.1)] * 290 + [(0, 0.9)] * 10)
+    assert field.least == 0.5 and field.good_kept == pytest.approx(300 / 304) and field.bad_rejected == pytest.approx(290 / 300)
+    set_limit(field, [(1, x / 100) for x in range(100)] + [(0, 0.3)] * 2)
+    assert field.least == 0.0 and field.good_kept == 1
+    field.least = 0.0
+    set_limit(field, [(0, 0.1)])
+    assert field.least == 0.0
+
+
 def test_quality_without_rows(spark, none, docs):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality(none, labels).count() == 0
@@ -303,6 +347,27 @@ def test_network_finds_what_patterns_miss(spark):
     assert sum(bool(got[k]["added"]) for k in range(0, 400, 2)) <= 4
 
 
+@pytest.mark.parametrize("text, found", [
+    ("pwd: Tr0ub4dor3 ok", ["Tr0ub4dor3"]), ("see sk_live_ABCDEFGHIJKLMNOPqrst.", ["sk_live_ABCDEFGHIJKLMNOPqrst."]),
+    ("auth abc.def!ghi12$xyz", ["abc.def!ghi12$xyz"]), ("DB_PASS='hunter'", ["hunter"]), ("a: b c; Plain Words, and UPPERCASE", []),
+    ("note: ordinary", ["ordinary"]), ("= leading", []),
+])
+def test_candidates(text, found):
+    assert [text[a:b] for a, b, _ in candidates(text, [])] == found
+
+
+def test_unpatterned_keys_are_found(spark):
+    """Frequent keys of a form that no pattern has are not taught as clean."""
+    draw = random.Random(7)
+    key = lambda n: "".join(draw.choice("0123456789abcdef") for _ in range(n))
+    dull = lambda: draw.choice([f"mail{draw.randrange(99)}@example.com", f"555-{draw.randrange(1000, 9999)}", "http://example.com/page"])
+    rows = [(k, f"so token = {key(32)} there" if k % 4 == 0 else f"see the {dull()} there" if k % 2 else f"use {key(14)}X{key(14)} there") for k in range(600)]
+    got = secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    hits = {r["doc_id"]: bool(r["added"]) for r in got}
+    keys, others = ([hits[k] for k in range(600) if (k % 4 == 2) == x and k % 4] for x in (True, False))
+    assert np.mean(keys) >= 0.98 and np.mean(others) <= 0.05
+
+
 def test_windows_cover_long_candidates():
     text = "x " * 30 + "a1" * 500 + " y"
     (a, b, base), = candidates(text, [])

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -155,3 +156,23 @@ def test_empty(none):
     assert exact_groups(none).count() == 0 and without_copies(none).count() == 0 and byte_shards(none, 4).count() == 0
     assert mixed(none.select("doc_id", "source", word_count().alias("size")), "s").count() == 0
     assert mixture(none).count() == 0 and licensed(none).count() == 0
+
+
+def test_licences_with_long_runs_of_white_space(spark):
+    """Ten million characters of blank lines take seconds, in any mixture."""
+    body = "\n".join(KNOWN[1][1].strip().split("\n"))
+    rows = [
+        (0, "\n" * 10_000_000), (1, " \n\t\f\n" * 500_000 + body + "\r\n" * 100_000), (2, body.replace("\n", " " * 50_000 + "\n\n\n", 3)),
+        (3, "licence" + "\n#" * 300_000), (4, "licence " + " " * 3_000_000 + "x"), (5, "1. licence\n\n" * 20_000),
+    ]
+    start = time.time()
+    got = {r["doc_id"]: r["license_id"] for r in licensed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: None, 1: "MIT", 2: "MIT", 3: None, 4: None, 5: None}
+    assert time.time() - start < 60
+
+
+def test_licences_equal_digests_and_a_table_of_ones_own(spark):
+    known = spark.createDataFrame([("own-1", "Do as you will."), ("own-0", "do AS you will")], "license_id string, text string")
+    rows = [(k, "do as you will!") for k in range(200)] + [(500 + k, f"text {k}") for k in range(50)]
+    got = licensed(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()
+    assert sum(r["license_id"] == "own-0" for r in got) == 200 and len(got) == 250

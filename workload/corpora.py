@@ -70,6 +70,13 @@ select concat('repo', p_partkey % 20) as repo, 'requirements.txt' as file, cast(
  concat(case when p_partkey % 13 = 10 then '# ' else '' end, {_PACKAGE},
   case when p_partkey % 5 = 0 then ' >= ' else '==' end, {_VERSION}) as text
 from part""",
+    # Many advisories of few packages; most name one version, some a range.
+    "advisories": """
+select case o_orderkey % 8 when 0 then 'requests' when 1 then 'django' else 'lodash' end as package,
+ case o_orderkey % 997 when 0 then concat('<', o_orderkey % 4, '.', o_orderkey % 23) when 1 then concat(' >= v', o_orderkey % 7) when 2 then concat('<=', o_orderkey % 5, '.1.1.9')
+  when 3 then concat('>', o_orderkey % 6, '.2') when 4 then concat('~', o_orderkey % 3) else concat('==', o_orderkey % 5, '.', o_orderkey % 31, '.', o_orderkey % 29) end as affected,
+ concat('CVE-', o_orderkey) as cve, case o_orderkey % 2 when 0 then 'high' else 'low' end as severity, concat('fix ', o_custkey) as fix
+from orders""",
     "pom_files": _manifest(
         "pom.xml",
         _lines(

@@ -337,6 +337,17 @@ select repo, file, line, concat('sca-', package) as rule, severity, package, ins
  concat('Upgrade dependency to version ', fixed, ' or later') as fix,
  concat('Vulnerable dependency ', package, ' (', installed, ') matched constraint ', affected, '. CVE: ', cve, '.') as description from sca"""
 
+_NUMS = "list_transform(list_slice(regexp_extract_all({}, '(\\d+)'), 1, 3), lambda d: cast(d as bigint))"
+_THREE = "[coalesce(nums[1], 0), coalesce(nums[2], 0), coalesce(nums[3], 0)]"
+ORACLES["sca_match_ranges"] = f"""{ctes('requirement_lines', 'advisories')}, {REQUIREMENTS},
+ parts as (select *, {_THREE} as have from (
+  select *, {_NUMS.format("string_split(string_split(regexp_replace(version, '^v', ''), '-')[1], '+')[1]")} as nums from deps) where len(nums) > 0),
+ ranges as (select *, {_THREE} as bound from (
+  select *, regexp_extract(trim(affected), '^([<>=]+)\\s*([\\d.]+)', 1) as op,
+   {_NUMS.format("regexp_extract(trim(affected), '^([<>=]+)\\s*([\\d.]+)', 2)")} as nums from advisories))
+select p.repo, p.file, p.line, r.severity, p.package, p.version as installed, r.affected, r.cve, r.fix from parts p join ranges r on r.package = p.package
+ where case op when '<' then have < bound when '<=' then have <= bound when '>' then have > bound when '>=' then have >= bound when '==' then have = bound else false end"""
+
 # --- Configuration --------------------------------------------------------------------------
 
 

@@ -382,6 +382,13 @@ def sca_match(spark, sf_dir):
     )
 
 
+@query
+def sca_match_ranges(spark, sf_dir):
+    """A large advisory table: versions meet the sorted bounds of ranges."""
+    found = sca.sca_match(_requirement_deps(spark, sf_dir), load(spark, sf_dir, "advisories"))
+    return found.select("repo", "file", F.col("line").cast("bigint").alias("line"), "severity", "package", "installed", "affected", "cve", "fix")
+
+
 def _config_columns(df: DataFrame) -> DataFrame:
     return df.select(
         "repo", "file", F.col("line").cast("bigint").alias("line"), "rule", "cwe", "severity", "description",

@@ -2,11 +2,13 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from auditlake.exports.report import report_export
 from auditlake import schemas
 from auditlake.operators import context, corpus, findings, iac, secrets
+from auditlake.operators.history import latest_scan
 from auditlake.plans import audit
 from auditlake.rules.vuln_db import vuln_db
 from auditlake.rules.weaknesses import cwe_dim, guidance
@@ -130,10 +132,37 @@ def test_stream_latest_over_batches(spark, tmp_path):
         df.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     latest.start_stream_latest(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = {(r.repo, r.status) for r in latest.current_latest(spark.read.parquet(str(tmp_path / "out"))).collect()}
+    got = {(r.repo, r.status) for r in latest.current_latest(spark, str(tmp_path / "out")).collect()}
     assert got == {("a", "s0"), ("b", "t2")}
 
 
+def test_stream_latest_is_compacted(spark, tmp_path):
+    """After fifty batches a read opens one snapshot; a batch that comes again changes nothing."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "repo string, ord long, ts timestamp, status string"
+    rows = spark.range(50).selectExpr(
+        "concat('r', id % 7) repo", "id ord", "timestamp_seconds(1000 + (id * 37) % 50) ts", "cast(id as string) status"
+    )
+    rows.repartitionByRange(50, "ord").write.parquet(source)
+    files = len([f for f in (tmp_path / "in").iterdir() if f.name.startswith("part")])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    latest.start_stream_latest(stream, out, str(tmp_path / "cp"), compact=files // 5).awaitTermination()
+    expected = {tuple(r) for r in latest_scan(spark.read.parquet(source)).collect()}
+    current = latest.current_latest(spark, out)
+    assert {tuple(r) for r in current.collect()} == expected
+    pointer = (tmp_path / "out" / latest.POINTER).read_text()
+    if files % (files // 5) == 0:
+        assert len({f.rsplit("/", 2)[1] for f in current.inputFiles()}) == 1
+    # Changes and snapshots of versions before the last one are gone.
+    assert len([f for f in (tmp_path / "out").iterdir() if f.is_dir()]) <= files // 5 + 2
+    # Without the checkpoint every batch comes again.
+    latest.start_stream_latest(stream, out, str(tmp_path / "cp2"), compact=files // 5).awaitTermination()
+    assert (tmp_path / "out" / latest.POINTER).read_text() == pointer
+    assert {tuple(r) for r in latest.current_latest(spark, out).collect()} == expected
+    with pytest.raises(ValueError):
+        latest.current_latest(spark, str(tmp_path / "nothing"))
+
+
 def test_hot_repository_is_spread(spark):
     rows = spark.range(20000).select(
         F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("r"), (F.col("id") % 50).cast("string"))).alias("repo"), "id"

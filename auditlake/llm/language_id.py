@@ -18,7 +18,7 @@ from auditlake.llm.common import slices, texts_of
 NGRAM = 3
 #: Bounds of the labelled sample: rows in all, rows and landmarks of a language, distinct n-grams of a row (those of the lowest hashes).
 SAMPLE = 2400
-ROW_GRAMS = 1 << 13
+ROW_GRAMS = 1 << 15
 SAMPLE_OF_LANGUAGE = 400
 LANDMARKS_OF_LANGUAGE = 50
 RIDGE = 1e-3

@@ -1,57 +1,12 @@
 """The newest scan per repository, kept up to date from a stream of scans."""
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from auditlake.operators.history import latest_scan
+from auditlake.streaming.published import COMPACT, POINTER, PublishedFolder, next_version, tables
 
-#: Batches after which the small tables of changes become one snapshot.
-COMPACT = 10
-POINTER = "_current.json"
-
-
-class _Folder:
-    """The table's folder through Hadoop's file system: small files are replaced as a whole."""
-
-    def __init__(self, spark: SparkSession, out: str) -> None:
-        self.jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        self.out, self.gateway = out.rstrip("/"), spark.sparkContext._gateway
-        self.files = self._path("").getFileSystem(conf)
-        self.context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), conf)
-
-    def _path(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.out}/{name}" if name else self.out)
-
-    def pointer(self) -> dict:
-        """What is published: the last batch, the snapshot, and the changes since it, oldest first."""
-        if not self.files.exists(self._path(POINTER)):
-            return {"batch": -1, "snapshot": None, "changes": []}
-        stream = self.files.open(self._path(POINTER))
-        try:
-            return json.loads(bytes(stream.readAllBytes()))
-        finally:
-            stream.close()
-
-    def publish(self, version: dict) -> None:
-        """Write the pointer aside and put it in place in one step: a reader sees the old version or the new one."""
-        aside = self._path(f"_next-{version['batch']}.json")
-        stream = self.files.create(aside, True)
-        stream.write(bytearray(json.dumps(version).encode()))
-        stream.close()
-        rename = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
-        options = self.gateway.new_array(rename, 1)
-        options[0] = rename.OVERWRITE
-        self.context.rename(aside, self._path(POINTER), options)
-
-    def remove(self, names: list[str]) -> None:
-        for name in names:
-            self.files.delete(self._path(name), True)
-
-
-def _tables(version: dict) -> list[str]:
-    return ([version["snapshot"]] if version["snapshot"] else []) + version["changes"]
+__all__ = ["COMPACT", "POINTER", "current_latest", "start_stream_latest"]
 
 
 def start_stream_latest(scans: DataFrame, out: str, checkpoint: str, compact: int = COMPACT) -> StreamingQuery:
@@ -64,22 +19,18 @@ def start_stream_latest(scans: DataFrame, out: str, checkpoint: str, compact: in
     spark = scans.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        folder = _Folder(spark, out)
+        folder = PublishedFolder(spark, out)
         now = folder.pointer()
         if batch_id <= now["batch"]:
             batch.write.format("noop").mode("overwrite").save()  # the stream's own state still takes the rows
             return
-        change = f"changes-{batch_id}"
+        change, snapshot = f"changes-{batch_id}", None
         batch.write.mode("overwrite").parquet(f"{out}/{change}")
-        version = {"batch": batch_id, "snapshot": now["snapshot"], "changes": [*now["changes"], change]}
-        if len(version["changes"]) >= compact:
+        if len(now["changes"]) + 1 >= compact:
             snapshot = f"snapshot-{batch_id}"
-            paths = [f"{out}/{t}" for t in _tables(version)]
+            paths = [f"{out}/{t}" for t in [*tables(now), change]]
             latest_scan(spark.read.schema(batch.schema).parquet(*paths)).write.mode("overwrite").parquet(f"{out}/{snapshot}")
-            version = {"batch": batch_id, "snapshot": snapshot, "changes": []}
-        # Readers of the version just replaced may still be running: its folders go one version later.
-        version["old"] = [t for t in [*_tables(now), change] if t not in _tables(version)]
-        folder.publish(version)
+        folder.publish(next_version(now, batch_id, change, snapshot))
         folder.remove(now.get("old", []))
 
     return (
@@ -94,7 +45,7 @@ def start_stream_latest(scans: DataFrame, out: str, checkpoint: str, compact: in
 
 def current_latest(spark: SparkSession, out: str) -> DataFrame:
     """The keyed table as published: the newest snapshot, and fewer than ``compact`` small tables of changes since."""
-    tables = _tables(_Folder(spark, out).pointer())
-    if not tables:
+    published = tables(PublishedFolder(spark, out).pointer())
+    if not published:
         raise ValueError(f"no batch has been published below {out}")
-    return latest_scan(spark.read.parquet(*[f"{out}/{t}" for t in tables]))
+    return latest_scan(spark.read.parquet(*[f"{out}/{t}" for t in published]))

@@ -10,6 +10,7 @@ from auditlake import schemas
 from auditlake.operators import context, corpus, findings, iac, secrets
 from auditlake.operators.history import latest_scan
 from auditlake.plans import audit
+from auditlake.operators.scoring import gate, severity_counts
 from auditlake.rules.vuln_db import vuln_db
 from auditlake.rules.weaknesses import cwe_dim, guidance
 from auditlake.schemas import FILES
@@ -93,8 +94,6 @@ def test_stream_in_three_batches_equals_batch(spark, small, tmp_path):
     policies = spark.createDataFrame([], "repo string, fail_on array<string>, thresholds array<struct<sev:string,limit:int>>")
     scan.start_stream_gate(stream, policies, str(tmp_path / "gate"), str(tmp_path / "cp2")).awaitTermination()
     verdicts = scan.current_verdicts(spark.read.parquet(str(tmp_path / "gate/verdicts")))
-    from auditlake.operators.scoring import gate, severity_counts
-
     batch = gate(severity_counts(scan.score_evidence(scan.stream_scan(files))), policies)
     cols = ["repo", "critical", "high", "medium", "low", "gate_status"]
     assert verdicts.select(*cols).exceptAll(batch.select(*cols)).count() == 0 and verdicts.count() == batch.count()
@@ -123,6 +122,50 @@ def test_stream_gate_takes_the_newest_version_of_a_file(spark, tmp_path):
     assert last == {"a": 0, "b": 1, "c": 0, "d": 0}
 
 
+def test_stream_gate_folds_signed_counts(spark, tmp_path):
+    """Mended, deleted and returning files over many batches, with snapshots; a batch that comes again changes nothing."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "gate")
+    secret, clean, shown = f'api_key = "{KEY}"\n', "x = 1\n", f'api_key = "{KEY}"\nimport flask\n'
+    old = "django==2.0\n"
+    batches = [
+        [("a", "x.py", secret, False), ("a", "y.py", secret, None), ("b", "requirements.txt", old, False)],
+        [("a", "x.py", None, True), ("b", "never.py", None, True)],
+        [("a", "web.py", shown, False), ("b", "requirements.txt", None, True)],
+        [("a", "x.py", secret, False), ("a", "x.py", None, True), ("b", "requirements.txt", old, False)],
+        [("a", "web.py", None, True), ("a", "y.py", clean, False)],
+        [("a", "x.py", None, True), ("b", "requirements.txt", "django==9.0\n", False)],
+    ]
+    schema = "repo string, path string, size long, content string, deleted boolean"
+    for rows in batches:
+        files = spark.createDataFrame([(r, p, len(t or ""), t, d) for r, p, t, d in rows], schema)
+        files.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    policies = spark.createDataFrame([], "repo string, fail_on array<string>, thresholds array<struct<sev:string,limit:int>>")
+
+    def total():
+        return {(r.batch, r.repo): r.critical + r.high + r.medium + r.low for r in spark.read.parquet(f"{out}/verdicts").collect()}
+
+    scan.start_stream_gate(stream, policies, out, str(tmp_path / "cp"), vuln_db(spark), compact=3).awaitTermination()
+    want = {
+        (0, "a"): 2, (0, "b"): 1, (1, "a"): 1, (1, "b"): 1, (2, "a"): 2, (2, "b"): 0, (3, "a"): 3, (3, "b"): 1,
+        (4, "a"): 1, (5, "a"): 0, (5, "b"): 0,
+    }
+    assert total() == want
+    # The exposure counts as long as a file shows it: batch 2 and 3 are rated as exposed, batch 4 is not.
+    exposed = {r.batch: (r.critical, r.high, r.medium, r.low) for r in spark.read.parquet(f"{out}/verdicts").filter("repo = 'a'").collect()}
+    now = spark.createDataFrame([("a", "y.py", 1, secret), ("a", "web.py", 1, shown)], FILES)
+    (rated,) = severity_counts(scan.score_evidence(scan.stream_scan(now))).collect()
+    assert exposed[2] == (rated.critical, rated.high, rated.medium, rated.low) and exposed[1] == exposed[4] != (1, 0, 0, 0)
+    # Two snapshots were made; of the changes only those of the version before are still there.
+    kept = sorted(f.name for f in (tmp_path / "gate").iterdir() if f.is_dir() and f.name.startswith(("changes", "snapshot")))
+    assert len(kept) <= 5 and "snapshot-5" in kept and "changes-0" not in kept
+    assert not list((tmp_path / "gate/snapshot-5/files").glob("bucket=*"))  # all came to nothing
+
+    pointer = (tmp_path / "gate" / latest.POINTER).read_text()
+    scan.start_stream_gate(stream, policies, out, str(tmp_path / "cp2"), vuln_db(spark), compact=3).awaitTermination()
+    assert total() == want and (tmp_path / "gate" / latest.POINTER).read_text() == pointer
+
+
 def test_stream_latest_over_batches(spark, tmp_path):
     source = str(tmp_path / "in")
     schema = "repo string, ord long, ts timestamp, status string"

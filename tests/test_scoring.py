@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from auditlake.operators import context, enrich, findings, history, patch, policy, scoring
 from auditlake.rules.templates import TEMPLATES, templates
+from auditlake.sources.catalog import read_weaknesses
 from auditlake.rules.weaknesses import DEFAULT_GUIDANCE, cwe_dim, guidance
 from auditlake.schemas import FILES
 
@@ -107,6 +108,25 @@ def test_templates_have_all_parts(spark):
     assert texts["CWE-1", ""].secure_code.endswith("pass") and "subprocess" in texts["CWE-78", "x"].original_code
 
 
+def test_weakness_catalog_in_xml(spark, tmp_path):
+    (tmp_path / "c.xml").write_text(
+        """<?xml version="1.0"?><Weakness_Catalog xmlns="urn:x" Version="1"><Weaknesses>
+        <Weakness ID="79" Name="Page &amp; script" Status="Stable"><Description>One &lt;text&gt;</Description>
+          <Related_Weaknesses><Related_Weakness CWE_ID="74"/></Related_Weaknesses></Weakness>
+        <Weakness ID="20" Name="B"/><Weakness ID="20" Name="A"><Description>x</Description></Weakness>
+        <Weakness Name="no number"/></Weaknesses>
+        <Categories><Category ID="5" Name="no weakness"><Summary>s</Summary></Category></Categories></Weakness_Catalog>"""
+    )
+    got = {tuple(r) for r in read_weaknesses(spark, str(tmp_path)).collect()}
+    assert got == {(79, "Page & script", "One <text>"), (20, "A", "x")}
+    rows = spark.createDataFrame([("CWE-79",), ("CWE-5",), (None,)], "cwe string")
+    titles = {r.cwe: r.cwe_title for r in enrich.cwe_enrich(rows, read_weaknesses(spark, str(tmp_path))).collect()}
+    assert len(titles) == 3 and titles["CWE-79"] == "Page & script" and titles["CWE-5"] == "CWE-5 Vulnerability"
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty/c.xml").write_text("<Weakness_Catalog><Weaknesses></Weaknesses></Weakness_Catalog>")
+    assert read_weaknesses(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_sink_of_missing_places(spark):
     files = spark.createDataFrame([("r", "a.py", 9, " one \r\ntwo")], FILES)
     rows = spark.createDataFrame(

@@ -398,6 +398,12 @@ ORACLES["cwe_enrich"] = f"""{FINDINGS}, {CWE_DIM},
 select ord, case when d.n is not null then d.title when starts_with(id, 'CWE-') then concat(id, ' Vulnerability') else id end as cwe_title,
  case when d.n is not null then d.description when starts_with(id, 'CWE-') then {q(wk.NOT_FOUND)} else {q(wk.UNKNOWN_ID)} end as cwe_description
 from f left join cwe_dim d on concat('CWE-', d.n) = id"""
+ORACLES["cwe_enrich_catalog"] = f"""select l_orderkey, l_linenumber,
+ case when l_orderkey % 5 = 0 then concat('CWE-1000', l_partkey, ' Vulnerability') when p_partkey % 7 = 0 then concat('CWE-', p_partkey, ' Definition')
+  else concat('Weak <', p_name, '> & "', p_partkey, '"') end as cwe_title,
+ case when l_orderkey % 5 = 0 then {q(wk.NOT_FOUND)} when p_partkey % 11 = 0 then {q(wk.NO_DESCRIPTION)}
+  else concat('Entry of ', p_name, ' & <others>') end as cwe_description
+from lineitem join part on p_partkey = l_partkey"""
 ADVICE = "case cwe " + " ".join(f"when {q(c)} then {q(t)}" for c, t in wk.GUIDANCE.items()) + f" else {q(wk.DEFAULT_GUIDANCE)} end"
 ORACLES["remediation_join"] = f"{FINDINGS} select ord, cwe, {ADVICE} as remediation from findings"
 
@@ -712,3 +718,13 @@ ORACLES["stream_gate"] = f"""{ctes('code_files')}, {secret_sql(LINES.format(file
  {score_sql('flagged')}, {COUNTS},
  resolved as (select distinct repo, 'critical,high' as fail_on, 0 as high_limit, cast(null as int) as medium_limit, cast(null as int) as low_limit from code_files),
  {gate_sql()} select * from verdicts"""
+ORACLES["stream_gate_changes"] = f"""with now_files as (select source as repo, concat('src/d', doc_id, '.py') as path, text as content from documents where doc_id % 3 = 2 or doc_id % 6 = 1),
+ {secret_sql(LINES.format(files='now_files'))},
+ raw as (select repo, file, line, 'CWE-798' as cwe, 'generic-secret-entropy' as rule, 'critical' as severity, 'SECRET' as kind, '' as description, 1 as ord from secrets
+  union all select source, concat('m', doc_id, '/requirements.txt'), 1, 'CWE-1104', 'sca-django', 'high', 'SCA', '', 1 from documents where doc_id % 10 = 5 and doc_id % 15 <> 5),
+ {dedup_sql('raw', 'kind')},
+ exposed as (select distinct repo from now_files where {EXPOSED}),
+ flagged as (select d.*, 'YES' as reachable, case when x.repo is null then 'NO' else 'YES' end as internet_exposed from deduped d left join exposed x on x.repo = d.repo),
+ {score_sql('flagged')}, {COUNTS},
+ resolved as (select distinct source as repo, 'critical,high' as fail_on, 0 as high_limit, cast(null as int) as medium_limit, cast(null as int) as low_limit from documents),
+ {gate_sql()} select * from verdicts"""

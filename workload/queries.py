@@ -28,6 +28,7 @@ from auditlake.rules.weaknesses import cwe_dim, guidance
 from auditlake.sources import files as file_sources
 from auditlake.sources import reports
 from auditlake.sources.corpus_store import Corpus, store_corpus
+from auditlake.sources.catalog import read_weaknesses
 from auditlake.streaming import latest as stream_latest_job
 from auditlake.streaming import reviews as stream_reviews
 from auditlake.streaming import scan as stream_scan_job
@@ -437,6 +438,26 @@ def cwe_enrich(spark, sf_dir):
     return enrich.cwe_enrich(rows, cwe_dim(spark)).select("ord", "cwe_title", "cwe_description")
 
 
+@query
+def cwe_enrich_catalog(spark, sf_dir):
+    """Titles and texts from a catalog in XML, which Spark writes with an entry per part."""
+    number = F.col("p_partkey")
+    entries = table(spark, sf_dir, "part").select(
+        number.alias("_ID"),
+        F.when(number % 7 != 0, F.concat(F.lit("Weak <"), "p_name", F.lit('> & "'), number.cast("string"), F.lit('"'))).alias("_Name"),
+        F.when(number % 11 != 0, F.concat(F.lit("Entry of "), "p_name", F.lit(" & <others>"))).alias("Description"),
+    )
+    path = fresh_path(spark, "catalog")
+    entries.write.format("xml").options(rootTag="Weakness_Catalog", rowTag="Weakness").save(path)
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.when(F.col("l_orderkey") % 5 == 0, F.concat(F.lit("cwe-1000"), F.col("l_partkey").cast("string")))
+        .otherwise(F.concat(F.lit(" CWE-"), F.col("l_partkey").cast("string"))).alias("cwe"),
+    )
+    return enrich.cwe_enrich(rows, read_weaknesses(spark, path)).select("l_orderkey", "l_linenumber", "cwe_title", "cwe_description")
+
+
 @query
 def remediation_join(spark, sf_dir):
     return enrich.remediation_join(load(spark, sf_dir, "findings"), guidance(spark)).select("ord", "cwe", "remediation")
@@ -855,6 +876,42 @@ def stream_gate(spark, sf_dir):
     return verdicts.select("repo", "critical", "high", "medium", "low", "gate_status", joined("gate_reasons", "; "))
 
 
+@query
+def stream_gate_changes(spark, sf_dir):
+    """The gate over three batches: every file, then mended and deleted files and new manifests, then files that return."""
+    docs = table(spark, sf_dir, "documents")
+    doc, columns = F.col("doc_id"), ["repo", "path", "size", "content", "deleted"]
+
+    def code(rows: DataFrame, content: Column, deleted: bool) -> DataFrame:
+        given = file_sources.documents_as_files(rows).withColumn("content", content)
+        return given.withColumn("deleted", F.lit(deleted)).select(columns)
+
+    def manifests(rows: DataFrame, content: str | None) -> DataFrame:
+        return rows.select(
+            F.col("source").alias("repo"), F.concat(F.lit("m"), doc.cast("string"), F.lit("/requirements.txt")).alias("path"),
+            F.lit(0).cast("bigint").alias("size"), F.lit(content).cast("string").alias("content"), F.lit(content is None).alias("deleted"),
+        )
+
+    text, none = F.col("content"), F.lit(None).cast("string")
+    batches = [
+        code(docs, text, False),
+        code(docs.filter(doc % 3 == 0), F.lit("x = 1\n"), False)
+        .unionByName(code(docs.filter(doc % 3 == 1), none, True))
+        .unionByName(manifests(docs.filter(doc % 5 == 0), "django==2.0\n")),
+        code(docs.filter(doc % 6 == 1), text, False)
+        .unionByName(manifests(docs.filter(doc % 10 == 0), "django==9.0\n"))
+        .unionByName(manifests(docs.filter(doc % 15 == 5), None)),
+    ]
+    path = fresh_path(spark, "changes")
+    for batch in batches:
+        batch.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out, checkpoint = fresh_path(spark, "stream-gate"), fresh_path(spark, "checkpoint")
+    stream_scan_job.start_stream_gate(stream, _policies(spark, sf_dir), out, checkpoint, vuln_db(spark), compact=2).awaitTermination()
+    verdicts = stream_scan_job.current_verdicts(spark.read.parquet(f"{out}/verdicts"))
+    return verdicts.select("repo", "critical", "high", "medium", "low", "gate_status", joined("gate_reasons", "; "))
+
+
 @query
 def stream_pr_events(spark, sf_dir):
     events = _stream(spark, sf_dir, "events")

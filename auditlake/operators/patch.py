@@ -5,10 +5,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.functions.text import split_lines, strip
+from auditlake.functions.text import RARE_BREAKS, contains_any, once, split_lines, strip
+from auditlake.skew import lookup_join
 from auditlake.workspace import stored
 
 PATCHES_PER_ROUND = 1000
+FILE = ["repo", "file"]
+KEY = ["ord", "line", "original_code", "new_code", "copy"]
+
+
+def _line_fits(present: Column, original: Column) -> Column:
+    """True if a patch that names the original text may replace this line."""
+    wanted, bare = strip(original), strip(present)
+    return (original == "") | F.contains(bare, wanted) | F.contains(wanted, bare)
 
 
 def _apply_one(state: Column, patch: Column) -> Column:
@@ -18,13 +27,10 @@ def _apply_one(state: Column, patch: Column) -> Column:
     line, new = patch["line"], patch["new_code"]
     original = F.coalesce(patch["original_code"], F.lit(""))
     wanted = strip(original)
-    present = strip(F.get(lines, line - 1))
     by_line = (
-        line.isNotNull()
-        & line.between(1, F.size(lines))
-        & ((original == "") | F.contains(present, wanted) | F.contains(wanted, present))
+        new.isNotNull() & line.isNotNull() & line.between(1, F.size(lines)) & _line_fits(F.get(lines, line - 1), original)
     )
-    by_text = (original != "") & F.contains(content, wanted)
+    by_text = new.isNotNull() & (original != "") & F.contains(content, wanted)
     rewritten = F.concat(
         F.array_join(F.transform(lines, lambda text, i: F.when(i == line - 1, new).otherwise(text)), "\n"),
         F.lit("\n"),
@@ -44,32 +50,92 @@ def _apply_one(state: Column, patch: Column) -> Column:
     )
 
 
-def _fold(current: DataFrame, patches: DataFrame) -> DataFrame:
-    """Apply one round: rows (repo, file, content, patches, state) of the files it touches."""
-    ordered = patches.groupBy("repo", "file").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "line", "original_code", "new_code"))).alias("patches")
+def _fold(content: Column, patches: Column) -> Column:
+    """All patches of the array in order."""
+    start = F.struct(content.alias("content"), F.array().cast("array<string>").alias("statuses"))
+    return F.aggregate(patches, start, _apply_one)
+
+
+def _merge(content: Column, edits: Column) -> Column:
+    """Content with the given lines (sorted structs of line, text) replaced: stretches between them are copied once."""
+
+    def merged(lines: Column) -> Column:
+        def stretch(edit: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(edits, i - 1)["line"], F.lit(0))
+            return F.concat(F.slice(lines, before + 1, edit["line"] - before - 1), F.array(edit["text"]))
+
+        tail = F.slice(lines, F.element_at(edits, -1)["line"] + 1, F.size(lines))
+        return F.concat(F.array_join(F.concat(F.flatten(F.transform(edits, stretch)), tail), "\n"), F.lit("\n"))
+
+    return F.when(F.size(edits) > 0, once(split_lines(content), merged)).otherwise(content)
+
+
+def _line_hits(placed: DataFrame, current: DataFrame) -> DataFrame:
+    """Whether each patch finds its line, if only single lines were replaced before it.
+
+    Then line numbers stay and the patches of one line depend on each other only: each line has its own chain.
+    """
+
+    def step(state: Column, patch: Column) -> Column:
+        hit = _line_fits(state["text"], F.coalesce(patch["original_code"], F.lit("")))
+        return F.struct(
+            F.when(hit, patch["new_code"]).otherwise(state["text"]).alias("text"),
+            F.concat(state["hits"], F.array(hit)).alias("hits"),
+        )
+
+    chains = placed.groupBy(*FILE, "line").agg(F.array_sort(F.collect_list(F.struct(*KEY))).alias("chain"))
+    texts = current.select(*FILE, F.posexplode(split_lines(F.col("content"))).alias("pos", "text")).withColumn(
+        "line", F.col("pos") + 1
+    )
+    start = F.struct(F.col("text"), F.array().cast("array<boolean>").alias("hits"))
+    hits = F.aggregate("chain", start, step)["hits"]
+    return (
+        chains.join(texts, [*FILE, "line"])
+        .select(*FILE, F.explode(F.arrays_zip("chain", hits.alias("hit"))).alias("r"))
+        .select(*FILE, "r.chain.*", F.col("r.hit").alias("hit"))
     )
-    joined = ordered.join(current, ["repo", "file"], "left")
-    start = F.struct(F.col("content").alias("content"), F.array().cast("array<string>").alias("statuses"))
-    return joined.withColumn("state", F.aggregate("patches", start, _apply_one))
 
 
-def _statuses(folded: DataFrame) -> DataFrame:
-    return folded.select(
-        "repo",
-        "file",
-        F.explode(F.arrays_zip("patches", F.col("state.statuses").alias("statuses"))).alias("r"),
-        F.col("content").isNull().alias("missing"),
-    ).select(
-        "repo",
-        "file",
-        F.col("r.patches.ord").alias("ord"),
-        F.when(F.col("missing"), "failed").otherwise(F.col("r.statuses")).alias("status"),
+def _judge(pending: DataFrame, current: DataFrame, per_round: int) -> DataFrame:
+    """Pending patches with hit, status and whether they are settled.
+
+    A file's patches are settled up to the first one that needs the whole text: its line does not fit and it names
+    a text, or its line is patched more often than one round takes. A patch that puts several lines in place of one
+    is settled itself and stops those after it, whose line numbers it moves.
+    """
+    placed = lookup_join(pending, current.select(*FILE, "n_lines"), FILE, KEY)
+    on_line = F.coalesce(F.col("new_code").isNotNull() & F.col("line").between(1, F.col("n_lines")), F.lit(False))
+    in_line = Window.partitionBy(*FILE, "line").orderBy(*KEY)
+    near, far = placed.filter(on_line), placed.filter(~on_line)
+    near = near.withColumn("late", F.row_number().over(in_line) > per_round)
+    beyond = near.filter("late").unionByName(far.withColumn("late", F.lit(False)))
+    outcomes = (
+        _line_hits(near.filter("NOT late"), current)
+        .withColumns({"late": F.lit(False), "n_lines": F.lit(0)})
+        .unionByName(beyond.withColumn("hit", F.lit(False)))
+    )
+    names_text = F.coalesce(F.col("original_code"), F.lit("")) != ""
+    needs_text = F.col("late") | (names_text & F.col("new_code").isNotNull() & F.col("n_lines").isNotNull())
+    several = contains_any(F.col("new_code"), ["\n", *RARE_BREAKS])
+    outcomes = stored(
+        outcomes.select(
+            *FILE,
+            *KEY,
+            "hit",
+            F.when(F.col("hit"), F.when(several, 1)).otherwise(F.when(needs_text, 0)).alias("stop"),
+        ),
+        "patch-outcomes",
+    )
+    key = F.struct(*KEY)
+    stops = outcomes.filter("stop IS NOT NULL").groupBy(*FILE).agg(F.min(F.struct(key.alias("key"), "stop")).alias("s"))
+    settled = F.col("s").isNull() | (key < F.col("s.key")) | ((key == F.col("s.key")) & (F.col("s.stop") == 1))
+    return lookup_join(outcomes, stops, FILE, KEY).select(
+        *FILE, *KEY, "hit", F.when(F.col("hit"), "line").otherwise("failed").alias("status"), settled.alias("settled")
     )
 
 
-def _next_content(folded: DataFrame) -> DataFrame:
-    return folded.filter("content IS NOT NULL").select("repo", "file", F.col("state.content").alias("content"))
+def _with_lines(contents: DataFrame) -> DataFrame:
+    return contents.withColumn("n_lines", F.size(split_lines(F.col("content"))))
 
 
 def _file_rows(contents: DataFrame) -> DataFrame:
@@ -84,35 +150,50 @@ def _file_rows(contents: DataFrame) -> DataFrame:
 def patch_apply(
     files: DataFrame, patches: DataFrame, patches_per_round: int = PATCHES_PER_ROUND
 ) -> tuple[DataFrame, DataFrame]:
-    """Apply patches (repo, file, ord, line, original_code, new_code) to files.
+    """Apply patches (repo, file, ord, line, original_code, new_code) to files, one row per (repo, path).
 
     Returns the new rows of the changed files (repo, path, size, content) and one status row
     per patch: 'line' (the line was replaced), 'text' (all occurrences were replaced) or
-    'failed' (nothing matched, or there is no such file).
+    'failed' (nothing matched, the patch has no new code, or there is no such file).
 
-    Patches of one file depend on each other (each sees the text left by the one before), so
-    they are folded in order inside the file's row; files are independent and only patched
-    files leave the join. A file with more patches than one round takes is finished in
-    further rounds, each starting from the stored texts of the round before.
+    Each patch of a file sees the text left by the one before. Replacements of single lines are followed
+    line by line, spread over tasks, and put into the text in one merge, whatever their number. From the
+    first patch on that needs the whole text (see ``_judge``), the file's next ``patches_per_round`` patches are folded
+    in order inside its row; a file with more patches goes through further rounds, finished files do not.
     """
-    in_file = Window.partitionBy("repo", "file").orderBy("ord")
-    numbered = patches.withColumn("round", F.floor((F.row_number().over(in_file) - 1) / patches_per_round))
-    last = numbered.agg(F.max("round")).first()[0] or 0
-    original = files.select("repo", F.col("path").alias("file"), "content")
-    if last == 0:
-        folded = _fold(original, patches)
-        some = F.exists("state.statuses", lambda status: status != "failed")
-        return _file_rows(_next_content(folded.filter(some))), _statuses(folded)
-
-    numbered = stored(numbered, "patches")
-    touched = numbered.select("repo", "file").distinct()
-    current = stored(original.join(touched, ["repo", "file"], "left_semi"), "patched-0")
-    parts = []
-    for i in range(last + 1):
-        folded = stored(_fold(current, numbered.filter(F.col("round") == i).drop("round")), f"patch-round-{i}")
-        parts.append(_statuses(folded))
-        rest = current.join(folded.select("repo", "file"), ["repo", "file"], "left_anti")
-        current = stored(_next_content(folded).unionByName(rest), f"patched-{i + 1}")
-    statuses = reduce(lambda a, b: a.unionByName(b), parts)
-    applied = statuses.filter("status <> 'failed'").select("repo", "file").distinct()
-    return _file_rows(current.join(applied, ["repo", "file"], "left_semi")), statuses
+    copies = Window.partitionBy(*FILE, *KEY[:-1]).orderBy("ord")
+    in_file = Window.partitionBy(*FILE).orderBy(*KEY)
+    pending = patches.select(*FILE, *KEY[:-1]).withColumn("copy", F.row_number().over(copies))
+    texts = files.select("repo", F.col("path").alias("file"), "content").filter("content IS NOT NULL")
+    touched = texts.join(patches.select(*FILE).distinct(), FILE, "left_semi")
+    current = stored(_with_lines(touched.withColumn("changed", F.lit(False))), "patch-files")
+    results, statuses = [], []
+    while True:
+        judged = stored(_judge(pending, current, patches_per_round), "patches-judged")
+        settled, rest = judged.filter("settled"), judged.filter("NOT settled").select(*FILE, *KEY)
+        last = F.struct(*KEY)
+        edits = settled.filter("hit").groupBy(*FILE, "line").agg(F.max_by("new_code", last).alias("text"))
+        edits = edits.groupBy(*FILE).agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("edits"))
+        rest = rest.withColumn("turn", F.row_number().over(in_file))
+        following = rest.filter(F.col("turn") <= patches_per_round).groupBy(*FILE)
+        following = following.agg(F.array_sort(F.collect_list(last)).alias("patches"))
+        merged = current.join(edits, FILE, "left").withColumn("content", _merge(F.col("content"), F.col("edits")))
+        folded = merged.join(following, FILE, "left").withColumn("state", _fold(F.col("content"), F.col("patches")))
+        by_fold = F.coalesce(F.exists("state.statuses", lambda status: status != "failed"), F.lit(False))
+        after = folded.select(
+            *FILE,
+            F.coalesce("state.content", "content").alias("content"),
+            (F.col("changed") | F.col("edits").isNotNull() | by_fold).alias("changed"),
+            F.arrays_zip(F.col("patches.ord").alias("ord"), F.col("state.statuses").alias("status")).alias("done"),
+        )
+        after = stored(_with_lines(after), "patch-files")
+        statuses.append(settled.select(*FILE, "ord", "status"))
+        statuses.append(after.select(*FILE, F.inline("done")))
+        left = stored(rest.filter(F.col("turn") > patches_per_round).drop("turn"), "patches-left")
+        waiting = left.select(*FILE).distinct()
+        results.append(after.filter("changed").join(waiting, FILE, "left_anti"))
+        if left.isEmpty():
+            break
+        pending, current = left, after.drop("done").join(waiting, FILE, "left_semi")
+    every = [reduce(DataFrame.unionByName, parts) for parts in (results, statuses)]
+    return _file_rows(every[0]), every[1]

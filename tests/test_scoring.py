@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from auditlake.operators import context, enrich, findings, history, patch, policy, scoring
@@ -173,6 +175,76 @@ def test_patches_of_one_file_follow_each_other(spark):
         assert got == {("a", 1): "line", ("a", 2): "text", ("a", 3): "failed", ("a", 4): "line", ("b", 1): "failed", ("nofile", 1): "failed"}
 
 
+def _in_turn(content, rows):
+    """Patches of one file one after the other."""
+    statuses = []
+    for _, line, original, new in sorted(rows, key=lambda r: r[0]):
+        lines = content.splitlines()
+        wanted = (original or "").strip()
+        present = lines[line - 1].strip() if line and 1 <= line <= len(lines) else None
+        if new is None:
+            statuses.append("failed")
+        elif present is not None and (not original or wanted in present or present in wanted):
+            content = "\n".join([*lines[: line - 1], new, *lines[line:]]) + "\n"
+            statuses.append("line")
+        elif original and wanted in content:
+            content = content.replace(wanted, new.strip())
+            statuses.append("text")
+        else:
+            statuses.append("failed")
+    return content, statuses
+
+
+PATCHES = "repo string, file string, ord int, line int, original_code string, new_code string"
+
+
+def test_patches_equal_applying_them_in_turn(spark):
+    rng = random.Random(5)
+    word = ["a", "ab", "b c", "", "x\ny", "z\r", "abc", " ", "k\u2028m"]
+    texts = {f"f{i}": "".join(rng.choice(word) + rng.choice(["\n", "\n", "\r\n", ""]) for _ in range(rng.randrange(9))) for i in range(60)}
+    rows = {
+        f: [
+            (k, rng.choice([None, 0, 1, 1, 2, 3, 3, 4, 50]), rng.choice([None, "", "", "a", "b", " a ", "zz", " "]),
+             rng.choice(["a", "b", "", "one", "two words ", "x\ny", None, "q\r"]))
+            for k in range(rng.randrange(1, 14))
+        ]
+        for f in texts
+    }
+    files = spark.createDataFrame([("r", f, 1, t) for f, t in texts.items()], FILES)
+    patches = spark.createDataFrame([("r", f, *row) for f in texts for row in rows[f]], PATCHES).repartition(3)
+    want = {f: _in_turn(texts[f], rows[f]) for f in texts}
+    for per_round in (1000, 3):
+        changed, status = patch.patch_apply(files, patches, per_round)
+        assert {r.path: r.content for r in changed.collect()} == {f: c for f, (c, s) in want.items() if set(s) != {"failed"}}
+        got = {(r.file, r.ord): r.status for r in status.collect()}
+        assert got == {(f, k): s for f in texts for k, s in enumerate(want[f][1])}
+
+
+def test_five_thousand_line_patches_of_one_file_are_one_pass(spark, monkeypatch):
+    text = "".join(f"line {i}\n" for i in range(4000))
+    rows = [(k, k * 7 % 4000 + 1, "line" if k % 3 else "", f"line new {k}") for k in range(5000)]
+    rows.append((6000, 5000, "", "too far"))
+    files = spark.createDataFrame([("r", "f", 1, text)], FILES)
+    written = []
+    keep = patch.stored
+    monkeypatch.setattr(patch, "stored", lambda df, label: written.append(label) or keep(df, label))
+    changed, status = patch.patch_apply(files, spark.createDataFrame([("r", "f", *row) for row in rows], PATCHES))
+    assert written.count("patches-judged") == 1
+    want, statuses = _in_turn(text, rows)
+    assert [r.content for r in changed.collect()] == [want]
+    assert [r.status for r in status.orderBy("ord").collect()] == statuses
+
+
+def test_patches_of_no_file_and_no_patches(spark):
+    files = spark.createDataFrame([("r", "f", 1, "a"), ("r", "g", 1, None)], FILES)
+    changed, status = patch.patch_apply(files, spark.createDataFrame([], PATCHES))
+    assert changed.collect() == [] and status.collect() == []
+    twice = [("r", "g", 1, 1, "", "x"), ("r", "f", 1, 1, "a", "a2"), ("r", "f", 1, 1, "a", "a2")]
+    changed, status = patch.patch_apply(files, spark.createDataFrame(twice, PATCHES))
+    assert [(r.path, r.content) for r in changed.collect()] == [("f", "a2\n")]
+    assert sorted((r.file, r.status) for r in status.collect()) == [("f", "line"), ("f", "line"), ("g", "failed")]
+
+
 def test_overview_and_ranking(spark):
     rows = spark.createDataFrame(
         [("r", i, s) for i, s in enumerate(["low", "critical", None, "odd", "HIGH", "critical"])], "repo string, ord int, severity string"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.config import SCANNER_RANK
-from auditlake.exports.documents import element_lines, fixed_line, write_documents
+from auditlake.exports.documents import element_lines, fixed_line, tagged, write_documents
 from auditlake.operators.corpus import display_path
 from auditlake.schemas import finding_order
 
@@ -36,12 +36,12 @@ def report_lines(findings: DataFrame, summary: DataFrame, deps: DataFrame | None
     opening = F.concat(F.substring(json, 1, F.length(json) - 1), F.lit(',"findings":['))
     parts = [
         fixed_line(summary, 0, opening, ord_type),
-        element_lines(shown, 1, element),
+        element_lines(shown, tagged(1, element)),
     ]
     if deps is not None:
         package = F.struct("package", "version", display_path(F.col("repo"), F.col("file")).alias("file"))
         parts.append(fixed_line(summary, 2, F.lit('],"dependencies":['), ord_type))
-        parts.append(element_lines(with_order(deps), 3, package))
+        parts.append(element_lines(with_order(deps), tagged(3, package)))
     parts.append(fixed_line(summary, 4, F.lit("]}"), ord_type))
     return reduce(lambda a, b: a.unionByName(b), parts)
 

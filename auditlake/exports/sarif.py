@@ -1,9 +1,11 @@
 """SARIF 2.1.0: rules, results and the document."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.exports.documents import element_lines, fixed_line
+from auditlake.exports.documents import element_lines, fixed_line, tagged
 from auditlake.functions.labels import cwe_help_uri, sarif_level
 from auditlake.operators.corpus import display_path
 
@@ -20,39 +22,42 @@ def _rule_id() -> Column:
     return F.coalesce(F.col("rule"), _cwe())
 
 
-def sarif_rules(findings: DataFrame) -> DataFrame:
-    """Distinct rules per repository with the texts of the first finding of each."""
-    rule = F.struct(
+def _rule_columns() -> list[Column]:
+    return [
         F.translate(_rule_id(), "-", "_").alias("name"),
         F.concat(_cwe(), F.lit(": "), F.coalesce("cwe_title", F.lit("Vulnerability"))).alias("short_description"),
         F.coalesce("cwe_description", "description", F.lit("Vulnerability detected.")).alias("full_description"),
         cwe_help_uri(_cwe()).alias("help_uri"),
-        F.col("ord"),
-    )
-    return (
-        findings.select("repo", _rule_id().alias("rule_id"), rule.alias("r"))
-        .groupBy("repo", "rule_id")
-        .agg(F.min_by("r", "r.ord").alias("r"))
-        .select("repo", "rule_id", "r.*")
-    )
+    ]
 
 
-def sarif_results(findings: DataFrame) -> DataFrame:
-    """One result per finding: rule, level, message and place."""
+def _result_columns() -> list[Column]:
     line = F.coalesce("line", F.lit(1))
     file = F.when(F.col("file").isNull(), "unknown").otherwise(display_path(F.col("repo"), F.col("file")))
-    return findings.select(
-        "repo",
-        "ord",
-        _rule_id().alias("rule_id"),
+    return [
         sarif_level(F.col("severity")).alias("level"),
         F.coalesce("description", F.lit("Vulnerability detected.")).alias("message"),
         file.alias("uri"),
         line.alias("start_line"),
         line.alias("end_line"),
+    ]
+
+
+def sarif_rules(findings: DataFrame) -> DataFrame:
+    """Distinct rules per repository with the texts of the first finding of each."""
+    return (
+        findings.select("repo", _rule_id().alias("rule_id"), F.struct(*_rule_columns(), F.col("ord")).alias("r"))
+        .groupBy("repo", "rule_id")
+        .agg(F.min_by("r", "r.ord").alias("r"))
+        .select("repo", "rule_id", "r.*")
     )
 
 
+def sarif_results(findings: DataFrame) -> DataFrame:
+    """One result per finding: rule, level, message and place."""
+    return findings.select("repo", "ord", _rule_id().alias("rule_id"), *_result_columns())
+
+
 def sarif_export(
     findings: DataFrame,
     repos: DataFrame,
@@ -90,14 +95,11 @@ def sarif_export(
         driver["informationUri"] = information_uri
     about = ",".join(f'"{k}":"{v}"' for k, v in driver.items())
     opening = f'{{"$schema":"{SCHEMA_URI}","version":"{VERSION}","runs":[{{"tool":{{"driver":{{{about},"rules":['
+    rows = findings.select("repo", "ord", _rule_id().alias("rule_id"), *_rule_columns(), *_result_columns())
     parts = [
         fixed_line(repos, 0, F.lit(opening), ord_type),
-        element_lines(sarif_rules(findings), 1, rule),
+        element_lines(rows, tagged(1, rule, key=F.col("rule_id")), tagged(3, result)),
         fixed_line(repos, 2, F.lit(']}},"results":['), ord_type),
-        element_lines(sarif_results(findings), 3, result),
         fixed_line(repos, 4, F.lit("]}]}"), ord_type),
     ]
-    document = parts[0]
-    for p in parts[1:]:
-        document = document.unionByName(p)
-    return document
+    return reduce(DataFrame.unionByName, parts)

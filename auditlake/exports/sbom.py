@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.exports.documents import element_lines, fixed_line
+from auditlake.exports.documents import element_lines, fixed_line, tagged
 from auditlake.functions.labels import purl, spdx_id
 
 NOASSERTION = "NOASSERTION"
@@ -65,7 +65,7 @@ def cyclonedx_export(
     )
     parts = [
         fixed_line(repos, 0, opening, ord_type),
-        element_lines(components, 1, element),
+        element_lines(components, tagged(1, element)),
         fixed_line(repos, 2, F.lit("]}"), ord_type),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
@@ -77,8 +77,7 @@ def spdx_packages(deps: DataFrame) -> DataFrame:
 
 def spdx_relationships(packages: DataFrame) -> DataFrame:
     return packages.select(
-        "repo",
-        "ord",
+        "*",
         F.lit("SPDXRef-DOCUMENT").alias("spdx_element_id"),
         F.col("spdx_id").alias("related_spdx_element"),
         F.lit("DESCRIBES").alias("relationship_type"),
@@ -127,9 +126,8 @@ def spdx_export(
     )
     parts = [
         fixed_line(repos, 0, opening, ord_type),
-        element_lines(packages, 1, package),
+        element_lines(spdx_relationships(packages), tagged(1, package), tagged(3, relationship)),
         fixed_line(repos, 2, F.lit('],"relationships":['), ord_type),
-        element_lines(spdx_relationships(packages), 3, relationship),
         fixed_line(repos, 4, F.lit("]}"), ord_type),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -1,12 +1,13 @@
 """Dependencies from manifest files.
 
-Three jobs cover all kinds of manifest, whatever their number:
+One scan covers all kinds of manifest, whatever their number. Each turns its text into the same kind of event:
 
 * line formats: the dependency stands on one line and is matched where it is;
-* block formats: a line means something only together with earlier lines of its file. Each
-  format turns its few meaningful lines into the same kind of event, and one window over the
-  events of a file carries the state;
-* JSON formats: read with a declared schema.
+* block formats: a line means something only together with earlier lines of its file, so its few
+  meaningful lines are events, and one window over the events of a file carries the state;
+* JSON formats: read with a declared schema, an event for each entry.
+
+Only if block formats are among them is there a shuffle, of events.
 
 Output columns: repo, file, line, package, version, pos (order within a line).
 """
@@ -16,8 +17,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.functions.text import after_last, base_name, if_any, once, strip, words
-from auditlake.operators.corpus import explode_lines, select_scan_sets
+from auditlake.functions.text import after_last, base_name, once, split_lines, strip, words
+from auditlake.operators.corpus import select_scan_sets
 
 NAME = "[a-zA-Z0-9_-]+"
 DOTTED = "[a-zA-Z0-9.-]+"
@@ -42,33 +43,6 @@ def _by_manifest(choices: dict[str, Column]) -> Column:
     return chain
 
 
-def line_deps(lines: DataFrame, manifests: list[str]) -> DataFrame:
-    """Dependencies of line formats from rows (repo, file, manifest, line_no, text)."""
-    text, bare = F.col("text"), strip(F.col("text"))
-    groups = {}
-    for name in manifests:
-        pattern, package, version, stripped = LINE_PATTERNS[name]
-        target = bare if stripped else text
-        groups[name] = F.when(
-            target.rlike(pattern),
-            F.struct(
-                F.regexp_extract(target, pattern, package).alias("package"),
-                F.regexp_extract(target, pattern, version).alias("version"),
-            ),
-        )
-    return (
-        lines.withColumn("d", if_any(_by_manifest(groups)))
-        .select(
-            "repo",
-            "file",
-            F.col("line_no").cast("int").alias("line"),
-            F.lower("d.package").alias("package"),
-            F.col("d.version").alias("version"),
-            F.lit(0).alias("pos"),
-        )
-    )
-
-
 def _event(
     opens: Column | None = None,
     start: Column | None = None,
@@ -77,6 +51,8 @@ def _event(
     own_name: Column | None = None,
     own_version: Column | None = None,
     emits: Column | None = None,
+    line: Column | None = None,
+    pos: Column | None = None,
 ) -> Column:
     """What one line means.
 
@@ -84,7 +60,8 @@ def _event(
     reported at; name, version: it sets the current name or version ('' clears it);
     own_name, own_version: what the line itself reports; emits: how it reports, one of
     'alone' (always), 'inside' (within a block), 'named' (if a name is current) and 'end'
-    (if it ends a block with a name and a version).
+    (if it ends a block with a name and a version); line, pos: the place and the order within
+    it, where not those of the line itself.
     """
 
     def text(c: Column | None) -> Column:
@@ -98,6 +75,23 @@ def _event(
         text(own_name).alias("own_name"),
         text(own_version).alias("own_version"),
         text(emits).alias("emits"),
+        (F.lit(None) if line is None else line).cast("int").alias("line"),
+        (F.lit(None) if pos is None else pos).cast("int").alias("pos"),
+    )
+
+
+def _line_event(manifest: str, text: Column) -> Column:
+    """The dependency of a line of a line format."""
+    pattern, package, version, stripped = LINE_PATTERNS[manifest]
+    target = strip(text) if stripped else text
+    return F.when(
+        target.rlike(pattern),
+        _event(
+            own_name=F.regexp_extract(target, pattern, package),
+            own_version=F.regexp_extract(target, pattern, version),
+            emits=F.lit("alone"),
+            pos=F.lit(0),
+        ),
     )
 
 
@@ -181,51 +175,6 @@ BLOCK_EVENTS: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
-def block_deps(lines: DataFrame, manifests: list[str]) -> DataFrame:
-    """Dependencies of block formats from rows (repo, file, manifest, line_no, text).
-
-    Lines without a meaning are dropped and texts are cut to names and versions before the
-    shuffle; the window sorts the events of one file at a time.
-    """
-    stripped = lines.withColumn("text", strip(F.col("text")))
-    event = _by_manifest({m: BLOCK_EVENTS[m](F.col("text"), F.col("line_no")) for m in manifests})
-    events = stripped.withColumn("e", if_any(event)).select("repo", "file", "line_no", "e.*")
-    in_file = Window.partitionBy("repo", "file").orderBy("line_no")
-    so_far = in_file.rowsBetween(Window.unboundedPreceding, 0)
-    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
-    state = events.select(
-        "repo",
-        "file",
-        "line_no",
-        "own_name",
-        "own_version",
-        "emits",
-        F.last("opens", ignorenulls=True).over(before).alias("inside"),
-        F.last("start", ignorenulls=True).over(so_far).alias("start"),
-        F.last("name", ignorenulls=True).over(so_far).alias("name"),
-        F.last("version", ignorenulls=True).over(so_far).alias("version"),
-    )
-    emits, named = F.col("emits"), F.coalesce(F.col("name"), F.lit("")) != ""
-    inside = F.coalesce(F.col("inside"), F.lit(False))
-    reported = (
-        (emits == "alone")
-        | ((emits == "inside") & inside)
-        | ((emits == "named") & named)
-        | ((emits == "end") & inside & named & (F.coalesce(F.col("version"), F.lit("")) != ""))
-    )
-    return state.filter(reported).select(
-        "repo",
-        "file",
-        F.when(emits.isin("alone", "inside"), F.col("line_no"))
-        .otherwise(F.coalesce("start", F.lit(1)))
-        .cast("int")
-        .alias("line"),
-        F.lower(F.coalesce("own_name", "name")).alias("package"),
-        F.coalesce("own_version", "version").alias("version"),
-        F.col("line_no").cast("int").alias("pos"),
-    )
-
-
 VERSIONED = "MAP<STRING,STRUCT<version:STRING>>"
 ENTRIES = "array<struct<name:string,version:string>>"
 
@@ -287,32 +236,93 @@ JSON_ENTRIES: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def json_deps(files: DataFrame, manifests: list[str]) -> DataFrame:
-    """Dependencies of JSON formats from rows (repo, path, manifest, content)."""
-    entries = _by_manifest({m: JSON_ENTRIES[m](F.col("content")) for m in manifests})
-    return (
-        files.select("repo", F.col("path").alias("file"), F.posexplode(entries).alias("pos", "e"))
-        .filter("e.name <> '' AND e.version <> ''")
-        .select(
-            "repo",
-            "file",
-            F.lit(1).alias("line"),
-            F.lower("e.name").alias("package"),
-            F.col("e.version").alias("version"),
-            "pos",
-        )
+def _json_events(manifest: str, content: Column) -> Column:
+    """An event for each entry; those without a name or version stand for nothing."""
+    return F.filter(
+        F.transform(
+            JSON_ENTRIES[manifest](content),
+            lambda e, i: F.when(
+                (e["name"] != "") & (e["version"] != ""),
+                _event(own_name=e["name"], own_version=e["version"], emits=F.lit("alone"), line=F.lit(1), pos=i),
+            ),
+        ),
+        lambda e: e.isNotNull(),
     )
 
 
-def _lines_of(files: DataFrame, manifests: list[str]) -> DataFrame:
-    """Lines with the manifest name their file goes by."""
-    chosen = files.filter(F.col("manifest").isin(manifests))
-    lines = explode_lines(chosen)
-    return lines.withColumn("manifest", F.lower(base_name(F.col("file"))))
+def _events(pieces: DataFrame, manifests: list[str]) -> DataFrame:
+    """Rows (repo, file, line_no, the event's fields) from rows (repo, file, manifest, line_no, text)."""
+    text, line_no = F.col("text"), F.col("line_no")
+    choices = {}
+    for name in manifests:
+        if name in JSON_ENTRIES:
+            choices[name] = _json_events(name, text)
+        elif name in BLOCK_EVENTS:
+            choices[name] = F.array_compact(F.array(BLOCK_EVENTS[name](strip(text), line_no)))
+        else:
+            choices[name] = F.array_compact(F.array(_line_event(name, text)))
+    return pieces.select("repo", "file", "line_no", F.inline(_by_manifest(choices)))
+
+
+def _pieces(files: DataFrame) -> DataFrame:
+    """Lines of files (repo, path, manifest, content); a JSON manifest is one piece."""
+    whole = F.col("manifest").isin(list(JSON_ENTRIES))
+    pieces = F.when(whole, F.array("content")).otherwise(split_lines(F.col("content")))
+    return files.select(
+        "repo", F.col("path").alias("file"), "manifest", F.posexplode(pieces).alias("at", "text")
+    ).withColumn("line_no", F.col("at") + 1)
+
+
+def _carried(events: DataFrame) -> DataFrame:
+    """Events that report something, with the state the events before them left.
+
+    Texts were cut to names and versions before this shuffle; the window sorts the events of one file at a time.
+    """
+    in_file = Window.partitionBy("repo", "file").orderBy("line_no", "pos")
+    so_far = in_file.rowsBetween(Window.unboundedPreceding, 0)
+    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    state = events.select(
+        "repo",
+        "file",
+        "line_no",
+        "own_name",
+        "own_version",
+        "emits",
+        "line",
+        "pos",
+        F.last("opens", ignorenulls=True).over(before).alias("inside"),
+        F.last("start", ignorenulls=True).over(so_far).alias("start"),
+        F.last("name", ignorenulls=True).over(so_far).alias("name"),
+        F.last("version", ignorenulls=True).over(so_far).alias("version"),
+    )
+    emits, named = F.col("emits"), F.coalesce(F.col("name"), F.lit("")) != ""
+    inside = F.coalesce(F.col("inside"), F.lit(False))
+    return state.filter(
+        (emits == "alone")
+        | ((emits == "inside") & inside)
+        | ((emits == "named") & named)
+        | ((emits == "end") & inside & named & (F.coalesce(F.col("version"), F.lit("")) != ""))
+    )
+
+
+def line_deps(pieces: DataFrame, manifests: list[str]) -> DataFrame:
+    """Dependencies from rows (repo, file, manifest, line_no, text) of the given manifests."""
+    found = _events(pieces, manifests)
+    if any(name in BLOCK_EVENTS for name in manifests):
+        found = _carried(found)
+    place = F.when(F.col("emits").isin("alone", "inside"), F.col("line_no")).otherwise(F.coalesce("start", F.lit(1)))
+    return found.select(
+        "repo",
+        "file",
+        F.coalesce("line", place).cast("int").alias("line"),
+        F.lower(F.coalesce("own_name", "name")).alias("package"),
+        F.coalesce("own_version", "version").alias("version"),
+        F.coalesce("pos", "line_no").cast("int").alias("pos"),
+    )
 
 
 def extract_deps(files: DataFrame, manifests: list[str] | None = None) -> DataFrame:
-    """Dependencies from the manifests of a corpus (all kinds, or the given ones).
+    """Dependencies from the manifests of a corpus (all kinds, or the given ones), in one scan of it.
 
     The name of a manifest file counts in any case.
     """
@@ -321,18 +331,6 @@ def extract_deps(files: DataFrame, manifests: list[str] | None = None) -> DataFr
         select_scan_sets(files)
         .filter("for_dependencies")
         .select("repo", "path", "content", F.lower(base_name(F.col("path"))).alias("manifest"))
+        .filter(F.col("manifest").isin(wanted))
     )
-    parts = []
-    for kinds, job, needs_lines in [
-        (LINE_PATTERNS, line_deps, True),
-        (BLOCK_EVENTS, block_deps, True),
-        (JSON_ENTRIES, json_deps, False),
-    ]:
-        names = [m for m in wanted if m in kinds]
-        if names:
-            source = _lines_of(chosen, names) if needs_lines else chosen.filter(F.col("manifest").isin(names))
-            parts.append(job(source, names))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return line_deps(_pieces(chosen), wanted)

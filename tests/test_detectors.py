@@ -211,3 +211,17 @@ def test_review_candidates_take_five_per_repository(spark):
     rows = files(spark, {f"f{i}.py": "" for i in range(9)}).unionByName(files(spark, {"a.py": "", "b.md": ""}, "s"))
     got = corpus.review_candidates(rows, 5)
     assert sorted((r.repo, r.path) for r in got.collect()) == [("r", f"f{i}.py") for i in range(5)] + [("s", "a.py")]
+
+
+def test_all_manifest_kinds_are_read_in_one_scan(spark, tmp_path):
+    every = {
+        "requirements.txt": "Requests==2.28.0\n", "pom.xml": "<dependency>\n<artifactId>a</artifactId>\n<version>1</version>\n</dependency>\n",
+        "composer.lock": '{"packages":[{"name":"v/p","version":"3"},{"name":"","version":"4"}]}',
+    }
+    files(spark, every).write.parquet(str(tmp_path / "files"))
+    found = deps.extract_deps(spark.read.parquet(str(tmp_path / "files")))
+    assert {(r.file, r.line, r.package, r.version, r.pos) for r in found.collect()} == {
+        ("requirements.txt", 1, "requests", "2.28.0", 0), ("pom.xml", 1, "a", "1", 4), ("composer.lock", 1, "p", "3", 0),
+    }
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 1

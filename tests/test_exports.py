@@ -112,3 +112,20 @@ def test_reviews(spark):
     assert "parameterized queries" in note.message and note.path == "r/app/auth.py"
     (comment,) = review.pr_comments(scanned, templates(spark)).collect()
     assert comment.body.startswith("### ") and "CWE-89" in comment.body
+
+
+def test_elements_of_several_parts_come_from_one_scan(spark, tmp_path):
+    findings(spark, 300).repartition(4).write.parquet(str(tmp_path / "findings"))
+    rows = spark.read.parquet(str(tmp_path / "findings"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = sarif.sarif_export(rows, repos(spark))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+
+
+def test_elements_without_order_keep_the_document_valid(spark, tmp_path):
+    rows = findings(spark, 3).withColumn("ord", F.lit(None).cast("int"))
+    write_documents(sarif.sarif_export(rows, repos(spark)), str(tmp_path / "n"))
+    assert len(read_documents(tmp_path / "n")["r"]["runs"][0]["results"]) == 3

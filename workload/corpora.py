@@ -275,6 +275,17 @@ select concat('repo', o_custkey % 20) as repo, concat('svc', o_orderkey, '/Docke
  case o_orderkey % 6 when 0 then 'USER root' when 1 then ' CMD ["sh"] ' when 2 then '' when 3 then 'FROM alpine' when 4 then 'nothing like it' else 'USER' end as original_code,
  concat('# patched ', o_orderkey) as new_code
 from orders""",
+    # Files whose lines many patches replace, in any order.
+    "patched_files": """
+select concat('repo', doc_id % 20) as repo, concat('src/f', doc_id, '.py') as path, n_chars as size,
+ concat('edit 1', chr(10), 'edit 2', chr(10), '  edit 3', chr(10), '', chr(10), 'edit 5', chr(10), coalesce(text, ''), chr(10), 'end') as content
+from documents""",
+    "line_patches": """
+select concat('repo', (l_orderkey % 997) % 20) as repo, concat('src/f', l_orderkey % 997, '.py') as file,
+ l_orderkey * 10 + l_linenumber as ord, cast(case when l_partkey % 11 = 0 then 1000000 else 1 + l_suppkey % 5 end as int) as line,
+ case when l_partkey % 11 = 0 or l_partkey % 3 = 0 then '' when l_partkey % 3 = 1 then null else ' edit ' end as original_code,
+ concat('edit ', l_orderkey, ' ', l_linenumber) as new_code
+from lineitem""",
     "scan_history": """
 select concat('repo', user_id % 10) as repo, event_id as ord, ts, event_type as status from events""",
     "tool_status": """

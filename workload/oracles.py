@@ -481,6 +481,16 @@ PATCHED = """p as (select d.repo, d.path, d.content, string_split(d.content, chr
    else replace(content, wanted, trim(new_code)) end as content from s)"""
 ORACLES["patch_apply"] = f"""{ctes('docker_files', 'patches')}, {PATCHED}
 select repo, path, cast(strlen(content) as bigint) as size, content from patched where status <> 'failed'"""
+ORACLES["patch_lines"] = f"""{ctes('patched_files', 'line_patches')},
+ parts as (select repo, path, string_split(content, chr(10)) as l from patched_files),
+ lines as (select repo, path, unnest(l) as t, unnest(range(1, len(l) + 1)) as n from parts),
+ edits as (select repo, file, line, arg_max(new_code, ord) as t from line_patches where line < 1000000 group by repo, file, line),
+ merged as (select lines.repo, path, concat(string_agg(coalesce(e.t, lines.t), chr(10) order by n), chr(10)) as content
+  from lines left join edits e on e.repo = lines.repo and e.file = path and e.line = n group by lines.repo, path having count(e.t) > 0)
+select repo, path, cast(strlen(content) as bigint) as size, content from merged"""
+ORACLES["patch_lines_status"] = f"""{ctes('patched_files', 'line_patches')}
+select p.repo, p.file, p.ord, case when f.path is not null and line < 1000000 then 'line' else 'failed' end as status
+from line_patches p left join patched_files f on f.repo = p.repo and f.path = p.file"""
 ORACLES["patch_status"] = f"{ctes('docker_files', 'patches')}, {PATCHED} select repo, path as file, ord, status from patched"
 
 # --- Deduplication, scoring, gate -----------------------------------------------------------
@@ -605,27 +615,28 @@ SERIAL = f"""(select concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), substr(h,
 
 
 def elements(relation: str, part: int, json: str, order: str) -> str:
-    return f"""select repo, cast({part} as bigint) as part, concat(case when row_number() over (partition by repo order by {order}) = 1 then '' else ',' end, {json}) as line from {relation}"""
+    place = f"row_number() over (partition by repo order by {order})"
+    return f"""select repo, cast({part} as bigint) as part, {place} as place, concat(case when {place} = 1 then '' else ',' end, {json}) as line from {relation}"""
 
 
 DEP_DOC = f"{ctes('requirement_lines')}, {REQUIREMENTS}, {COMPONENTS}, repos as (select distinct repo from deps)"
 _ORDER = "place, package, version"
 ORACLES["cyclonedx_export"] = f"""{DEP_DOC}
-select repo, cast(0 as bigint) as part, concat('{{"bomFormat":"CycloneDX","specVersion":"1.5","serialNumber":"urn:uuid:', {SERIAL},
+select repo, cast(0 as bigint) as part, cast(1 as bigint) as place, concat('{{"bomFormat":"CycloneDX","specVersion":"1.5","serialNumber":"urn:uuid:', {SERIAL},
  '","version":1,"metadata":{{"timestamp":"{STAMP}","tools":{{"components":[{{"type":"application","name":"auditlake","version":"0.1.0"}}]}},"component":{{"type":"application","name":"', repo, '"}}}},"components":[') as line from repos
 union all {elements('components', 1, "concat('{\"type\":\"library\",\"name\":\"', package, '\",\"version\":\"', version, '\",\"purl\":\"', purl, '\"}')", _ORDER)}
-union all select repo, 2, ']}}' from repos"""
+union all select repo, 2, 1, ']}}' from repos"""
 _SPDX_ID = "replace(replace(replace(concat('SPDXRef-Package-', package, '-', version), '@', '-'), '/', '-'), '_', '-')"
 _NONE = "NOASSERTION"
 _PACKAGE_JSON = f"""concat('{{"name":"', package, '","SPDXID":"', {_SPDX_ID}, '","versionInfo":"', version, '","downloadLocation":"{_NONE}","filesAnalyzed":false,"licenseConcluded":"{_NONE}","licenseDeclared":"{_NONE}","copyrightText":"{_NONE}","externalRefs":[{{"referenceCategory":"PACKAGE-MANAGER","referenceType":"purl","referenceLocator":"', purl, '"}}]}}')"""
 _RELATION_JSON = f"""concat('{{"spdxElementId":"SPDXRef-DOCUMENT","relatedSpdxElement":"', {_SPDX_ID}, '","relationshipType":"DESCRIBES"}}')"""
 ORACLES["spdx_export"] = f"""{DEP_DOC}
-select repo, cast(0 as bigint) as part, concat('{{"spdxVersion":"SPDX-2.3","dataLicense":"CC0-1.0","SPDXID":"SPDXRef-DOCUMENT","name":"', repo,
+select repo, cast(0 as bigint) as part, cast(1 as bigint) as place, concat('{{"spdxVersion":"SPDX-2.3","dataLicense":"CC0-1.0","SPDXID":"SPDXRef-DOCUMENT","name":"', repo,
  '","documentNamespace":"https://spdx.org/spdxdocs/', repo, '-', {SERIAL}, '","creationInfo":{{"created":"{STAMP}","creators":["Tool: auditlake-0.1.0"]}},"packages":[') as line from repos
 union all {elements('components', 1, _PACKAGE_JSON, _ORDER)}
-union all select repo, 2, '],"relationships":[' from repos
+union all select repo, 2, 1, '],"relationships":[' from repos
 union all {elements('components', 3, _RELATION_JSON, _ORDER)}
-union all select repo, 4, ']}}' from repos"""
+union all select repo, 4, 1, ']}}' from repos"""
 _LEVEL = "case when lower(coalesce(severity, 'medium')) in ('critical', 'high') then 'error' when lower(severity) = 'low' then 'note' else 'warning' end"
 SARIF = f"""{FINDINGS}, {CWE_DIM},
  results as (select ord, repo, rule as rule_id, {_LEVEL} as level, description as message, concat(repo, '/', file) as uri,
@@ -639,11 +650,11 @@ ORACLES["sarif_results"] = f"{SARIF} select ord, repo, rule_id, level, message,
 _RULE_JSON = """concat('{"id":"', rule_id, '","name":"', name, '","shortDescription":{"text":"', short_description, '"},"fullDescription":{"text":"', full_description, '"},"helpUri":"', help_uri, '"}')"""
 _RESULT_JSON = """concat('{"ruleId":"', rule_id, '","level":"', level, '","message":{"text":"', message, '"},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"', uri, '"},"region":{"startLine":', start_line, ',"endLine":', start_line, '}}}]}')"""
 ORACLES["sarif_export"] = f"""{SARIF}, repos as (select distinct repo from findings)
-select repo, cast(0 as bigint) as part, '{{"$schema":"https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemas/sarif-schema-2.1.0.json","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"auditlake","semanticVersion":"1.0.0","rules":[' as line from repos
+select repo, cast(0 as bigint) as part, cast(1 as bigint) as place, '{{"$schema":"https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemas/sarif-schema-2.1.0.json","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"auditlake","semanticVersion":"1.0.0","rules":[' as line from repos
 union all {elements('rules', 1, _RULE_JSON, 'ord')}
-union all select repo, 2, ']}}}},"results":[' from repos
+union all select repo, 2, 1, ']}}}},"results":[' from repos
 union all {elements('results', 3, _RESULT_JSON, 'ord')}
-union all select repo, 4, ']}}]}}' from repos"""
+union all select repo, 4, 1, ']}}]}}' from repos"""
 _FINDING_JSON = """concat('{"file":"', repo, '/', file, '",', case when line is null then '' else concat('"line":', line, ',') end, '"cwe":"', cwe, '","rule":"', rule, '","severity":"', severity, '","description":"', description, '"}')"""
 ORACLES["report_export"] = f"""{FINDINGS}
 select line, repo from (select concat('{{"source_path":"', repo, '","summary":{{"finding_count":', count(*), '}},"findings":[') as line, repo from findings group by repo

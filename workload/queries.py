@@ -549,6 +549,21 @@ def patch_apply(spark, sf_dir):
     return changed.select("repo", "path", "size", "content")
 
 
+def _line_patches(spark, sf_dir):
+    return patch.patch_apply(load(spark, sf_dir, "patched_files"), load(spark, sf_dir, "line_patches"))
+
+
+@query
+def patch_lines(spark, sf_dir):
+    """Many patches of one file."""
+    return _line_patches(spark, sf_dir)[0].select("repo", "path", "size", "content")
+
+
+@query
+def patch_lines_status(spark, sf_dir):
+    return _line_patches(spark, sf_dir)[1].select("repo", "file", "ord", "status")
+
+
 @query
 def patch_status(spark, sf_dir):
     _, statuses = patch.patch_apply(load(spark, sf_dir, "docker_files"), load(spark, sf_dir, "patches"))
@@ -714,7 +729,9 @@ def _repos(df: DataFrame) -> DataFrame:
 
 
 def _lines_out(lines: DataFrame) -> DataFrame:
-    return lines.select("repo", F.col("part").cast("bigint").alias("part"), "line")
+    """Lines with their place in the part."""
+    place = F.row_number().over(Window.partitionBy("repo", "part").orderBy("ord", "tie"))
+    return lines.select("repo", F.col("part").cast("bigint").alias("part"), place.cast("bigint").alias("place"), "line")
 
 
 @query

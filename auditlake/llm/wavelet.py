@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -12,6 +13,18 @@ MAGIC = b"WVM1"
 #: Bits of a block, the unit of compression and of the rank directory.
 BLOCK_BITS = 1 << 15
 _BLOCK = BLOCK_BITS // 8
+#: Tokens moved at a time, so that their places stay in the processor's cache.
+_STRIDE = 1 << 16
+
+
+def _strides(bit: np.ndarray, zeros: int) -> Iterator[tuple[slice, np.ndarray, slice, np.ndarray, slice]]:
+    """For each stride of a plane: its positions, those of its zeros (in it) and their range below, and of its ones."""
+    low, high = 0, zeros
+    for at in range(0, len(bit), _STRIDE):
+        own = slice(at, at + _STRIDE)
+        unset, at_one = np.flatnonzero(~bit[own]), np.flatnonzero(bit[own])
+        yield own, unset, slice(low, low + len(unset)), at_one, slice(high, high + len(at_one))
+        low, high = low + len(unset), high + len(at_one)
 
 
 def write(doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray, tokens: np.ndarray) -> bytes:
@@ -51,8 +64,12 @@ def write(doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray, tokens: n
         add(pack(ends.astype("<u8").tobytes()))
         add(pack((np.cumsum(ones) - ones).astype("<u8").tobytes()))
         add(b"".join(blocks))
-        header["zeros"].append(int(len(now) - ones.sum()))
-        now = np.concatenate([now[np.flatnonzero(~bit)], now[np.flatnonzero(bit)]])  # quicker than masks
+        zeros = int(len(now) - ones.sum())
+        header["zeros"].append(zeros)
+        below = np.empty_like(now)
+        for own, unset, low, at_one, high in _strides(bit, zeros):
+            below[low], below[high] = now[own][unset], now[own][at_one]
+        now = below
     head = json.dumps(header).encode()
     return b"".join([MAGIC, len(head).to_bytes(4, "little"), head, *sections])
 
@@ -158,9 +175,10 @@ class WaveletMatrix:
             ends, _ = self.directory(plane)
             raw = b"".join(self._block(plane, k).tobytes() for k in range(len(ends)))
             bit = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little", count=self.length).view(bool)
-            zeros = self.zeros[plane]
+            value = kind(1 << (self.depth - 1 - plane))
             back = np.empty(self.length, kind)
-            back[np.flatnonzero(~bit)] = now[:zeros]
-            back[np.flatnonzero(bit)] = now[zeros:] | kind(1 << (self.depth - 1 - plane))
+            for own, unset, low, at_one, high in _strides(bit, self.zeros[plane]):
+                part = back[own]
+                part[unset], part[at_one] = now[low], now[high] | value
             now = back
         return now.astype("<u4")

@@ -1,12 +1,14 @@
 """Applying code patches to a table of files. The result is new rows; nothing is changed in place."""
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import RARE_BREAKS, contains_any, once, split_lines, strip
-from auditlake.skew import lookup_join
+from auditlake.skew import lookup_join, shuffled
 from auditlake.workspace import stored
 
 PATCHES_PER_ROUND = 1000
@@ -73,49 +75,63 @@ def _merge(content: Column, edits: Column) -> Column:
 def _line_hits(placed: DataFrame, current: DataFrame) -> DataFrame:
     """Whether each patch finds its line, if only single lines were replaced before it.
 
-    Then line numbers stay and the patches of one line depend on each other only: each line has its own chain.
+    Then line numbers stay and the patches of one line depend on each other only: each line has its own chain. A chain
+    of any length passes sorted through one task, which holds the line as the last patch has left it.
     """
-
-    def step(state: Column, patch: Column) -> Column:
-        hit = _line_fits(state["text"], F.coalesce(patch["original_code"], F.lit("")))
-        return F.struct(
-            F.when(hit, patch["new_code"]).otherwise(state["text"]).alias("text"),
-            F.concat(state["hits"], F.array(hit)).alias("hits"),
-        )
-
-    chains = placed.groupBy(*FILE, "line").agg(F.array_sort(F.collect_list(F.struct(*KEY))).alias("chain"))
-    texts = current.select(*FILE, F.posexplode(split_lines(F.col("content"))).alias("pos", "text")).withColumn(
-        "line", F.col("pos") + 1
+    wanted = placed.groupBy(*FILE).agg(F.collect_set("line").alias("lines"))
+    texts = current.select(*FILE, "content").join(shuffled(wanted), FILE).select(
+        *FILE,
+        F.inline(
+            once(
+                split_lines(F.col("content")),
+                lambda text: F.transform("lines", lambda n: F.struct(n.alias("line"), strip(F.get(text, n - 1)).alias("bare"))),
+            )
+        ),
     )
-    start = F.struct(F.col("text"), F.array().cast("array<boolean>").alias("hits"))
-    hits = F.aggregate("chain", start, step)["hits"]
-    return (
-        chains.join(texts, [*FILE, "line"])
-        .select(*FILE, F.explode(F.arrays_zip("chain", hits.alias("hit"))).alias("r"))
-        .select(*FILE, "r.chain.*", F.col("r.hit").alias("hit"))
+    original = F.coalesce(F.col("original_code"), F.lit(""))
+    steps = placed.select(
+        *FILE, *KEY, strip(F.col("new_code")).alias("bare"), F.when(original != "", strip(original)).alias("wanted"), F.lit(True).alias("patch")
     )
-
-
-def _judge(pending: DataFrame, current: DataFrame, per_round: int) -> DataFrame:
+    chains = texts.withColumn("patch", F.lit(False)).unionByName(steps, allowMissingColumns=True)
+    chains = chains.withColumns({"bare": F.col("bare").cast("binary"), "wanted": F.col("wanted").cast("binary")})
+    sorted_chains = chains.repartition(*FILE, "line").sortWithinPartitions(*FILE, "line", "patch", *KEY)
+    fields = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
+    schema = ", ".join(f"{c} {fields[c]}" for c in [*FILE, *KEY]) + ", hit boolean"
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        present, begun = [], False  # the line, in each row of its file
+        for batch in batches:
+            taken, hits = [], []
+            for i, (bare, wanted, patch) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bare", "wanted", "patch")))):
+                if not patch:
+                    present, begun = [*present, bare] if begun else [bare], True
+                    continue
+                begun = False
+                for k, text in enumerate(present):
+                    hit = wanted is None or wanted in text or text in wanted
+                    if hit:
+                        present[k] = bare
+                    taken.append(i)
+                    hits.append(hit)
+            rows = batch.select([*FILE, *KEY]).take(pa.array(taken, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(hits, pa.bool_())], [*FILE, *KEY, "hit"])
+
+    return sorted_chains.select(*FILE, *KEY, "bare", "wanted", "patch").mapInArrow(follow, schema)
+
+
+def _judge(pending: DataFrame, current: DataFrame) -> DataFrame:
     """Pending patches with hit, status and whether they are settled.
 
     A file's patches are settled up to the first one that needs the whole text: its line does not fit and it names
-    a text, or its line is patched more often than one round takes. A patch that puts several lines in place of one
-    is settled itself and stops those after it, whose line numbers it moves.
+    a text. A patch that puts several lines in place of one is settled itself and stops those after it, whose line
+    numbers it moves.
     """
-    placed = lookup_join(pending, current.select(*FILE, "n_lines"), FILE, KEY)
+    placed = lookup_join(pending, shuffled(current.select(*FILE, "n_lines")), FILE, KEY)
     on_line = F.coalesce(F.col("new_code").isNotNull() & F.col("line").between(1, F.col("n_lines")), F.lit(False))
-    in_line = Window.partitionBy(*FILE, "line").orderBy(*KEY)
     near, far = placed.filter(on_line), placed.filter(~on_line)
-    near = near.withColumn("late", F.row_number().over(in_line) > per_round)
-    beyond = near.filter("late").unionByName(far.withColumn("late", F.lit(False)))
-    outcomes = (
-        _line_hits(near.filter("NOT late"), current)
-        .withColumns({"late": F.lit(False), "n_lines": F.lit(0)})
-        .unionByName(beyond.withColumn("hit", F.lit(False)))
-    )
+    outcomes = _line_hits(near, current).withColumn("n_lines", F.lit(0)).unionByName(far.withColumn("hit", F.lit(False)))
     names_text = F.coalesce(F.col("original_code"), F.lit("")) != ""
-    needs_text = F.col("late") | (names_text & F.col("new_code").isNotNull() & F.col("n_lines").isNotNull())
+    needs_text = names_text & F.col("new_code").isNotNull() & F.col("n_lines").isNotNull()
     several = contains_any(F.col("new_code"), ["\n", *RARE_BREAKS])
     outcomes = stored(
         outcomes.select(
@@ -129,7 +145,7 @@ def _judge(pending: DataFrame, current: DataFrame, per_round: int) -> DataFrame:
     key = F.struct(*KEY)
     stops = outcomes.filter("stop IS NOT NULL").groupBy(*FILE).agg(F.min(F.struct(key.alias("key"), "stop")).alias("s"))
     settled = F.col("s").isNull() | (key < F.col("s.key")) | ((key == F.col("s.key")) & (F.col("s.stop") == 1))
-    return lookup_join(outcomes, stops, FILE, KEY).select(
+    return lookup_join(outcomes, shuffled(stops), FILE, KEY).select(
         *FILE, *KEY, "hit", F.when(F.col("hit"), "line").otherwise("failed").alias("status"), settled.alias("settled")
     )
 
@@ -165,11 +181,11 @@ def patch_apply(
     in_file = Window.partitionBy(*FILE).orderBy(*KEY)
     pending = patches.select(*FILE, *KEY[:-1]).withColumn("copy", F.row_number().over(copies))
     texts = files.select("repo", F.col("path").alias("file"), "content").filter("content IS NOT NULL")
-    touched = texts.join(patches.select(*FILE).distinct(), FILE, "left_semi")
+    touched = texts.join(shuffled(patches.select(*FILE).distinct()), FILE, "left_semi")
     current = stored(_with_lines(touched.withColumn("changed", F.lit(False))), "patch-files")
     results, statuses = [], []
     while True:
-        judged = stored(_judge(pending, current, patches_per_round), "patches-judged")
+        judged = stored(_judge(pending, current), "patches-judged")
         settled, rest = judged.filter("settled"), judged.filter("NOT settled").select(*FILE, *KEY)
         last = F.struct(*KEY)
         edits = settled.filter("hit").groupBy(*FILE, "line").agg(F.max_by("new_code", last).alias("text"))
@@ -177,8 +193,8 @@ def patch_apply(
         rest = rest.withColumn("turn", F.row_number().over(in_file))
         following = rest.filter(F.col("turn") <= patches_per_round).groupBy(*FILE)
         following = following.agg(F.array_sort(F.collect_list(last)).alias("patches"))
-        merged = current.join(edits, FILE, "left").withColumn("content", _merge(F.col("content"), F.col("edits")))
-        folded = merged.join(following, FILE, "left").withColumn("state", _fold(F.col("content"), F.col("patches")))
+        merged = current.join(shuffled(edits), FILE, "left").withColumn("content", _merge(F.col("content"), F.col("edits")))
+        folded = merged.join(shuffled(following), FILE, "left").withColumn("state", _fold(F.col("content"), F.col("patches")))
         by_fold = F.coalesce(F.exists("state.statuses", lambda status: status != "failed"), F.lit(False))
         after = folded.select(
             *FILE,
@@ -191,9 +207,9 @@ def patch_apply(
         statuses.append(after.select(*FILE, F.inline("done")))
         left = stored(rest.filter(F.col("turn") > patches_per_round).drop("turn"), "patches-left")
         waiting = left.select(*FILE).distinct()
-        results.append(after.filter("changed").join(waiting, FILE, "left_anti"))
+        results.append(after.filter("changed").join(shuffled(waiting), FILE, "left_anti"))
         if left.isEmpty():
             break
-        pending, current = left, after.drop("done").join(waiting, FILE, "left_semi")
+        pending, current = left, after.drop("done").join(shuffled(waiting), FILE, "left_semi")
     every = [reduce(DataFrame.unionByName, parts) for parts in (results, statuses)]
     return _file_rows(every[0]), every[1]

@@ -235,6 +235,39 @@ def test_five_thousand_line_patches_of_one_file_are_one_pass(spark, monkeypatch)
     assert [r.status for r in status.orderBy("ord").collect()] == statuses
 
 
+def test_any_number_of_patches_of_one_line_is_one_pass(spark, monkeypatch):
+    text = "a\nline\nb\n"
+    rows = [(k, 2, ["line", "", "a", None, "new 7"][k * 3 % 5], f"new {k}") for k in range(40)]
+    rows = [r for r in rows if r[2] != "a"]
+    files = spark.createDataFrame([("r", "f", 1, text)], FILES)
+    written, keep = [], patch.stored
+    monkeypatch.setattr(patch, "stored", lambda df, label: written.append(label) or keep(df, label))
+    always = [(k, line, "" if original == "new 7" else original, new.replace("new", "line")) for k, line, original, new in rows]
+    changed, status = patch.patch_apply(files, spark.createDataFrame([("r", "f", *row) for row in always], PATCHES), 3)
+    assert written.count("patches-judged") == 1
+    want, statuses = _in_turn(text, always)
+    assert [r.content for r in changed.collect()] == [want]
+    assert [r.status for r in status.orderBy("ord").collect()] == statuses
+    want, statuses = _in_turn(text, rows)
+    changed, status = patch.patch_apply(files, spark.createDataFrame([("r", "f", *row) for row in rows], PATCHES), 3)
+    assert [r.status for r in status.orderBy("ord").collect()] == statuses and [r.content for r in changed.collect()] == [want]
+
+
+def test_patches_broadcast_nothing(spark, monkeypatch):
+    plans, keep = [], patch.stored
+
+    def planned(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, label)
+
+    monkeypatch.setattr(patch, "stored", planned)
+    files = spark.createDataFrame([("r", f"f{k}", 1, "a\nb\n") for k in range(4)], FILES)
+    patches = spark.createDataFrame([("r", f"f{k}", k, 1 + k % 3, "b", "c") for k in range(4)], PATCHES)
+    for part in patch.patch_apply(files, patches, 1):
+        planned(part, "out")
+    assert plans and not any("Broadcast" in plan for plan in plans)
+
+
 def test_patches_of_no_file_and_no_patches(spark):
     files = spark.createDataFrame([("r", "f", 1, "a"), ("r", "g", 1, None)], FILES)
     changed, status = patch.patch_apply(files, spark.createDataFrame([], PATCHES))

@@ -10,6 +10,7 @@ from auditlake import schemas
 from auditlake.operators import context, corpus, findings, iac, secrets
 from auditlake.operators.history import latest_scan
 from auditlake.plans import audit
+from auditlake.operators.sca import sca_match
 from auditlake.operators.scoring import gate, severity_counts
 from auditlake.rules.vuln_db import vuln_db
 from auditlake.rules.weaknesses import cwe_dim, guidance
@@ -267,3 +268,59 @@ def test_audit_of_policies_and_reports(spark, tmp_path):
     assert {r.repo for r in result.dependencies.collect()} == {"on", "only"}
     assert [r.path for r in result.warnings.collect()] == ["big.py"]
     assert {r.repo: r.skipped_files for r in result.summary.collect()} == {"off": 0, "on": 1, "only": 0}
+
+
+def in_parts(spark, tmp_path, name, rows):
+    """A table of eight files, read in several parts."""
+    path = tmp_path / f"{name}.parquet"
+    rows.repartition(8).write.parquet(str(path))
+    return spark.read.parquet(str(path)).rdd.getNumPartitions()
+
+
+def test_a_stream_of_a_table_has_three_batches_of_many_files(spark, tmp_path, monkeypatch):
+    rows = spark.range(400).select(F.col("id").alias("event_id"))
+    parts = in_parts(spark, tmp_path, "events", rows)
+    written = tmp_path / "written"
+    monkeypatch.setattr(Q, "fresh_path", lambda spark, label: str(written))
+    stream = Q._stream(spark, str(tmp_path), "events")
+    assert parts > 1 and len(list(written.glob("*.parquet"))) == 3 * parts
+    batches = []
+    run = stream.writeStream.foreachBatch(lambda batch, k: batches.append({r[0] for r in batch.collect()}))
+    run.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert len(batches) == 3 and sorted(x for b in batches for x in b) == list(range(400))
+
+
+def test_changes_of_the_gate_are_written_in_parts(spark, tmp_path, small, monkeypatch):
+    parts = in_parts(spark, tmp_path, "documents", spark.read.parquet(f"{small}/documents.parquet"))
+    seen, keep = [], Q.stream_scan_job.start_stream_gate
+
+    def looked(*given, **named):
+        seen.append(len(list((tmp_path / "changes").glob("*.parquet"))))
+        return keep(*given, **named)
+
+    monkeypatch.setattr(Q, "fresh_path", lambda spark, label: str(tmp_path / label))
+    monkeypatch.setattr(Q, "_policies", lambda spark, d: spark.createDataFrame([], "repo string, fail_on array<string>, thresholds array<struct<sev:string,limit:int>>"))
+    monkeypatch.setattr(Q.stream_scan_job, "start_stream_gate", looked)
+    assert Q.stream_gate_changes(spark, str(tmp_path)).count() > 0
+    assert parts > 1 and len(seen) == 3 and seen[0] >= parts
+
+
+def test_buckets_follow_the_parts_of_the_table(spark, tmp_path, monkeypatch):
+    rows = spark.range(80).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("import requests").alias("text"), F.lit(15).alias("n_chars"))
+    parts = in_parts(spark, tmp_path, "documents", rows)
+    asked, keep = [], Q.store_corpus
+    monkeypatch.setattr(Q, "store_corpus", lambda files, buckets: asked.append(buckets) or keep(files, buckets))
+    assert Q._in_buckets(spark, str(tmp_path), "import_files", "documents").files().count() == 80
+    assert parts > 2 and asked == [4 * parts]
+
+
+def test_manifests_of_one_part_are_read_in_several(spark, small):
+    found = Q.QUERIES["deps_go_mod"](spark, small)
+    assert len(found.inputFiles()) > 1 and found.count() > 0
+
+
+def test_matched_versions_are_not_repeated_per_salt(spark):
+    deps = spark.createDataFrame([("r", "f", 1, "django", "1.0", 1)], "repo string, file string, line int, package string, version string, pos int")
+    table = spark.createDataFrame([("django", f"=={k % 2}.0", f"c{k}", "low", "") for k in range(20)], "package string, affected string, cve string, severity string, fix string")
+    hits = sca_match(deps, table)
+    assert hits.count() == 10 and "_salt" not in plan_of(hits) and "Broadcast" not in plan_of(hits)

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import slices, texts_of
+from auditlake.llm.common import running_totals, slices, stored, texts_of
+from auditlake.skew import shuffled
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
@@ -19,15 +21,22 @@ LEAST_WORDS = 50
 REPEAT_SHARE = 0.5
 WINDOW = 3
 
-#: Bounds of the labelled sample: documents of each quality, neighbouring lines of a document.
-SAMPLE = 1200
-SAMPLE_LINES = 64
+#: Lines of a sequence in training (a longer document is several, which share a line), sequences and lines of a step, steps that a task holds.
+PIECE, BATCH, BATCH_LINES, HOLD = 256, 512, 16384, 32
+#: Labelled documents of a training task.
+TASK = 16384
 ROUNDS, STEPS, RATE, PENALTY = 3, 80, 0.1, 1e-3
 #: The least content share is at most this; and what a good document rejected costs, in bad ones kept.
 MOST, GOOD_COST = 0.5, 20
 #: Every so many documents of each quality are held out to set it.
 HELD = 4
 
+#: Quality of a labelled document, features of its lines, words of its lines.
+Document = tuple[int, np.ndarray, np.ndarray]
+#: Features, labels and weight of a piece; weights of bad and good documents, which make both qualities count alike.
+Sequence = tuple[np.ndarray, np.ndarray, float]
+Shares = tuple[float, float]
+
 _NUMBER = re.compile(rb"[0-9]+")
 FEATURES = [
     "always", "length", "distinct", "symbols", "exclaims", "numbers", "upper", "ends", "seen", "word length", "blank", "address", "opens upper", "stutter",
@@ -112,8 +121,8 @@ def content_share(labels: np.ndarray, words: np.ndarray) -> float:
     return float(words[labels == 0].sum() / total) if total else 0.0
 
 
-def _gradient(p: list[np.ndarray], x: np.ndarray, mask: np.ndarray, gold: np.ndarray) -> list[np.ndarray]:
-    """Gradient of the mean log likelihood of gold labels, by forward and backward sums over padded sequences."""
+def _gradient(p: list[np.ndarray], x: np.ndarray, mask: np.ndarray, gold: np.ndarray, share: np.ndarray) -> list[np.ndarray]:
+    """Gradient of the mean log likelihood of gold labels, by forward and backward sums over padded sequences with a weight each."""
     weights, start, steps = p
     n, t, _ = x.shape
     emit = np.zeros((n, t, 2))
@@ -136,23 +145,86 @@ def _gradient(p: list[np.ndarray], x: np.ndarray, mask: np.ndarray, gold: np.nda
             e = np.exp(emit[:, k] - emit[:, k].max(axis=1, keepdims=True)) * beta
             joint = forward[:, k - 1, :, None] * scale * e[:, None, :]
             joint /= joint.sum(axis=(1, 2), keepdims=True)
-            pairs += joint[mask[:, k]].sum(axis=0)
+            pairs += (joint * share[:, None, None])[mask[:, k]].sum(axis=0)
             new = e @ scale.T
             beta = np.where(mask[:, k : k + 1], new / new.sum(axis=1, keepdims=True), beta)
     both = mask[:, 1:]
     seen = np.zeros((2, 2))
-    np.add.at(seen, (gold[:, :-1][both], gold[:, 1:][both]), 1)
-    first = np.bincount(gold[:, 0], minlength=2) - marginal[:, 0].sum(axis=0)
-    lines = ((gold - marginal[:, :, 1]) * mask)[:, :, None] * x
-    total = max(1, int((last + 1).sum()))
+    np.add.at(seen, (gold[:, :-1][both], gold[:, 1:][both]), np.broadcast_to(share[:, None], both.shape)[both])
+    first = np.bincount(gold[:, 0], share, minlength=2) - share @ marginal[:, 0]
+    lines = ((gold - marginal[:, :, 1]) * mask * share[:, None])[:, :, None] * x
+    total = share @ (last + 1)
     return [lines.sum(axis=(0, 1)) / total, first / total, (seen - pairs) / total]
 
 
-def train(documents: list[tuple[int, np.ndarray, np.ndarray]]) -> Field | None:
-    """Fit on (quality, features, words) of sampled documents. None if a quality is missing.
+def _sequences(field: Field, documents: Iterable[Document], relabel: bool, shares: Shares) -> Iterator[Sequence]:
+    """Features, labels and weights of pieces of up to PIECE lines; every line and every two neighbouring lines are in some piece.
+
+    Lines of good documents are content. Those of bad ones are boilerplate, or with ``relabel`` as the field decodes them and at
+    least the most suspicious one.
+    """
+    for quality, features, _ in documents:
+        gold = np.full(len(features), 1 - quality, np.int64)
+        if relabel and not quality:
+            gold = field.decode(features)
+            gold[int((features @ field.weights).argmax())] = 1
+        for at in range(0, max(1, len(features) - 1), PIECE - 1):
+            yield features[at : at + PIECE], gold[at : at + PIECE], shares[quality]
+
+
+def _batches(sequences: Iterator[Sequence]) -> Iterator[list[Sequence]]:
+    held, lines = [], 0
+    for piece in sequences:
+        held.append(piece)
+        lines += len(piece[0])
+        if len(held) >= BATCH or lines >= BATCH_LINES:
+            yield held
+            held, lines = [], 0
+    if held:
+        yield held
+
+
+def _padded(batch: list[Sequence]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    t = max(len(f) for f, _, _ in batch)
+    x, mask = np.zeros((len(batch), t, len(FEATURES))), np.zeros((len(batch), t), bool)
+    gold = np.zeros((len(batch), t), np.int64)
+    for k, (features, labels, _) in enumerate(batch):
+        x[k, : len(features)], mask[k, : len(features)], gold[k, : len(labels)] = features, True, labels
+    return x, mask, gold, np.array([share for _, _, share in batch])
+
+
+def improve(field: Field, documents: Iterable[Document], relabel: bool, shares: Shares) -> tuple[Field, int]:
+    """The field after steps over all documents, and their lines. HOLD batches are held at a time and passed until STEPS steps are done, once at least."""
+    p = [field.weights.copy(), field.start.copy(), field.steps.copy()]
+    first, second = [np.zeros_like(w) for w in p], [np.zeros_like(w) for w in p]
+    step = lines = 0
+    batches = _batches(_sequences(field, documents, relabel, shares))
+    while held := list(islice(batches, HOLD)):
+        lines += sum(len(f) for batch in held for f, _, _ in batch)
+        for _ in range(-(-STEPS // len(held))):
+            for batch in held:
+                step += 1
+                for w, g, m, v in zip(p, _gradient(p, *_padded(batch)), first, second):
+                    g = g - PENALTY * w
+                    m += 0.1 * (g - m)
+                    v += 0.01 * (g * g - v)
+                    w += RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return Field(*p), lines
+
+
+def _shares(bad: int, good: int) -> Shares:
+    return (bad + good) / (2 * bad), (bad + good) / (2 * good)
+
+
+def _untrained() -> Field:
+    return Field(np.zeros(len(FEATURES)), np.zeros(2), np.zeros((2, 2)))
+
+
+def train(documents: list[Document]) -> Field | None:
+    """Fit on a list of (quality, features, words), as ``fit`` does on a table. None if a quality is missing.
 
     Only documents are labelled, not lines. All lines of good documents are content. Lines of bad ones start as
-    boilerplate; after each fit their labels are decoded anew, and a bad document keeps at least its most suspicious line.
+    boilerplate; after each round their labels are decoded anew, and a bad document keeps at least its most suspicious line.
     Every HELD-th document of each quality is held out and sets the least content share (``set_limit``); with fewer documents
     all are used for both.
     """
@@ -165,26 +237,11 @@ def train(documents: list[tuple[int, np.ndarray, np.ndarray]]) -> Field | None:
         documents = [d for q in (0, 1) for k, d in enumerate(x for x in whole if x[0] == q) if k % HELD != HELD - 1]
     else:
         held = documents
-    t = max(len(f) for _, f, _ in documents)
-    x, mask = np.zeros((len(documents), t, len(FEATURES))), np.zeros((len(documents), t), bool)
-    gold = np.zeros((len(documents), t), np.int64)
-    for k, (quality, features, _) in enumerate(documents):
-        x[k, : len(features)], mask[k, : len(features)] = features, True
-        gold[k, : len(features)] = 1 - quality
-    p = [np.zeros(len(FEATURES)), np.zeros(2), np.zeros((2, 2))]
-    field = Field(*p)
-    for _ in range(ROUNDS):
-        first, second = [np.zeros_like(w) for w in p], [np.zeros_like(w) for w in p]
-        for step in range(1, STEPS + 1):
-            for w, g, m, v in zip(p, _gradient(p, x, mask, gold), first, second):
-                g = g - PENALTY * w
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                w += RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        for k, (quality, features, _) in enumerate(documents):
-            if not quality:
-                gold[k, : len(features)] = field.decode(features)
-                gold[k, int((features @ p[0]).argmax())] = 1
+    # Qualities by turns, so that every step sees both.
+    documents = [documents[k] for k in np.random.default_rng(1).permutation(len(documents))]
+    field, good = _untrained(), sum(q for q, _, _ in documents)
+    for k in range(ROUNDS):
+        field, _ = improve(field, documents, k > 0, _shares(len(documents) - good, good))
     set_limit(field, [(q, content_share(field.decode(f), w)) for q, f, w in held if w.sum() >= LEAST_WORDS])
     return field
 
@@ -204,37 +261,100 @@ def set_limit(field: Field, shares: list[tuple[int, float]]) -> None:
     field.least, field.good_kept, field.bad_rejected = float(limits[best]), 1 - float(lost[best]), float(caught[best])
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """Features of a bounded sample of labelled documents: SAMPLE of each quality by a hash of doc_id, SAMPLE_LINES lines of each.
-
-    Documents with several labels or an unknown one are left out.
+def table_limit(field: Field, shares: DataFrame) -> None:
+    """``set_limit`` over a table (quality, share): shares are counted, sorted in ranges and summed up by them."""
+    counted = shares.groupBy("share").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
+    counted = stored(counted, "content-shares")
+    below = F.col("share") < MOST
+    total = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in [
+        ("good", F.col("good")), ("bad", F.col("bad")), ("lost", F.when(below, F.col("good"))), ("caught", F.when(below, F.col("bad"))),
+    ]]).first()
+    if not total.good:
+        return
+    n_bad = total.bad or 1  # without bad documents none is caught
+    at = F.struct(F.col("good_before").alias("lost"), F.col("bad_before").alias("caught"), F.lit(0).alias("after"))
+    after = F.struct((F.col("good_before") + F.col("good")).alias("lost"), (F.col("bad_before") + F.col("bad")).alias("caught"), F.lit(1).alias("after"))
+    both = F.when((F.col("bad") > 0) & below, F.array(at, after)).otherwise(F.array(at))
+    limits = running_totals(counted, ["share"], ["good", "bad"]).where(F.col("share") <= MOST).select("share", F.explode(both).alias("x"))
+    score = F.col("x.caught") / F.lit(float(n_bad)) - GOOD_COST * (F.col("x.lost") / F.lit(float(total.good)))
+    best = limits.agg(F.max(F.struct(score.alias("score"), "share", "x.after", "x.lost", "x.caught")).alias("best")).first().best
+    found = [(0.0, 0, 0), (MOST, total.lost, total.caught)]
+    if best is not None:
+        found.append((float(np.nextafter(best.share, 1)) if best.after else best.share, best.lost, best.caught))
+    least, lost, caught = max(found, key=lambda x: (x[2] / n_bad - GOOD_COST * (x[1] / total.good), x[0]))
+    field.least, field.good_kept, field.bad_rejected = least, 1 - lost / total.good, caught / n_bad
+
+
+def _documents(batches: Iterable[pa.RecordBatch]) -> Iterator[Document]:
+    for batch in slices(batches):
+        for quality, features, words in zip(*(batch.column(c).to_pylist() for c in ("quality", "features", "words"))):
+            yield quality, np.frombuffer(features, np.float32).reshape(-1, len(FEATURES)), np.frombuffer(words, np.int64)
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Quality, features and words of every labelled document, all lines, and whether it is held out; stored in hash order.
+
+    Documents with several labels or an unknown one are left out; repeated documents give one row. Texts are not shuffled.
     """
     clear = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("high"))
-    clear = clear.where("quality = high").select("doc_id", "quality")
-    drawn = None
-    for quality in (0, 1):
-        own = clear.where(F.col("quality") == quality).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-        drawn = own if drawn is None else drawn.unionByName(own)
+    clear = clear.where("quality = high").select(F.col("doc_id").cast("long"), F.col("quality").cast("long"))
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))):
-                features, words, _ = line_features(text.encode("utf-8", "replace").split(b"\n"))
-                at = doc_id * 7919 % max(1, len(words) - SAMPLE_LINES + 1)
-                found.append((features[at : at + SAMPLE_LINES].tobytes(), words[at : at + SAMPLE_LINES].tobytes()))
+            found = [line_features(text.encode("utf-8", "replace").split(b"\n")) for text in texts_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("quality"), pa.array([f for f, _ in found], pa.binary()), pa.array([w for _, w in found], pa.binary())],
-                ["doc_id", "quality", "features", "words"],
+                [batch.column("doc_id"), pa.array([f.tobytes() for f, _, _ in found], pa.binary()), pa.array([w.tobytes() for _, w, _ in found], pa.binary())],
+                ["doc_id", "features", "words"],
             )
 
-    # 2 x SAMPLE rows at most: a broadcast of proven size.
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(drawn), "doc_id").select("doc_id", F.col("quality").cast("long"), "text")
-    # Repeated documents give one row.
-    got = rows.mapInArrow(reduce, "doc_id long, quality long, features binary, words binary").groupBy("doc_id").agg(
-        F.min(F.struct("quality", "features", "words")).alias("x")
-    ).orderBy("doc_id").select("x.*").collect()
-    return [(r["quality"], np.frombuffer(r["features"], np.float32).reshape(-1, len(FEATURES)), np.frombuffer(r["words"], np.int64)) for r in got]
+    rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(reduce, "doc_id long, features binary, words binary")
+    rows = rows.join(shuffled(clear), "doc_id").groupBy("doc_id").agg(F.min(F.struct("quality", "features", "words")).alias("x"))
+    order, tasks = F.xxhash64("doc_id"), max(1, -(-clear.count() // TASK))
+    held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(HELD)) == 0
+    rows = rows.repartition(tasks, order).sortWithinPartitions(order, "doc_id")
+    return stored(rows.select("x.*", held.alias("held")), "labelled-lines")
+
+
+def fit(rows: DataFrame) -> Field | None:
+    """Train on all rows of ``labelled``. None if a quality is missing.
+
+    In each round every task improves the field over its own documents (``improve``), and the mean of the tasks' weights, by their
+    lines, starts the next round. The documents held out, a HELD-th of them, set the least content share; if they lack a quality
+    all are used for both.
+    """
+    counts = {(r.quality, r.held): r["count"] for r in rows.groupBy("quality", "held").count().collect()}
+    if len({q for q, _ in counts}) < 2:
+        return None
+    learnt, held = rows.where("not held"), rows.where("held")
+    if len(counts) < 4:
+        learnt = held = rows
+    field, shares = _untrained(), _shares(*[sum(n for (q, h), n in counts.items() if q == k and (len(counts) < 4 or not h)) for k in (0, 1)])
+    for k in range(ROUNDS):
+        parts = learnt.mapInArrow(_improving(field, k > 0, shares), "lines long, weights array<double>").collect()
+        total = sum(r.lines for r in parts)
+        p = np.sum([np.array(r.weights) * (r.lines / total) for r in parts], axis=0)
+        field = Field(p[: len(FEATURES)], p[len(FEATURES) :][:2], p[len(FEATURES) + 2 :].reshape(2, 2))
+    table_limit(field, held.mapInArrow(_sharing(field), "quality long, share double"))
+    return field
+
+
+def _improving(field: Field, relabel: bool, shares: Shares):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new, lines = improve(field, _documents(batches), relabel, shares)
+        if lines:
+            weights = np.concatenate([new.weights, new.start, new.steps.ravel()]).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([lines], pa.int64()), pa.array([weights], pa.list_(pa.float64()))], ["lines", "weights"])
+
+    return run
+
+
+def _sharing(field: Field):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [(q, content_share(field.decode(f), w)) for q, f, w in _documents([batch]) if w.sum() >= LEAST_WORDS]
+            yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in found], pa.int64()), pa.array([x for _, x in found], pa.float64())], ["quality", "share"])
+
+    return run
 
 
 _RATED = (
@@ -291,5 +411,5 @@ def line_labels(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``rated`` with a field trained on labelled documents (labels: doc_id, quality 0 or 1)."""
-    return rated(docs, train(sample(docs, labels)))
+    """``rated`` with a field trained on all labelled documents (labels: doc_id, quality 0 or 1)."""
+    return rated(docs, fit(labelled(docs, labels)))

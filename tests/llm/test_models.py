@@ -12,7 +12,7 @@ import xxhash
 from auditlake.llm import language_id, simhash
 from auditlake.llm.common import stored
 from auditlake.llm.language_id import RIDGE, Scorer, fewer, fit, grams, languages, sample, with_language
-from auditlake.llm.quality import FEATURES, Field, line_features, line_labels, quality, rated, set_limit, train
+from auditlake.llm.quality import FEATURES, Field, _batches, _sequences, improve, labelled, line_features, line_labels, quality, rated, set_limit, table_limit, train
 from auditlake.llm.secret_model import WINDOW, candidates, joined, secrets, windows
 from auditlake.llm.secret_model import train as train_network
 from auditlake.llm.simhash import connected, links, near_groups, one_of_each
@@ -310,6 +310,40 @@ def test_limit_stands_wrong_labels():
     assert field.least == 0.0
 
 
+def test_all_labelled_documents_and_lines_are_learnt(spark):
+    rows = spark.range(3000).selectExpr("id AS doc_id", "concat('Line one of ', id, repeat('\nand one more', cast(if(id = 7, 700, 69) as int))) AS text")
+    labels = spark.range(2900).selectExpr("id AS doc_id", "cast(id % 2 as int) AS quality")
+    found = labelled(rows.unionByName(rows.where("doc_id < 5")), labels).collect()
+    lines = [len(r.words) // 8 for r in found]
+    assert len(found) == 2900 and sorted(lines) == [70] * 2899 + [701] and sum(r.quality for r in found) == 1450
+    assert all(len(r.features) == 4 * len(FEATURES) * n for r, n in zip(found, lines)) and 400 < sum(r.held for r in found) < 1000
+
+
+def test_every_line_and_pair_is_in_a_sequence():
+    draw = np.random.default_rng(3)
+    field = Field(draw.normal(size=len(FEATURES)), draw.normal(size=2), draw.normal(size=(2, 2)))
+    for n in (1, 2, 255, 256, 257, 511, 512, 1000):
+        x = np.zeros((n, len(FEATURES)), np.float32)
+        x[:, 0] = np.arange(n)
+        pieces = [f[:, 0].astype(int).tolist() for f, _, _ in _sequences(field, [(0, x, np.ones(n))], True, (1.0, 1.0))]
+        assert {k for p in pieces for k in p} == set(range(n)) and max(map(len, pieces)) <= 256
+        assert {(a, b) for p in pieces for a, b in zip(p, p[1:])} == {(k, k + 1) for k in range(n - 1)}
+    many = [(k % 2, np.ones((40, len(FEATURES)), np.float32), np.ones(40)) for k in range(1500)]
+    assert sum(map(len, _batches(_sequences(field, many, False, (1.0, 1.0))))) == 1500
+    assert improve(field, many, False, (1.0, 1.0))[1] == 1500 * 40
+
+
+def test_limit_of_a_table(spark):
+    draw = random.Random(8)
+    for k in range(4):
+        shares = [(1, draw.choice([1.0, 0.9, 0.4, draw.random()])) for _ in range(200)] + [(0, draw.choice([0.0, 0.3, draw.random() / 2])) for _ in range(50 * k)]
+        shares = [(q, x if q or k < 2 else x / 9) for q, x in shares]
+        plain, field = (Field(np.zeros(len(FEATURES)), np.zeros(2), np.zeros((2, 2))) for _ in range(2))
+        set_limit(plain, shares)
+        table_limit(field, spark.createDataFrame(shares, "quality long, share double"))
+        assert (field.least, field.good_kept, field.bad_rejected) == pytest.approx((plain.least, plain.good_kept, plain.bad_rejected), abs=1e-12)
+
+
 def test_quality_without_rows(spark, none, docs):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality(none, labels).count() == 0

@@ -8,12 +8,15 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from auditlake.llm import language_id, simhash
 from auditlake.llm.common import stored
 from auditlake.llm.language_id import RIDGE, Scorer, fewer, fit, grams, languages, sample, with_language
 from auditlake.llm.quality import FEATURES, Field, _batches, _sequences, improve, labelled, line_features, line_labels, quality, rated, set_limit, table_limit, train
-from auditlake.llm.secret_model import WINDOW, candidates, joined, secrets, windows
+from auditlake.llm.secret_model import WINDOW, Network, candidates, examples, joined, scanned, secrets, windows
+from auditlake.llm.secret_model import improve as improve_network
+from auditlake.llm.secret_model import set_limit as set_network_limit
 from auditlake.llm.secret_model import train as train_network
 from auditlake.llm.simhash import connected, links, near_groups, one_of_each
 
@@ -410,6 +413,35 @@ def test_windows_cover_long_candidates():
     assert train_network(codes, np.ones(len(codes), bool)) is None
 
 
+def test_all_windows_are_learnt(spark, monkeypatch):
+    """More than 3,000 windows of a class, and every window of a long candidate."""
+    rows = spark.range(7000).selectExpr("id AS doc_id", "if(id % 2 = 0, concat('see token = ', sha2(string(id), 256)), concat('page-', id, '-of-the-book')) AS text")
+    long = spark.createDataFrame([(9000, "x " + "Plain-words." * 40)], "doc_id long, text string")
+    got = examples(scanned(rows.unionByName(rows).unionByName(long))).collect()
+    codes = {bytes(r.codes): r.base for r in got}
+    assert len(codes) == len(got) and sum(codes.values()) == 3500 and len(got) > 7000 and 1000 < sum(r.held for r in got) < 2500
+    (a, b, _), = candidates("x " + "Plain-words." * 40, [])
+    whole = windows("x " + "Plain-words." * 40, a, b)
+    assert len(whole) > 5 * WINDOW and all(codes[whole[k : k + WINDOW]] is False for k in range(0, len(whole), WINDOW))
+    monkeypatch.setattr("auditlake.llm.secret_model.HOLD", 100)
+    net = Network(np.zeros((5, 256, 24), np.float32), np.zeros(24, np.float32), np.ones(24, np.float32), 0.0)
+    _, total, seen = improve_network(net, [(np.full(WINDOW, 128 + k % 100, np.uint8), k % 2 == 0) for k in range(950)], (1.0, 1.0), 1)
+    assert total == 950 and seen.sum() == 100
+
+
+def test_limit_of_the_network_is_exact(spark):
+    draw = random.Random(5)
+    rows = [(draw.choice([1.0, draw.random()]), True) for _ in range(500)] + [(draw.random() ** 2, False) for _ in range(3000)]
+    net = Network(np.zeros((5, 256, 24), np.float32), np.zeros(24, np.float32), np.zeros(24, np.float32), 0.0)
+    set_network_limit(net, spark.createDataFrame(rows, "p double, base boolean").groupBy("p", "base").agg(F.count("*").alias("n")))
+    found = sorted(p for p, base in rows if base)
+    most = found[int(0.02 * 500)]
+    limit = (most + max(p for p, base in rows if not base and p < most)) / 2
+    passed = sum(p >= limit for p in found)
+    assert net.limit == limit and net.recall == passed / 500 >= 0.98
+    assert net.precision == passed / sum(p >= limit for p, _ in rows)
+
+
 def test_no_secrets(none, docs):
     assert secrets(none).count() == 0
     assert secrets(docs.where("doc_id < 3")).where("size(base) + size(added) > 0").count() == 0

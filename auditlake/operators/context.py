@@ -54,16 +54,17 @@ def source_lines(wanted: DataFrame, files: DataFrame | Corpus) -> DataFrame:
 def sink_lookup(findings: DataFrame, files: DataFrame | Corpus) -> DataFrame:
     """Add ``sink``, the text of the reported line ('' if there is none).
 
-    Scanners of this package already carry the line; only rows without one are looked up.
+    Scanners of this package already carry the line; only rows without one are looked up, and only they are shuffled.
     """
     base = findings if "sink" in findings.columns else findings.withColumn("sink", F.lit(None).cast("string"))
-    wanted = base.filter("sink IS NULL").select("repo", "file", "line")
-    found = source_lines(wanted, files)
-    return (
-        base.join(found, ["repo", "file", "line"], "left")
-        .withColumn("sink", F.coalesce(F.col("sink"), F.col("text"), F.lit("")))
+    asked = base.filter("sink IS NULL")
+    found = source_lines(asked.select("repo", "file", "line"), files)
+    looked = (
+        asked.join(found, ["repo", "file", "line"], "left")
+        .withColumn("sink", F.coalesce(F.col("text"), F.lit("")))
         .drop("text")
     )
+    return base.filter("sink IS NOT NULL").unionByName(looked).select(*looked.columns)
 
 
 def fingerprint(findings: DataFrame) -> DataFrame:
@@ -119,10 +120,13 @@ def package_mentions(
 
 
 def reachability(findings: DataFrame, files: DataFrame | Corpus) -> DataFrame:
-    """Add ``reachable``: a vulnerable package must be mentioned in code, all else is reachable."""
+    """Add ``reachable``: a vulnerable package must be mentioned in code, all else is reachable.
+
+    The mentions are written first: Spark then knows their size and does not shuffle all findings to meet a few of them.
+    """
     package = F.lower(F.coalesce(F.col("package"), F.lit("")))
     asked = (F.col("cwe") == "CWE-1104") & (package != "")
-    mentions = package_mentions(findings.filter(asked).select("repo", "package"), files)
+    mentions = stored(package_mentions(findings.filter(asked).select("repo", "package"), files), "package-mentions")
     keyed = findings.withColumn("_name", F.when(asked, package))
     marked = lookup_join(
         keyed,

@@ -139,6 +139,22 @@ def test_sink_of_missing_places(spark):
     assert got == {1: "one", 2: "two", 3: "", 4: "", 5: "", 6: ""}
 
 
+def test_only_findings_without_a_line_are_shuffled(spark, tmp_path):
+    """Those that carry their line, and those that meet few mentions, stay where they are."""
+    spark.createDataFrame([("r", "a.py", 9, "one\nimport x")], FILES).write.parquet(f"{tmp_path}/files")
+    rows = [(k, "r", "a.py", k, "CWE-1104", "x" if k % 2 else "y", None if k < 5 else f"own {k}") for k in range(300)]
+    schema = "ord int, repo string, file string, line int, cwe string, package string, sink string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/rows")
+    files, found = spark.read.parquet(f"{tmp_path}/files"), spark.read.parquet(f"{tmp_path}/rows")
+    located = context.sink_lookup(found, files)
+    plan = located._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "Filter isnotnull(sink" in plan and located.columns == ["repo", "file", "line", "ord", "cwe", "package", "sink"]
+    assert {r.ord: r.sink for r in located.collect()} == {0: "", 1: "one", 2: "import x", 3: "", 4: ""} | {k: f"own {k}" for k in range(5, 300)}
+    marked = context.reachability(found, files)
+    assert any("package-mentions" in f for f in marked.inputFiles())
+    assert {r.ord: r.reachable for r in marked.collect()} == {k: "YES" if k % 2 else "NO" for k in range(300)}
+
+
 def test_reachability_is_a_substring_test_in_code_of_the_same_repository(spark):
     files = spark.createDataFrame(
         [("r", "a.py", 1, "import MyLodashX"), ("r", "b.txt", 1, "django"), ("s", "node_modules/b.js", 1, "require('django')")], FILES

@@ -834,7 +834,7 @@ def _audit_files(spark, sf_dir) -> DataFrame:
         .unionByName(load(spark, sf_dir, "pom_files"))
         .unionByName(load(spark, sf_dir, "pipfile_files"))
     )
-    return stored(every.repartition(32), "files")
+    return stored(every.repartition(32, "repo", "path"), "files")
 
 
 def _audit(spark, sf_dir) -> audit.Audit:

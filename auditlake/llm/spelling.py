@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import slices, stored, texts_of
-from auditlake.skew import lookup_join
+from auditlake.skew import shuffled
 
 #: Code points and occurrences of a word, and how much more frequent its form is.
 LENGTH, OCCURS, TIMES = 6, 5, 5
@@ -128,7 +128,7 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
     grams = stored(vocabulary.select("word", "n").mapInArrow(index, "key string, pivot boolean, word string, n long, last int"), "pivots")
     pivots = grams.where("pivot").select("key", F.col("word").alias("x"), F.col("n").alias("n_x"), F.col("last").alias("last_x"))
     prefixes = grams.where("not pivot").select("key", F.col("word").alias("y"), F.col("n").alias("n_y"), F.col("last").alias("last_y"))
-    met = pivots.join(prefixes, "key").where("last_x <= last_y and x <> y").where(F.levenshtein("x", "y", EDITS) == EDITS)
+    met = pivots.join(shuffled(prefixes), "key").where("last_x <= last_y and x <> y").where(F.levenshtein("x", "y", EDITS) == EDITS)
     first = F.col("x") < F.col("y")
     return met.select(
         F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"),
@@ -137,11 +137,14 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
 
 
 def roots(links: DataFrame) -> DataFrame:
-    """The last word of each chain of stored links (word, form): word, root. Paths double each round; a form is TIMES as frequent, so chains are short."""
+    """The last word of each chain of stored links (word, form): word, root. Paths double each round; a form is TIMES as frequent, so chains are short.
+
+    A word has one link, so what is looked up has a row for each word and is joined once, not repeated per salt.
+    """
     known = links.select("word", F.col("form").alias("root"))
     while True:
         further = known.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        known = stored(lookup_join(known, further, ["root"], ["word"]).select("word", F.coalesce("next", "root").alias("root"), "next"), "roots")
+        known = stored(known.join(shuffled(further), "root", "left").select("word", F.coalesce("next", "root").alias("root"), "next"), "roots")
         if known.where("next is not null").isEmpty():
             return known.select("word", "root")
         known = known.select("word", "root")
@@ -162,10 +165,10 @@ def variants(docs: DataFrame) -> DataFrame:
     near = both.groupBy(F.col("a").alias("word")).agg(F.count("*").alias("n_near"), best.alias("best"))
     form = F.when(-F.col("best.n") >= TIMES * F.col("n"), F.col("best"))
     found = stored(
-        vocabulary.join(near, "word", "left").select(
+        vocabulary.join(shuffled(near), "word", "left").select(
             "word", form["word"].alias("form"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), (-form["n"]).alias("form_n")
         ),
         "forms",
     )
     last = roots(found.where("form is not null").select("word", "form"))
-    return found.join(last, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(shuffled(last), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+from auditlake.llm import spelling
 from auditlake.llm.common import stored
 from auditlake.llm.spelling import disjoint, keys, near_pairs, roots, variants
 
@@ -96,3 +97,20 @@ def test_roots_of_long_chains(spark):
     links = [(f"w{k}", f"w{k + 1}") for k in range(40)] + [(f"x{k}", "w3") for k in range(30)]
     frame = stored(spark.createDataFrame(links, "word string, form string"), "links")
     assert {r["word"]: r["root"] for r in roots(frame).collect()} == {a: "w40" for a, _ in links}
+
+
+def test_tables_of_words_are_not_broadcast(spark, monkeypatch):
+    """Stored tables of words look small to Spark, which knows their compressed bytes; the driver would build them."""
+    plans = []
+
+    def kept(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, label)
+
+    monkeypatch.setattr(spelling, "stored", kept)
+    text = "chapter " * 300 + "chaptor " * 40 + "chaptorr " * 6 + "chaptter " * 5
+    found = variants(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert {(r["word"], r["root"]) for r in found.collect()} == {(w, "chapter") for w in ("chapter", "chaptor", "chaptorr", "chaptter")}
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 4
+    assert not any("Broadcast" in p or "_salt" in p for p in plans)
